@@ -108,24 +108,20 @@ def already_translated(pieces: Column, index: Column) -> Column:
 
 # -- segments with their line -------------------------------------------------
 
-_LAST_MARK = r"(?s)^.*\n([0-9]++):"
-_LAST_LINE = r"(?s)\n[0-9]++:([^\n]*+)\z"
-
-
 def line_groups(text: Column, char_literals: bool = True) -> Column:
     """Array of groups of pieces of the numbered text; see :func:`_line_group_pattern`."""
     numbered = F.concat(F.lit("\n"), tx.number_lines(text))
     return F.regexp_extract_all(numbered, F.lit(_line_group_pattern(char_literals)), F.lit(0))
 
 
-def segments(groups: Column, char_literals: bool = True) -> Column:
-    """Literals and comments of :func:`line_groups` with their start line and line prefix.
+def segments(groups: Column, char_literals: bool = True, indent: bool = False) -> Column:
+    """Literals and comments of :func:`line_groups` with their start line.
 
-    Returns ``array<struct<line, type, raw, indentation>>`` in text order.
+    Returns ``array<struct<line, type, raw>>`` in text order; ``indent`` adds the
+    ``indentation`` of comments: their line up to them, with all but tabs as spaces.
 
     ``groups`` must be a stored column: it is indexed once per group.
     """
-
     # Each step names what the next one reads more than once: a lambda argument is
     # computed once, a repeated sub-expression inside a lambda is not.
     cut = F.transform(
@@ -134,8 +130,10 @@ def segments(groups: Column, char_literals: bool = True) -> Column:
             F.get(groups, g - 1).alias("before"), tokens(group, char_literals).alias("pieces")
         ),
     )
+    # Groups of nothing but code go early; there are many in plain text.
+    found = F.filter(cut, lambda c: (F.size(c["pieces"]) > 1) | (token_type(c["pieces"][0]) != CODE))
     headed = F.transform(
-        cut,
+        found,
         lambda c: F.struct(
             c["before"].alias("before"),
             F.when(token_type(c["pieces"][0]) == CODE, c["pieces"][0]).otherwise("").alias("head"),
@@ -146,39 +144,35 @@ def segments(groups: Column, char_literals: bool = True) -> Column:
     led = F.transform(
         headed,
         lambda h: F.struct(
-            F.when(h["head"].contains("\n"), h["head"]).otherwise(F.concat(h["before"], h["head"])).alias("lead"),
-            F.when(h["head"] != "", F.slice(h["pieces"], 2, F.size(h["pieces"])))
-            .otherwise(h["pieces"])
-            .alias("pieces"),
-        ),
-    )
-    placed = F.transform(
-        F.filter(led, lambda item: F.size(item["pieces"]) > 0),
-        lambda item: F.struct(
-            F.regexp_extract(item["lead"], _LAST_MARK, 1).cast("int").alias("line"),
-            F.regexp_replace(F.regexp_extract(item["lead"], _LAST_LINE, 1), "[^\t]", " ").alias("prefix"),
-            item["pieces"].alias("pieces"),
+            F.when(h["head"].contains("\n"), F.substring_index(h["head"], "\n", -1))
+            .otherwise(F.concat(F.substring_index(h["before"], "\n", -1), h["head"]))
+            .alias("lead"),
+            (h["head"] != "").alias("headed"),
+            h["pieces"].alias("pieces"),
         ),
     )
 
     def of_group(group: Column) -> Column:
-        return F.transform(
-            group["pieces"],
-            lambda piece, p: F.struct(
-                group["line"].alias("line"),
+        def of_piece(piece: Column, p: Column) -> Column:
+            fields = [
+                F.substring_index(group["lead"], ":", 1).cast("int").alias("line"),
                 token_type(piece).alias("type"),
-                tx.unnumber_lines(piece).alias("raw"),
-                F.when(
-                    is_comment(piece),
-                    F.concat(
-                        group["prefix"],
-                        F.regexp_replace(F.array_join(F.slice(group["pieces"], F.lit(1), p), ""), "[^\t]", " "),
-                    ),
-                ).alias("indentation"),
-            ),
-        )
-
-    return F.filter(F.flatten(F.transform(placed, of_group)), lambda s: s["type"] != CODE)
+                F.when(piece.contains("\n"), tx.unnumber_lines(piece)).otherwise(piece).alias("raw"),
+            ]
+            if indent:
+                first = F.when(group["headed"], 2).otherwise(1)
+                on_line = F.concat(
+                    F.substring(group["lead"], F.instr(group["lead"], ":") + 1, F.length(group["lead"])),
+                    F.array_join(F.slice(group["pieces"], first, p - first + 1), ""),
+                )
+                fields.append(
+                    F.when(is_comment(piece), F.regexp_replace(on_line, "[^\t]", " ")).alias("indentation")
+                )
+            return F.struct(*fields)
+
+        return F.filter(F.transform(group["pieces"], of_piece), lambda s: s["type"] != CODE)
+
+    return F.flatten(F.transform(led, of_group))
 
 
 # -- plain text ---------------------------------------------------------------

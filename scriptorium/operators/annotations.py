@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from scriptorium.functions import blob as bl, text as tx
 
 FILE_LEVEL = 0
+_ORIGINAL = -1
 _ORDER = F.struct("created_at", "id")
 _NOTES = "array<struct<line:int,note:string>>"
 
@@ -77,31 +78,35 @@ def annotation_history(annotations: DataFrame, slot: str = "10 minutes") -> Data
 # -- blobs --------------------------------------------------------------------
 
 
-def parse_annotation_blob(blobs: DataFrame) -> DataFrame:
-    """``file_id, line, note``; line 0 is the file note."""
-    parsed = F.concat(
-        F.array(F.struct(F.lit(FILE_LEVEL).alias("line"), bl.file_note(F.col("blob")).alias("note"))).cast(_NOTES),
-        bl.line_notes(F.col("blob")).cast(_NOTES),
-    )
-    return blobs.select("file_id", F.explode(parsed).alias("n")).select("file_id", "n.*").filter(
-        (F.col("line") != FILE_LEVEL) | (F.col("note") != "")
+def parse_annotation_blob(blobs: DataFrame, with_blob: bool = False) -> DataFrame:
+    """``file_id, line, note``; line 0 is the file note and, if wanted, line -1 the blob as it was."""
+    first = [F.struct(F.lit(FILE_LEVEL).alias("line"), bl.file_note(F.col("blob")).alias("note"))]
+    if with_blob:
+        first.append(F.struct(F.lit(_ORIGINAL).alias("line"), F.col("blob").alias("note")))
+    parsed = F.concat(F.array(*first).cast(_NOTES), bl.line_notes(F.col("blob")).cast(_NOTES))
+    return (
+        blobs.select("file_id", F.explode(parsed).alias("n"))
+        .select("file_id", "n.*")
+        .filter((F.col("line") != FILE_LEVEL) | (F.col("note") != ""))
     )
 
 
-def blob_rebuild(notes: DataFrame) -> DataFrame:
-    """``file_id, blob`` from ``file_id, line, note`` with at most one note per line.
+def _rebuilt(notes: DataFrame, *more: Column) -> DataFrame:
+    """``file_id, blob`` and the aggregates ``more`` from notes with at most one row per line.
 
     What is collected is the one value that each file's blob is.
     """
-    is_file = F.col("line") == FILE_LEVEL
-    return (
-        notes.groupBy("file_id")
-        .agg(
-            F.max(F.when(is_file, F.col("note"))).alias("file_note"),
-            F.collect_list(F.when(~is_file, F.struct("line", "note"))).alias("notes"),
-        )
-        .select("file_id", bl.rebuild(F.col("file_note"), F.col("notes").cast(_NOTES)).alias("blob"))
-    )
+    line, note = F.col("line"), F.col("note")
+    return notes.groupBy("file_id").agg(
+        F.max(F.when(line == FILE_LEVEL, note)).alias("file_note"),
+        F.collect_list(F.when((line > FILE_LEVEL) & note.isNotNull(), F.struct("line", "note"))).alias("notes"),
+        *more,
+    ).withColumn("blob", bl.rebuild(F.col("file_note"), F.col("notes").cast(_NOTES))).drop("file_note", "notes")
+
+
+def blob_rebuild(notes: DataFrame) -> DataFrame:
+    """``file_id, blob`` from ``file_id, line, note``."""
+    return _rebuilt(notes)
 
 
 def apply_line_edits(blobs: DataFrame, edits: DataFrame) -> DataFrame:
@@ -116,60 +121,46 @@ def apply_line_edits(blobs: DataFrame, edits: DataFrame) -> DataFrame:
         .groupBy("file_id")
         .agg(F.max(F.struct("created_at", "id", F.col("content").alias("blob"))).alias("r"))
     )
-    line_edits = (
+    # Reduced to one row per line before the join: a busy file brings no more than its lines.
+    live = (
         edits.filter(F.col("line") != FILE_LEVEL)
         .groupBy("file_id", "line")
         .agg(F.max(F.struct("created_at", "id", "content")).alias("e"))
-    )
-    # Grouping by line first keeps the join below to one row per line.
-    live = (
-        line_edits.join(replaced.select("file_id", "r"), "file_id", "left")
-        .filter(
-            F.col("r").isNull()
-            | (F.struct("e.created_at", "e.id") > F.struct("r.created_at", "r.id"))
-        )
+        .join(replaced, "file_id", "left")
+        .filter(F.col("r").isNull() | (F.struct("e.created_at", "e.id") > F.struct("r.created_at", "r.id")))
         .select("file_id", "line", F.col("e.content").alias("edit"))
     )
     base = (
         blobs.select("file_id", "blob")
-        .join(replaced.select("file_id", F.col("r.blob").alias("new_blob"), F.lit(True).alias("is_new")), "file_id", "full_outer")
-        .select("file_id", F.when(F.col("is_new"), F.col("new_blob")).otherwise(F.col("blob")).alias("blob"))
+        .join(replaced, "file_id", "full_outer")
+        .select("file_id", F.when(F.col("r").isNotNull(), F.col("r.blob")).otherwise(F.col("blob")).alias("blob"))
     )
-    notes = (
-        parse_annotation_blob(base)
-        .join(live, ["file_id", "line"], "full_outer")
-        .select(
-            "file_id",
-            "line",
-            F.when(F.col("edit").isNull(), F.col("note")).otherwise(F.col("edit")).alias("note"),
-        )
-        .filter(tx.strip(F.col("note")) != "")
+    note, edit = F.col("note"), F.col("edit")
+    merged = parse_annotation_blob(base, with_blob=True).join(live, ["file_id", "line"], "full_outer").select(
+        "file_id",
+        "line",
+        F.when(edit.isNull(), note).when(tx.strip(edit) != "", edit).alias("note"),
+        edit.isNotNull().alias("edited"),
     )
-    touched = live.select("file_id").distinct()
-    rebuilt = blob_rebuild(notes).select("file_id", F.col("blob").alias("rebuilt"))
-    return (
-        base.join(touched.withColumn("touched", F.lit(True)), "file_id", "full_outer")
-        .join(rebuilt, "file_id", "left")
+    original = F.max(F.when(F.col("line") == _ORIGINAL, F.col("note"))).alias("original")
+    return _rebuilt(merged, original, F.bool_or("edited").alias("touched")).select(
         # A blob nobody edited line by line stays as it was written.
-        .select(
-            "file_id",
-            F.when(F.col("touched"), F.coalesce("rebuilt", F.lit(""))).otherwise(F.col("blob")).alias("blob"),
-        )
+        "file_id", F.when(F.col("touched"), F.col("blob")).otherwise(F.col("original")).alias("blob")
     )
 
 
 def merge_tool_notes(blobs: DataFrame, notes: DataFrame) -> DataFrame:
     """``file_id, blob`` with ``notes`` (``file_id, line, note``) merged in; changed blobs only."""
+    new = F.col("new")
     merged = (
-        parse_annotation_blob(blobs)
+        parse_annotation_blob(blobs, with_blob=True)
         .join(notes.select("file_id", "line", F.col("note").alias("new")), ["file_id", "line"], "full_outer")
-        .select("file_id", "line", bl.merge_note(F.col("note"), F.col("new")).alias("note"))
+        .select("file_id", "line", bl.merge_note(F.col("note"), new).alias("note"), new.isNotNull().alias("added"))
     )
-    touched = notes.select("file_id").distinct()
+    original = F.max(F.when(F.col("line") == _ORIGINAL, F.col("note"))).alias("original")
     return (
-        blob_rebuild(merged.join(touched, "file_id", "left_semi"))
-        .join(blobs.select("file_id", F.col("blob").alias("old")), "file_id", "left")
-        .filter(~F.col("blob").eqNullSafe(F.col("old")))
+        _rebuilt(merged, original, F.bool_or("added").alias("touched"))
+        .filter(F.col("touched") & ~F.col("blob").eqNullSafe(F.col("original")))
         .select("file_id", "blob")
     )
 

@@ -47,11 +47,13 @@ def segments_by_type(tokens: DataFrame) -> DataFrame:
     )
 
 
-def _with_pieces(files: DataFrame, char_literals: bool = True) -> DataFrame:
+def _with_pieces(files: DataFrame, char_literals: bool = True, ranges: str | None = None) -> DataFrame:
+    text = F.col("text")
+    worth = F.lit(True) if ranges is None else tx.contains_script(text, ranges)
     return files.select(
         "file_id",
-        lx.tokens(F.col("text"), char_literals).alias("pieces"),
-        lx.line_groups(F.col("text"), char_literals).alias("groups"),
+        F.when(worth, lx.tokens(text, char_literals)).alias("pieces"),
+        F.when(worth, lx.line_groups(text, char_literals)).alias("groups"),
     )
 
 
@@ -69,7 +71,7 @@ def _placed(pieces, groups, char_literals: bool = True):
         lambda n: n["type"] != lx.CODE,
     )
     return F.transform(
-        F.arrays_zip(numbered.alias("n"), lx.segments(groups, char_literals).alias("s")),
+        F.arrays_zip(numbered.alias("n"), lx.segments(groups, char_literals, indent=True).alias("s")),
         lambda z: F.struct(
             z["n"]["seq"].alias("seq"),
             z["n"]["type"].alias("type"),
@@ -90,8 +92,8 @@ def placed_segments(files: DataFrame, char_literals: bool = True) -> DataFrame:
     )
 
 
-def all_pieces(files: DataFrame) -> DataFrame:
-    """Code too, as ``file_id, seq, type, raw, indentation``."""
+def all_pieces(files: DataFrame, ranges: str | None = None) -> DataFrame:
+    """Code too, as ``file_id, seq, type, raw, indentation``; with ``ranges`` of files in that script only."""
     code = F.filter(
         F.transform(
             F.col("pieces"),
@@ -111,7 +113,9 @@ def all_pieces(files: DataFrame) -> DataFrame:
         ),
     )
     return (
-        _with_pieces(files).select("file_id", F.explode(F.concat(code, others)).alias("p")).select("file_id", "p.*")
+        _with_pieces(files, True, ranges)
+        .select("file_id", F.explode(F.concat(code, others)).alias("p"))
+        .select("file_id", "p.*")
     )
 
 
@@ -154,15 +158,18 @@ def detected_items(
     """What there is to translate: from code its comments and literals, from text its sentences or lines.
 
     One pass over the files whatever their kind.  Files without any character of the
-    script are dropped before they are cut.
+    script are not cut.
     """
     plain = lx.sentences if strategy == "sentence" else lx.stripped_lines
     is_code = px.is_code_file(F.col("path"))
     text = F.col("text")
-    prepared = files.filter(tx.contains_script(text, ranges)).select(
+    # The test stands inside the expressions: as a filter it would sink into whatever
+    # computes the text and have it computed twice.
+    worth = tx.contains_script(text, ranges)
+    prepared = files.select(
         "file_id",
-        F.when(is_code, lx.line_groups(text, False)).alias("groups"),
-        F.when(~is_code, plain(text)).cast(_ITEMS).alias("items"),
+        F.when(worth & is_code, lx.line_groups(text, False)).alias("groups"),
+        F.when(worth & ~is_code, plain(text)).cast(_ITEMS).alias("items"),
     )
     items = F.when(F.col("groups").isNull(), F.col("items")).otherwise(
         _code_items(F.col("groups"), strategy, False).cast(_ITEMS)
@@ -172,8 +179,9 @@ def detected_items(
 
 def translation_candidates(files: DataFrame, ranges: str = tx.JAPANESE) -> DataFrame:
     """Comments and literals in the script that no translation comment follows: ``file_id, seq, type, text``."""
-    pieces = files.filter(tx.contains_script(F.col("text"), ranges)).select(
-        "file_id", lx.tokens(F.col("text")).alias("pieces")
+    text = F.col("text")
+    pieces = files.select(
+        "file_id", F.when(tx.contains_script(text, ranges), lx.tokens(text)).alias("pieces")
     )
     marked = F.transform(
         F.col("pieces"),

@@ -120,8 +120,7 @@ def inject_translations(files: DataFrame, cache: DataFrame, ranges: str = tx.JAP
         .filter(keeps_comment(F.col("text"), F.col("translated")))
         .select("file_id", "seq", "translated")
     )
-    changed = files.join(found.select("file_id").distinct(), "file_id", "left_semi")
-    pieces = sg.all_pieces(changed).withColumn("translated", F.lit(None).cast("string"))
+    pieces = sg.all_pieces(files, ranges).withColumn("translated", F.lit(None).cast("string"))
     rows = pieces.unionByName(
         found.select(
             "file_id", "seq", F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("raw"),
@@ -182,7 +181,9 @@ def inject_translations(files: DataFrame, cache: DataFrame, ranges: str = tx.JAP
         .agg(
             F.array_sort(F.flatten(F.collect_list(output))).alias("body"),
             F.array_sort(F.collect_list(left_over)).alias("tail"),
+            F.count("translated").alias("translations"),
         )
+        .filter("translations > 0")
         .select(
             "file_id",
             F.concat(

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from scriptorium.session import spread
+
 # Extension by file number modulo 8.
 EXTENSIONS = (".c", ".h", ".cpp", ".txt", ".c,v", ".PY", "", ".jp")
 
@@ -67,9 +69,13 @@ def _path() -> Column:
     return F.concat("source", F.lit("/"), "lang", F.lit("/f"), number, end)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``file_id, path, text``."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), _path().alias("path"), "text")
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("file_id"), _path().alias("path"), "text")
 
 
 def marked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,7 +306,7 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     head = F.concat(F.lit("note "), F.col("doc_id").cast("string"), F.lit("\n\n@lines\n"))
     shape = F.col("doc_id") % 5
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("file_id"),
         F.when(shape == 0, F.concat(head, numbered))
         .when(shape == 1, F.concat(head, numbered, F.lit("# 1\nlast one counts\n#2x\n# 3\n 　\n@lines\n")))

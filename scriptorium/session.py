@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the operators rely on.  Every one can also be given by the cluster.
 SETTINGS = {
@@ -48,3 +48,14 @@ def working_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="scriptorium-")
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Hash ``rows`` over the cores if the scan has fewer splits than there are cores.
+
+    Cutting text is bound by CPU, and a small table in one row group would keep all but
+    one core idle.  A large table has more splits than cores and is left as it is, so
+    this never shuffles one.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores, key) if rows.rdd.getNumPartitions() < cores else rows
