@@ -8,10 +8,14 @@ from scriptorium.functions import blob as bl, text as tx
 
 FILE_LEVEL = 0
 _ORIGINAL = -1
-_ORDER = F.struct("created_at", "id")
 _NOTES = "array<struct<line:int,note:string>>"
 
 
+def _log_order() -> Column:
+    """Seconds can tie, ids cannot."""
+    return F.struct("created_at", "id")
+
+
 def file_annotations(files: DataFrame, annotations: DataFrame) -> DataFrame:
     return files.join(annotations, "file_id")
 
@@ -25,7 +29,7 @@ def latest_annotation(annotations: DataFrame) -> DataFrame:
     return (
         annotations.filter(F.col("line_number") == FILE_LEVEL)
         .groupBy("file_id")
-        .agg(F.max_by(F.struct("id", "content", "created_at"), _ORDER).alias("a"))
+        .agg(F.max_by(F.struct("id", "content", "created_at"), _log_order()).alias("a"))
         .select("file_id", "a.*")
     )
 
@@ -49,7 +53,7 @@ def annotation_history(annotations: DataFrame, slot: str = "10 minutes") -> Data
     """
     log = annotations.withColumn("slot", F.window("created_at", slot)["start"])
     slots = log.groupBy("file_id", "slot").agg(
-        F.count("*").alias("rows"), F.max_by("content", _ORDER).alias("last_content")
+        F.count("*").alias("rows"), F.max_by("content", _log_order()).alias("last_content")
     )
     by_slot = Window.partitionBy("file_id").orderBy("slot")
     carried = slots.select(
@@ -178,7 +182,7 @@ def annotated_lines(lines: DataFrame, notes: DataFrame) -> DataFrame:
 def current_notes(annotations: DataFrame) -> DataFrame:
     """Newest row of every line: ``file_id, line, note``."""
     return annotations.groupBy("file_id", F.col("line_number").alias("line")).agg(
-        F.max_by("content", _ORDER).alias("note")
+        F.max_by("content", _log_order()).alias("note")
     )
 
 
