@@ -44,7 +44,7 @@ def latest_manual_note(annotations: DataFrame) -> DataFrame:
     )
 
 
-def annotation_history(annotations: DataFrame, slot: str = "10 minutes") -> DataFrame:
+def annotation_history(annotations: DataFrame, slot: str = "1 minute") -> DataFrame:
     """Every row with its version number in the file and the content before it.
 
     Rows are numbered inside time slots and the slots' totals are carried over, so that

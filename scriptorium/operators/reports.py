@@ -18,12 +18,18 @@ def triage_summary(triage: DataFrame) -> DataFrame:
     )
 
 
+def _binary_counts(triage: DataFrame, key: str) -> DataFrame:
+    # Counting where binary, not filtering first: the verdict is then computed once per
+    # file, in the scan that also yields the key, and folded on the map side.
+    return triage.groupBy(key).agg(F.count_if("is_binary").alias("files")).filter("files > 0")
+
+
 def binary_extensions(triage: DataFrame) -> DataFrame:
-    return triage.filter("is_binary").groupBy("extension").agg(F.count("*").alias("files"))
+    return _binary_counts(triage, "extension")
 
 
 def binary_types(triage: DataFrame) -> DataFrame:
-    return triage.filter("is_binary").groupBy("file_type").agg(F.count("*").alias("files"))
+    return _binary_counts(triage, "file_type")
 
 
 def top_k(counts: DataFrame, key: str, k: int = TOP) -> DataFrame:
