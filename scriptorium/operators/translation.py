@@ -21,18 +21,21 @@ def distinct_texts(items: DataFrame) -> DataFrame:
     return items.select("text").distinct()
 
 
-def unique_cache(cache: DataFrame) -> DataFrame:
-    """One translation per original, whatever was appended."""
-    return cache.groupBy("original").agg(F.max("translated").alias("translated"))
+def _by_text(cache: DataFrame) -> DataFrame:
+    """``text, translated`` with one row per text, whatever was appended twice.
+
+    The grouping shares its exchange with the join on ``text`` that follows.
+    """
+    return cache.groupBy(F.col("original").alias("text")).agg(F.max("translated").alias("translated"))
 
 
 def cache_lookup(items: DataFrame, cache: DataFrame) -> DataFrame:
     """Items with their cached translation, null where there is none.
 
-    ``cache`` has one row per original, so a text that fills a third of the items
-    still meets one row and AQE can split its partition freely.
+    A text that fills a third of the items still meets one row, so AQE can split its
+    partition freely.
     """
-    return items.join(cache.select(F.col("original").alias("text"), "translated"), "text", "left")
+    return items.join(_by_text(cache), "text", "left")
 
 
 def cache_misses(items: DataFrame, cache: DataFrame) -> DataFrame:
@@ -86,7 +89,7 @@ def keeps_comment(text: Column, translated: Column) -> Column:
 def translation_writeback(items: DataFrame, cache: DataFrame) -> DataFrame:
     """Every place of every text that has a usable translation."""
     return (
-        items.join(cache.select(F.col("original").alias("text"), "translated"), "text")
+        items.join(_by_text(cache), "text")
         .filter(keeps_note(F.col("text"), F.col("translated")))
         .select("file_id", "seq", "line", "text", "translated")
     )
@@ -116,7 +119,7 @@ def inject_translations(files: DataFrame, cache: DataFrame, ranges: str = tx.JAP
     """
     found = (
         sg.translation_candidates(files, ranges)
-        .join(cache.select(F.col("original").alias("text"), "translated"), "text")
+        .join(_by_text(cache), "text")
         .filter(keeps_comment(F.col("text"), F.col("translated")))
         .select("file_id", "seq", "translated")
     )

@@ -184,8 +184,8 @@ _SNAPSHOT = """SELECT file_id, line_number AS line, CASE WHEN note LIKE '%7' THE
        WHEN o.note = n.note THEN 'unchanged' ELSE 'update' END AS action, coalesce(n.note, o.note) AS note
 FROM older o FULL JOIN newer n USING (file_id, line)""",
         "annotations",
-        older=_SNAPSHOT.format(which="id % 3 <> 0"),
-        newer=_SNAPSHOT.format(which="id % 4 <> 1"),
+        older=_SNAPSHOT.format(which="type = 'manual'"),
+        newer=_SNAPSHOT.format(which="content NOT LIKE 'purchase%'"),
     )
 )
 def annotation_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -193,4 +193,4 @@ def annotation_diff(spark: SparkSession, d: str) -> DataFrame:
         notes = an.current_notes(_log(spark, d).filter(which))
         return notes.withColumn("note", F.when(F.col("note").endswith("7"), "").otherwise(F.col("note")))
 
-    return an.annotation_diff(snapshot("id % 3 <> 0"), snapshot("id % 4 <> 1"))
+    return an.annotation_diff(snapshot("type = 'manual'"), snapshot("content NOT LIKE 'purchase%'"))

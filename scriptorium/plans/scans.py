@@ -62,11 +62,11 @@ def set_difference(spark: SparkSession, d: str) -> DataFrame:
     return dirs.subtract(excluded)
 
 
-_KNOWN = "SELECT path FROM src_files WHERE file_id % 3 = 0"
+_KNOWN = "SELECT path FROM src_files"
 
 
 def _new(spark: SparkSession, d: str) -> DataFrame:
-    known = fx.src_files(spark, d).filter("file_id % 3 = 0")
+    known = fx.src_files(spark, d)
     scanned = ct.catalog(fx.tree_files(spark, d)).select("path", "filename")
     # The same tree listed twice: a repeated listing must not add a path twice.
     return ct.new_files(scanned.unionByName(scanned), known)
@@ -130,7 +130,7 @@ def read_text_replace(spark: SparkSession, d: str) -> DataFrame:
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     """Whole documents, with quotes, commas and newlines in them."""
     return fx.marked_files(spark, d).select(
-        F.col("text").alias("original"), F.concat(F.lit("T: "), "text").alias("translated")
+        "path", F.col("text").alias("original"), F.concat(F.lit("T: "), "text").alias("translated")
     )
 
 
@@ -143,15 +143,17 @@ def cache_load(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     fx.with_views(
-        """SELECT DISTINCT text AS original,
-       CASE WHEN length(text) % 2 = 0 THEN 'T: ' ELSE 'U: ' END || text AS translated FROM marked_files""",
+        f"""SELECT DISTINCT text AS original,
+       CASE WHEN text IN (SELECT text FROM marked_files WHERE {IS_CODE}) THEN 'T: ' ELSE 'U: ' END || text AS translated
+FROM marked_files""",
         "marked_files",
     )
 )
 def cache_append(spark: SparkSession, d: str) -> DataFrame:
     location = working_dir(spark, "cache")
     pairs = _pairs(spark, d)
-    pairs.filter(F.length("original") % 2 == 0).distinct().write.parquet(location)
+    # The texts of source files are known already.
+    pairs.filter(px.is_code_file(F.col("path"))).select("original", "translated").distinct().write.parquet(location)
     again = pairs.select("original", F.concat(F.lit("U: "), "original").alias("translated"))
     ca.unseen(again, tb.read_table(spark, location, tb.CACHE)).write.mode("append").parquet(location)
     return tb.read_table(spark, location, tb.CACHE)

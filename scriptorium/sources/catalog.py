@@ -8,23 +8,32 @@ from scriptorium.functions import paths as px
 
 
 def scan_files(
-    spark: SparkSession, root: str, glob: str | None = None, max_bytes: int | None = None
+    spark: SparkSession, root: str, glob: str | None = None, max_bytes: int | None = None, lenient: bool = False
 ) -> DataFrame:
     """All files under ``root`` as ``path, length, modificationTime, content``.
 
     The path is relative to ``root``.  Leave ``content`` out of the selection and
     Spark lists the files without opening them; filters on ``length`` reach the scan.
     ``glob`` keeps matching names before anything is read, for example ``{*.c,*.h}``.
+    A ``lenient`` scan goes on past files that cannot be read; see :func:`unreadable`.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    if lenient:
+        reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     files = reader.load(root)
     if max_bytes is not None:
         files = files.filter(F.col("length") <= max_bytes)
     return files.withColumn("path", relative_to(F.col("path"), root))
 
 
+def unreadable(listing: DataFrame, read: DataFrame) -> DataFrame:
+    """``path, error`` for each file of a stored ``listing`` that a lenient scan did not ``read``."""
+    missing = listing.select("path").join(read.select("path"), "path", "left_anti")
+    return missing.withColumn("error", F.lit("cannot be read"))
+
+
 def relative_to(path: Column, root: str) -> Column:
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
     return F.substring(path, F.instr(path, base) + len(base), F.length(path))

@@ -34,6 +34,16 @@ def test_scan(spark, tree):
     assert {r.path for r in kept.collect()} == {"a.c", "sub/b.h", "sub/deep/Makefile", "e.S"}
 
 
+def test_unreadable_files_become_rows(spark, tree):
+    root, files = tree
+    listing = spark.createDataFrame(ct.scan_files(spark, root).select("path").collect())
+    read = ct.scan_files(spark, root, lenient=True)
+    os.remove(os.path.join(root, "sub/b.h"))
+    errors = ct.unreadable(listing, read.filter("content IS NOT NULL"))
+    assert [tuple(r) for r in errors.collect()] == [("sub/b.h", "cannot be read")]
+    assert read.filter("content IS NOT NULL").count() == len(files) - 1
+
+
 def test_listing_opens_no_file(spark, tree):
     plan = ct.catalog(ct.scan_files(spark, tree[0], max_bytes=100))._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[1].split("\n")[0]

@@ -35,8 +35,7 @@ def _frames(spark, source=SOURCE, cache=CACHE):
 def test_injection(spark):
     files, cache = _frames(spark)
     found = tr.inject_translations(files, cache).collect()
-    text = EXPECTED.replace('/* え */\n\t                     //Translated: E\n\t//', '/* え */\n\t                     //Translated: E\n\t//')
-    assert [(r.file_id, r.text) for r in found] == [(1, text)]
+    assert [(r.file_id, r.text) for r in found] == [(1, EXPECTED)]
 
 
 def test_translated_comments_are_left_alone(spark):
@@ -98,7 +97,8 @@ def test_hot_text_keeps_every_place(spark):
         F.when(F.col("id") % 3 == 0, "許").otherwise(F.concat(F.lit("字"), "id")).alias("text"),
     )
     items = sg.detected_items(files)
-    cache = items.select(F.col("text").alias("original"), F.lit("t").alias("translated")).distinct()
+    # Appended once per place, as concurrent runs might.
+    cache = items.select(F.col("text").alias("original"), F.lit("t").alias("translated"))
     assert tr.cache_lookup(items, cache).filter("translated = 't'").count() == 3000
 
 
