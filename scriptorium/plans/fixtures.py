@@ -78,14 +78,17 @@ def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select(F.col("doc_id").alias("file_id"), _path().alias("path"), "text")
 
 
+def _replaced(text: Column, pairs) -> Column:
+    # Byte search is several times as fast as ``translate`` over long texts.
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def marked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as commented, partly Japanese source: ``file_id, path, text``."""
-    text = F.col("text")
-    for old, new in CODE_MARKS:
-        text = F.replace(text, F.lit(old), F.lit(new))
-    return src_files(spark, sf_dir).select(
-        "file_id", "path", F.translate(text, LATIN_LETTERS, SCRIPT_LETTERS).alias("text")
-    )
+    text = _replaced(F.col("text"), (*CODE_MARKS, *zip(LATIN_LETTERS, SCRIPT_LETTERS)))
+    return src_files(spark, sf_dir).select("file_id", "path", text.alias("text"))
 
 
 def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +153,7 @@ _ARCHIVE_TAIL = "@\n\n\n1.1\nlog\n@first\n@\ntext\n@d1 1\na1 1\nold\n@\n"
 
 
 def _double_byte(text: Column, lead: str, trails: str) -> Column:
-    led = F.regexp_replace(text, f"([{KANA_LETTERS}])", f"{lead}$1")
-    return F.translate(led, KANA_LETTERS, trails)
+    return _replaced(text, [(letter, lead + trail) for letter, trail in zip(KANA_LETTERS, trails)])
 
 
 def _kind() -> Column:
@@ -169,7 +171,7 @@ def legacy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     a lone lead byte at the end, and a chunked word processor file.
     """
     files = src_files(spark, sf_dir)
-    base = F.translate("text", UPPER_ACCENTS, UPPER_PLAIN)
+    base = _replaced(F.col("text"), zip(UPPER_ACCENTS, UPPER_PLAIN))
     sjis = _double_byte(base, "\x82", SJIS_TRAILS)
     ascii_ = F.regexp_replace(base, r"[^\x00-\x7f]", "?")
     magic = F.element_at(F.array(*[F.lit(m) for m in MAGIC]), (_variant() + 1).cast("int"))
