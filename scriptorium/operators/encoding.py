@@ -149,15 +149,19 @@ def chunk_probe(files: DataFrame) -> DataFrame:
     )
 
 
-def trial_decode_matrix(files: DataFrame) -> DataFrame:
-    """The bytes behind the chunk header under each codec: ``file_id, codec, ok, sample, error``."""
+def text_chunks(files: DataFrame) -> DataFrame:
+    """``file_id, chunk``: the bytes behind the header of the first text chunk."""
     at = F.instr(cs.latin1(F.col("content")), CHUNK_TAG.decode())
-    chunk = files.select("file_id", "content", at.alias("at")).filter("at > 0").select(
+    return files.select("file_id", "content", at.alias("at")).filter("at > 0").select(
         "file_id",
         F.substring(F.col("content"), F.col("at") + len(CHUNK_TAG) + 4, F.lit(cs.TRIAL_BYTES)).alias("chunk"),
-        F.explode(F.array(*[F.lit(c) for c in cs.TRIAL_CODECS])).alias("codec"),
     )
-    return chunk.withColumn("d", cs.decode_bytes(F.col("chunk"), F.col("codec"))).select(
+
+
+def trial_decode_matrix(files: DataFrame) -> DataFrame:
+    """The chunk of each file under each codec: ``file_id, codec, ok, sample, error``."""
+    tries = text_chunks(files).withColumn("codec", F.explode(F.array(*[F.lit(c) for c in cs.TRIAL_CODECS])))
+    return tries.withColumn("d", cs.decode_bytes(F.col("chunk"), F.col("codec"))).select(
         "file_id",
         "codec",
         F.col("d.error").isNull().alias("ok"),

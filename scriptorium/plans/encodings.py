@@ -167,6 +167,47 @@ def trial_decode_matrix(spark: SparkSession, d: str) -> DataFrame:
     return en.trial_decode_matrix(fx.legacy_files(spark, d))
 
 
+# The double-byte positions that the cp932 codec knows.
+_CP932 = (
+    (r"\x81", r"\x40-\x7e\x80-\xac\xb8-\xbf\xc8-\xce\xda-\xe8\xf0-\xf7\xfc"),
+    (r"\x82", r"\x4f-\x58\x60-\x79\x81-\x9a\x9f-\xf1"),
+    (r"\x83", r"\x40-\x7e\x80-\x96\x9f-\xb6\xbf-\xd6"),
+    (r"\x84", r"\x40-\x60\x70-\x7e\x80-\x91\x9f-\xbe"),
+    (r"\x87", r"\x40-\x5d\x5f-\x75\x7e\x80-\x9c"),
+    (r"\x88", r"\x9f-\xfc"),
+    (r"\x89-\x97\x99-\x9f\xe0-\xe9\xed\xf0-\xfb", r"\x40-\x7e\x80-\xfc"),
+    (r"\x98", r"\x40-\x72\x9f-\xfc"),
+    (r"\xea", r"\x40-\x7e\x80-\xa4"),
+    (r"\xee", r"\x40-\x7e\x80-\xec\xef-\xfc"),
+    (r"\xfc", r"\x40-\x4b"),
+)
+_CP932_TEXT = r"(?:[\x00-\x80\xa0-\xdf\xfd-\xff]|" + "|".join(f"[{lead}][{trail}]" for lead, trail in _CP932) + ")*"
+_TRIAL_TESTS = {
+    "shift_jis": _TESTS["Shift-JIS"],
+    "cp932": _full(_CP932_TEXT),
+    "euc_jp": _TESTS["EUC-JP"],
+    "utf-8": _UTF8,
+    "mac_roman": "true",
+}
+
+
+@query(
+    fx.with_views(
+        "SELECT file_id, codec, CASE codec "
+        + " ".join(f"WHEN '{name}' THEN {test.format(raw='chunk')}" for name, test in _TRIAL_TESTS.items())
+        + f""" END AS ok, length(chunk)::INTEGER AS size
+FROM (SELECT file_id, substring(raw, strpos(raw, 'TEXT') + 8, {cs.TRIAL_BYTES}) AS chunk FROM legacy_files WHERE contains(raw, 'TEXT')),
+     (VALUES {", ".join(f"('{name}')" for name in _TRIAL_TESTS)}) codecs(codec)""",
+        "legacy_files",
+    )
+)
+def trial_decode_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Which codec takes each chunk: the part of the matrix that SQL can say too."""
+    files = fx.legacy_files(spark, d)
+    chunks = en.text_chunks(files).select("file_id", F.octet_length("chunk").alias("size"))
+    return en.trial_decode_matrix(files).join(chunks, "file_id").select("file_id", "codec", "ok", "size")
+
+
 def _uint(order: tuple[int, ...]) -> str:
     return " + ".join(f"unicode(substring(raw, tag + {4 + i}, 1))::BIGINT * {256**p}" for p, i in enumerate(order))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from scriptorium.operators.annotations import FILE_LEVEL
-from scriptorium.sources.catalog import new_files
+from scriptorium.sources.catalog import catalog, new_files, relative_to
 
 ARRIVALS = T.StructType([T.StructField("path", T.StringType()), T.StructField("filename", T.StringType())])
 
@@ -22,6 +22,18 @@ def _stored(spark: SparkSession, location: str, schema: T.StructType, before: in
     return rows if before is None else rows.filter(F.col("batch") < before)
 
 
+def watch_files(spark: SparkSession, root: str, files_per_batch: int = 10_000) -> DataFrame:
+    """Files that appear below ``root`` as a stream of ``path, filename``."""
+    found = (
+        spark.readStream.format("binaryFile")
+        .schema(spark.read.format("binaryFile").load(root).schema)
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(root)
+    )
+    return catalog(found.select(relative_to(F.col("path"), root).alias("path"))).select("path", "filename")
+
+
 def index_arrivals(arrivals: DataFrame, location: str, checkpoint: str) -> StreamingQuery:
     """Append each new ``path, filename`` of a stream of listings once."""
     spark = arrivals.sparkSession

@@ -123,6 +123,21 @@ def test_replayed_batches(spark):
     assert first == sorted(map(tuple, inc.indexed(spark, f"{base}/out").collect())) == [("a/b", "b"), ("c", "c")]
 
 
+def test_files_arrive(spark, tree):
+    """Files on disk are indexed as they appear, once each, over restarts."""
+    root, files = tree
+    base = working_dir(spark, "watch")
+
+    def run():
+        inc.index_arrivals(inc.watch_files(spark, root, 2), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+        return sorted(r.path for r in inc.indexed(spark, f"{base}/out").collect())
+
+    assert run() == sorted(files)
+    with open(os.path.join(root, "late.c"), "w") as file:
+        file.write("x")
+    assert run() == sorted([*files, "late.c"])
+
+
 def test_resolution(spark):
     files = spark.createDataFrame(
         [(1, "x/dir/a.c"), (2, "dir/a.c"), (3, "mydir/a.c"), (4, "w\\a.c"), (5, "a.c")], "file_id long, path string"
