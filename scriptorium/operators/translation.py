@@ -130,20 +130,18 @@ def inject_translations(files: DataFrame, cache: DataFrame, ranges: str = tx.JAP
             F.lit(None).cast("string").alias("indentation"), "translated",
         )
     )
-    # One exchange on the file serves this grouping, the window and the last grouping.
-    merged = (
-        rows.repartition("file_id")
-        .groupBy("file_id", "seq")
-        .agg(*[F.max(c).alias(c) for c in ("type", "raw", "indentation", "translated")])
-    )
-    # The first place at or after a piece where waiting literals are written.  Read
-    # backwards this is a running minimum; a frame to the end would be quadratic.
+    # Read backwards, a translation comes right behind its piece, and the first place at
+    # or after a piece where waiting literals are written is a running minimum (a frame
+    # to the end would be quadratic).  One exchange on the file serves the window and
+    # the grouping.
     flushes = (F.col("type") == lx.SINGLE) | ((F.col("type") == lx.CODE) & F.col("raw").contains("\n"))
-    backwards = Window.partitionBy("file_id").orderBy(F.desc("seq")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    placed = merged.withColumn(
-        "target", F.min(F.when(flushes, F.struct("seq", "type", "indentation"))).over(backwards)
+    backwards = Window.partitionBy("file_id").orderBy(F.desc("seq"), F.col("translated").isNotNull())
+    placed = rows.repartition("file_id").select(
+        "*",
+        F.min(F.when(flushes, F.struct("seq", "type", "indentation")))
+        .over(backwards.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        .alias("target"),
+        F.lag(F.struct("type", "indentation")).over(backwards).alias("own"),
     )
 
     def part(where: Column, step: int, value: Column) -> Column:
@@ -155,13 +153,14 @@ def inject_translations(files: DataFrame, cache: DataFrame, ranges: str = tx.JAP
     breaks = (F.col("type") == lx.CODE) & raw.contains("\n")
     first_break = F.instr(raw, "\n")
     quoted = F.concat(F.lit('//Translated: "'), translated, F.lit('"'))
-    is_string = F.col("type") == lx.STRING
+    own = F.col("own")
+    is_string = own["type"] == lx.STRING
     output = F.array_compact(
         F.array(
-            part(seq, 0, F.when(breaks, F.substring(raw, F.lit(1), first_break)).otherwise(raw)),
+            F.when(raw.isNotNull(), part(seq, 0, F.when(breaks, F.substring(raw, F.lit(1), first_break)).otherwise(raw))),
             F.when(
                 translated.isNotNull() & ~is_string,
-                part(seq, 1, F.concat(F.lit("\n"), F.col("indentation"), F.lit("//Translated: "), translated)),
+                part(seq, 1, F.concat(F.lit("\n"), own["indentation"], F.lit("//Translated: "), translated)),
             ),
             F.when(
                 translated.isNotNull() & is_string & target.isNotNull(),
