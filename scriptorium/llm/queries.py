@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, cotraining, decontaminate, exact, simhash
+from scriptorium.llm import bpe, cotraining, decontaminate, exact, langid, quotes, secret_scan, simhash, urls, wrappers
 from scriptorium.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Vocabulary of the BPE query; the same on every machine.
-BPE_FILE = os.environ.get("SCRIPTORIUM_BPE_FILE") or public_tokenizers.path("word_bpe_49k.json")
+#: Vocabularies of the BPE query and of language identification; every executor has the package.
+BPE_FILE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_FILE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(sql: str | None = None):
@@ -28,6 +29,21 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_quotation(spark: SparkSession, folder: str) -> DataFrame:
+    """The conversations as mail threads, each turn quoting the turns before it."""
+    linked = quotes.link(quotes.with_quotes(table(spark, folder, "conversations")), "conv_id", "turn", "text")
+    return linked.select(
+        F.col("thread").alias("conv_id"), F.col("order").alias("turn"), F.col("parent").alias("parent_turn"), F.col("root").alias("root_turn"),
+        "depth", "n_quoted", "n_linked", F.sha2("own", 256).alias("own_sha256"),
+    )
+
+
+@query()
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan(table(spark, folder, "documents")).drop("found")
+
+
 @query()
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents")).drop("text_key")
@@ -53,6 +69,11 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("spans", "text_key")
 
 
+@query()
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents"), PIECE_FILE)
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -68,6 +89,16 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"), BPE_FILE, keep_ids=False)
 
 
+@query()
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"))
+
+
+@query()
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.extract(table(spark, folder, "pages"))
+
+
 @query()
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return cotraining.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
