@@ -78,18 +78,31 @@ def link(messages: DataFrame, thread: str, order: str, text: str) -> DataFrame:
 
 
 def _roots(votes: DataFrame) -> DataFrame:
-    """Follow parents to the root by doubling: after k rounds every message knows its ancestor 2^k steps up."""
-    now = votes.withColumns({"root": F.coalesce("parent", "order"), "depth": F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long")})
+    """Follow parents to the root by doubling: after k rounds every message knows its ancestor 2^k steps up.
+
+    A message that has reached its root leaves the rounds, so a long thread costs rounds for itself alone.
+    """
+    reach = {"root": F.coalesce("parent", "order"), "depth": F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long")}
+    known = votes.withColumns(reach)
+    done, open_ = [known.where("parent IS NULL")], known.where("parent IS NOT NULL")
     while True:
-        up = now.where("parent IS NOT NULL").select(F.col("thread"), F.col("order").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"))
-        joined = now.join(up, ["thread", "root"], "left")
-        now = cut_lineage(joined.select(
+        up = open_
+        for part in done[1:]:
+            up = up.unionByName(part)
+        up = up.select(F.col("thread"), F.col("order").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"))
+        joined = open_.join(up, ["thread", "root"], "left")
+        stepped = cut_lineage(joined.select(
             "thread", "order", "parent", F.coalesce("above", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
             "n_quoted", "n_linked", F.col("above").isNotNull().alias("moved"),
         ))
-        if now.where("moved").isEmpty():
-            return now.drop("moved")
-        now = now.drop("moved")
+        done.append(stepped.where("NOT moved").drop("moved"))
+        open_ = stepped.where("moved").drop("moved")
+        if open_.isEmpty():
+            break
+    placed = done[0]
+    for part in done[1:]:
+        placed = placed.unionByName(part)
+    return placed
 
 
 def with_quotes(conversations: DataFrame) -> DataFrame:
