@@ -15,6 +15,7 @@ from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Words whose results a task keeps; when full, it starts over.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 #: Longer words are not kept.
 CACHED_LENGTH = 64
 #: White space of Unicode; unlike str.split() without the separators U+001C to U+001F.
@@ -158,7 +159,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             for t in batch:
                 ids, decoded, n = model.encode(t or "")
                 row = (n, sha256(ids).hexdigest(), sha256(decoded.encode()).hexdigest())
-                rows.append((*row, array("i", ids).tolist()) if keep_ids else row)
+                rows.append((*row, np.frombuffer(ids, "<i4")) if keep_ids else row)
             yield pd.DataFrame(rows, columns=["n", "ids_sha256", "decoded_sha256", "ids"][: len(rows[0]) if rows else 4 - (not keep_ids)])
 
     done = docs.select(F.col(doc_id).alias("doc_id"), run(F.col(text)).alias("r"))
