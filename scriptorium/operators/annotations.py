@@ -44,21 +44,21 @@ def latest_manual_note(annotations: DataFrame) -> DataFrame:
     )
 
 
-def annotation_history(annotations: DataFrame, slot: str = "1 minute") -> DataFrame:
+def annotation_history(annotations: DataFrame, slot: str = "minute") -> DataFrame:
     """Every row with its version number in the file and the content before it.
 
     Rows are numbered inside time slots and the slots' totals are carried over, so that
     the log of one busy file is sorted in many tasks.  The tasks of the second step see
-    one row per file and slot.
+    one row per file and slot.  ``slot`` is a unit of time; rows without time come first.
     """
-    log = annotations.withColumn("slot", F.window("created_at", slot)["start"])
+    log = annotations.withColumn("slot", F.date_trunc(slot, "created_at"))
     slots = log.groupBy("file_id", "slot").agg(
         F.count("*").alias("rows"), F.max_by("content", _log_order()).alias("last_content")
     )
     by_slot = Window.partitionBy("file_id").orderBy("slot")
     carried = slots.select(
-        "file_id",
-        "slot",
+        F.col("file_id").alias("of_file"),
+        F.col("slot").alias("of_slot"),
         F.coalesce(
             F.sum("rows").over(by_slot.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("earlier"),
@@ -68,7 +68,7 @@ def annotation_history(annotations: DataFrame, slot: str = "1 minute") -> DataFr
     return (
         log.withColumn("place", F.row_number().over(inside))
         .withColumn("before", F.lag("content").over(inside))
-        .join(carried, ["file_id", "slot"])
+        .join(carried, F.col("file_id").eqNullSafe(F.col("of_file")) & F.col("slot").eqNullSafe(F.col("of_slot")))
         .select(
             "file_id",
             "id",

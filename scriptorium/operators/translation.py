@@ -21,21 +21,20 @@ def distinct_texts(items: DataFrame) -> DataFrame:
     return items.select("text").distinct()
 
 
-def _by_text(cache: DataFrame) -> DataFrame:
-    """``text, translated`` with one row per text, whatever was appended twice.
+def _translated(items: DataFrame, cache: DataFrame, how: str) -> DataFrame:
+    """Items joined with one row per cached text, whatever was appended twice.
 
-    The grouping shares its exchange with the join on ``text`` that follows.
+    The hash as a second key gives the join exchanges of its own.  Were the grouping to
+    share its exchange, AQE could not split the partition of a text that fills a third of the items.
     """
-    return cache.groupBy(F.col("original").alias("text")).agg(F.max("translated").alias("translated"))
+    known = cache.groupBy(F.col("original").alias("text")).agg(F.max("translated").alias("translated"))
+    key = F.xxhash64("text")
+    return items.withColumn("text_key", key).join(known.withColumn("text_key", key), ["text_key", "text"], how).drop("text_key")
 
 
 def cache_lookup(items: DataFrame, cache: DataFrame) -> DataFrame:
-    """Items with their cached translation, null where there is none.
-
-    A text that fills a third of the items still meets one row, so AQE can split its
-    partition freely.
-    """
-    return items.join(_by_text(cache), "text", "left")
+    """Items with their cached translation, null where there is none."""
+    return _translated(items, cache, "left")
 
 
 def cache_misses(items: DataFrame, cache: DataFrame) -> DataFrame:
@@ -62,16 +61,37 @@ def translation_batches(misses: DataFrame, chunk: int = CHUNK, digits: int = 2)
 def translate(
     misses: DataFrame, translator: Callable[[list[str]], list[str | None]], chunk: int = CHUNK
 ) -> DataFrame:
-    """Call a user translator on lists of at most ``chunk`` texts, task by task."""
+    """Call a user translator on lists of at most ``chunk`` texts, task by task.
+
+    A list whose call fails, or whose answer has another length, is tried text by text; what still
+    fails has no translation and an ``error``.
+    """
+
+    def one(text: str) -> tuple[str | None, str | None]:
+        try:
+            answer = translator([text])
+            if len(answer) != 1:
+                raise ValueError(f"{len(answer)} answers to 1 text")
+            return answer[0], None
+        except Exception as failure:  # the translator is the user's
+            return None, f"{type(failure).__name__}: {failure}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
             for start in range(0, len(texts), chunk):
                 part = texts[start : start + chunk]
-                yield pd.DataFrame({"original": part, "translated": translator(part)})
+                try:
+                    answers = [(answer, None) for answer in translator(part)]
+                except Exception:
+                    answers = []
+                if len(answers) != len(part):
+                    answers = [one(text) for text in part]
+                yield pd.DataFrame(
+                    {"original": part, "translated": [a for a, _ in answers], "error": [e for _, e in answers]}
+                )
 
-    return misses.select("text").mapInPandas(run, "original string, translated string")
+    return misses.select("text").mapInPandas(run, "original string, translated string, error string")
 
 
 def keeps_note(text: Column, translated: Column) -> Column:
@@ -89,7 +109,7 @@ def keeps_comment(text: Column, translated: Column) -> Column:
 def translation_writeback(items: DataFrame, cache: DataFrame) -> DataFrame:
     """Every place of every text that has a usable translation."""
     return (
-        items.join(_by_text(cache), "text")
+        _translated(items, cache, "inner")
         .filter(keeps_note(F.col("text"), F.col("translated")))
         .select("file_id", "seq", "line", "text", "translated")
     )
@@ -118,8 +138,7 @@ def inject_translations(files: DataFrame, cache: DataFrame, ranges: str = tx.JAP
     their line, or for the next line comment, or for the end of the file.
     """
     found = (
-        sg.translation_candidates(files, ranges)
-        .join(_by_text(cache), "text")
+        _translated(sg.translation_candidates(files, ranges), cache, "inner")
         .filter(keeps_comment(F.col("text"), F.col("translated")))
         .select("file_id", "seq", "translated")
     )

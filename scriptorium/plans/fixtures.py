@@ -222,7 +222,7 @@ SQL["legacy_files"] = (
        WHEN 4 THEN {_sql_cases(MAGIC, "variant")} || chr(0) || sjis
        WHEN 5 THEN ascii_text || chr(0)
        WHEN 6 THEN sjis || {quoted(chr(0x82))}
-       WHEN 7 THEN CASE WHEN variant % 4 = 3 THEN sjis || {quoted(chr(84) + "EXT" + chr(0) * 2)}
+       WHEN 7 THEN CASE WHEN variant % 4 = 3 THEN sjis || {quoted("TEXT" + chr(0) * 2)}
                         ELSE {_sql_cases(CHUNKS, "variant % 4")} || sjis END END AS raw
 FROM legacy_base""",
 )

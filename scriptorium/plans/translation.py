@@ -74,12 +74,19 @@ def translation_batches(spark: SparkSession, d: str) -> DataFrame:
     return tr.translation_batches(tr.cache_misses(items, fx.translation_cache(items)))
 
 
-@query(fx.with_views("SELECT text AS original, '<' || reverse(text) || '>' AS translated FROM misses", "detected", "item_cache", misses=_MISSES))
+@query(fx.with_views("""SELECT text AS original, CASE WHEN length(text) % 5 > 0 THEN '<' || reverse(text) || '>' END AS translated,
+       CASE WHEN length(text) % 5 = 0 THEN 'ValueError: refused' END AS error FROM misses""", "detected", "item_cache", misses=_MISSES))
 def user_translator(spark: SparkSession, d: str) -> DataFrame:
-    """The hook with a stand-in translator."""
+    """The hook with a stand-in translator that refuses every list with a text whose length is divisible by five."""
+
+    def stand_in(texts: list[str]) -> list[str]:
+        if any(len(text) % 5 == 0 for text in texts):
+            raise ValueError("refused")
+        return [f"<{text[::-1]}>" for text in texts]
+
     items = _items(spark, d)
     misses = tr.cache_misses(items, fx.translation_cache(items))
-    return tr.translate(misses, lambda texts: [f"<{text[::-1]}>" for text in texts])
+    return tr.translate(misses, stand_in)
 
 
 @query(

@@ -23,7 +23,10 @@ def load_cache_csv(spark: SparkSession, location: str) -> DataFrame:
             # Rows written with CRLF keep their carriage return in multi-line mode.
             F.regexp_replace("original", "\r\\z", "").alias("original"),
             F.regexp_replace("translated", "\r\\z", "").alias("translated"),
-            F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("row_order"),
+            # Part files carry random names, so the time of writing comes first.
+            F.struct(
+                F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.monotonically_increasing_id()
+            ).alias("row_order"),
         )
     )
     return (
@@ -41,9 +44,10 @@ def append_cache_csv(pairs: DataFrame, location: str) -> None:
 
 
 def unseen(pairs: DataFrame, cache: DataFrame) -> DataFrame:
-    """New pairs, one per key: what an append has to write."""
+    """New pairs, one per key: what an append has to write.  A text without translation stays a miss."""
     return (
-        pairs.groupBy("original")
+        pairs.filter(F.col("translated").isNotNull())
+        .groupBy("original")
         .agg(F.min("translated").alias("translated"))
         .join(cache.select("original"), "original", "left_anti")
     )

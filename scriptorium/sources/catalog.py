@@ -16,6 +16,7 @@ def scan_files(
     Spark lists the files without opening them; filters on ``length`` reach the scan.
     ``glob`` keeps matching names before anything is read, for example ``{*.c,*.h}``.
     A ``lenient`` scan goes on past files that cannot be read; see :func:`unreadable`.
+    What ``max_bytes`` leaves out is returned by :func:`too_large`.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
@@ -28,6 +29,12 @@ def scan_files(
     return files.withColumn("path", relative_to(F.col("path"), root))
 
 
+def too_large(spark: SparkSession, root: str, max_bytes: int, glob: str | None = None) -> DataFrame:
+    """``path, length, error`` for each file that a scan with the same ``max_bytes`` leaves out; none is opened."""
+    files = scan_files(spark, root, glob).select("path", "length")
+    return files.filter(F.col("length") > max_bytes).withColumn("error", F.lit("too large"))
+
+
 def unreadable(listing: DataFrame, read: DataFrame) -> DataFrame:
     """``path, error`` for each file of a stored ``listing`` that a lenient scan did not ``read``."""
     missing = listing.select("path").join(read.select("path"), "path", "left_anti")

@@ -1,7 +1,8 @@
 """Two streams whose result is that of the batch operator.
 
-Each micro-batch is written to its own ``batch=<id>`` folder in overwrite mode, so a
-batch that is replayed after a failure replaces itself.
+Each micro-batch is written to its own ``run=<query id>/batch=<id>`` folder in overwrite mode, so a
+batch that is replayed after a failure replaces itself.  The query id lives in the checkpoint: a new
+checkpoint starts a new run and leaves what earlier ones have written.
 """
 
 from __future__ import annotations
@@ -15,11 +16,18 @@ from scriptorium.sources.catalog import catalog, new_files, relative_to
 ARRIVALS = T.StructType([T.StructField("path", T.StringType()), T.StructField("filename", T.StringType())])
 
 
-def _stored(spark: SparkSession, location: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).option(
-        "basePath", location
-    ).parquet(location)
-    return rows if before is None else rows.filter(F.col("batch") < before)
+def _stored(spark: SparkSession, location: str, schema: T.StructType) -> DataFrame:
+    runs = [T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())]
+    return spark.read.schema(T.StructType([*schema.fields, *runs])).option("basePath", location).parquet(location)
+
+
+def _folder(location: str, run: str, batch_id: int) -> str:
+    return f"{location}/run={run}/batch={batch_id}"
+
+
+def _run_of(batch: DataFrame) -> str:
+    """The id of the streaming query that handed over ``batch``."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
 
 
 def watch_files(spark: SparkSession, root: str, files_per_batch: int = 10_000) -> DataFrame:
@@ -37,11 +45,13 @@ def watch_files(spark: SparkSession, root: str, files_per_batch: int = 10_000) -
 def index_arrivals(arrivals: DataFrame, location: str, checkpoint: str) -> StreamingQuery:
     """Append each new ``path, filename`` of a stream of listings once."""
     spark = arrivals.sparkSession
-    spark.createDataFrame([], ARRIVALS).write.mode("ignore").parquet(f"{location}/batch=-1")
+    spark.createDataFrame([], ARRIVALS).write.mode("ignore").parquet(_folder(location, "none", -1))
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        known = _stored(spark, location, ARRIVALS, before=batch_id)
-        new_files(batch, known).write.mode("overwrite").parquet(f"{location}/batch={batch_id}")
+        run = _run_of(batch)
+        replayed = (F.col("run") == run) & (F.col("batch") >= batch_id)
+        known = _stored(spark, location, ARRIVALS).filter(~replayed)
+        new_files(batch, known).write.mode("overwrite").parquet(_folder(location, run, batch_id))
 
     return (
         arrivals.select("path", "filename")
@@ -82,7 +92,7 @@ def follow_annotations(log: DataFrame, location: str, checkpoint: str) -> Stream
 
     def reduce(batch: DataFrame, batch_id: int) -> None:
         newest = _newest(batch.filter(F.col("line_number") == FILE_LEVEL))
-        newest.write.mode("overwrite").parquet(f"{location}/batch={batch_id}")
+        newest.write.mode("overwrite").parquet(_folder(location, _run_of(batch), batch_id))
 
     return (
         log.writeStream.foreachBatch(reduce)

@@ -153,3 +153,12 @@ def test_tool_output(spark):
     found = an.tool_output(spark.createDataFrame(rows, "file_id long, output string")).collect()
     assert sorted((r.file_id, r.line, r.note, r.error) for r in found if r.line) == [(1, 3, "a", None), (1, 4, "b {c}", None)]
     assert {r.file_id: r.error for r in found if r.error} == {2: "no JSON", 3: "bad JSON", 4: "gone"}
+
+
+def test_history_keeps_rows_without_time(spark):
+    rows = spark.sql(
+        """SELECT * FROM VALUES (1L, 1L, 'old', NULL), (2L, 1L, 'older', NULL), (3L, 1L, 'new', TIMESTAMP_NTZ'2024-01-01 00:00:00'),
+           (4L, NULL, 'alone', NULL) AS t(id, file_id, content, created_at)"""
+    )
+    got = {r.id: (r.version, r.previous) for r in an.annotation_history(rows).collect()}
+    assert got == {1: (1, None), 2: (2, "old"), 3: (3, "older"), 4: (1, None)}

@@ -50,6 +50,23 @@ def test_listing_opens_no_file(spark, tree):
     assert "LessThanOrEqual(length,100)" in plan
 
 
+def test_too_large_files_are_told(spark, tree):
+    root = tree[0]
+    small, large = ct.scan_files(spark, root, max_bytes=3), ct.too_large(spark, root, 3)
+    assert {r.error for r in large.collect()} <= {"too large"}
+    assert small.count() + large.count() == ct.scan_files(spark, root).count()
+
+
+def test_a_new_checkpoint_keeps_what_is_indexed(spark):
+    """The old input is gone and the checkpoint is lost; numbering starts again, the index stays."""
+    base = working_dir(spark, "restart")
+    for k, names in enumerate((["a/b", "a/c"], ["c"])):
+        spark.createDataFrame([(n, n) for n in names], inc.ARRIVALS).write.parquet(f"{base}/in{k}")
+        stream = spark.readStream.schema(inc.ARRIVALS).parquet(f"{base}/in{k}")
+        inc.index_arrivals(stream, f"{base}/out", f"{base}/checkpoint{k}").awaitTermination()
+    assert sorted(r.path for r in inc.indexed(spark, f"{base}/out").collect()) == ["a/b", "a/c", "c"]
+
+
 def test_rescan_adds_nothing(spark, tree):
     listing = ct.catalog(ct.scan_files(spark, tree[0]))
     assert ct.new_files(listing, listing.filter("path = 'a.c'")).count() == 4

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
 from scriptorium.operators import segments as sg, translation as tr
+from scriptorium.sources import cache as ca
 
 SOURCE = (
     "int a; // あ\n"
@@ -75,7 +76,7 @@ def test_loop(spark):
     asked = tr.cache_misses(items, cache)
     assert [r.text for r in asked.collect()] == ["う"]
     added = tr.translate(asked, lambda texts: [t.replace("う", "u") for t in texts])
-    notes = tr.notes_per_line(tr.translation_writeback(items, cache.unionByName(added)))
+    notes = tr.notes_per_line(tr.translation_writeback(items, cache.unionByName(added.drop("error"))))
     assert {(r.file_id, r.line): r.note for r in notes.collect()} == {
         (1, 1): "Translated: a i", (1, 2): "Translated: u", (1, 3): "Translated: u", (2, 1): "Translated: u\nTranslated: u",
     }
@@ -89,6 +90,32 @@ def test_batches_hold_at_most_a_chunk(spark):
     tr.translate(texts.coalesce(1), lambda part: sizes.append(len(part)) or part).count()
 
 
+def test_failing_translator(spark):
+    """A list that fails, or is answered in another length, is tried text by text; failures stay misses."""
+    def translator(texts):
+        if "bad" in texts:
+            raise RuntimeError("down")
+        return [] if "odd" in texts else [t.upper() for t in texts if t != "gone"]
+
+    texts = spark.createDataFrame([("a",), ("bad",), ("b",), ("odd",), ("c",), ("gone",)], "text string").coalesce(1)
+    done = tr.translate(texts, translator, chunk=2)
+    assert {r.original: (r.translated, r.error) for r in done.collect()} == {
+        "a": ("A", None), "b": ("B", None), "c": ("C", None), "bad": (None, "RuntimeError: down"),
+        "odd": (None, "ValueError: 0 answers to 1 text"), "gone": (None, "ValueError: 0 answers to 1 text"),
+    }
+    empty = spark.createDataFrame([], "original string, translated string")
+    assert ca.unseen(done, empty).count() == 3
+
+
+def test_cache_join_has_exchanges_of_its_own(spark):
+    """Else AQE could not split the partition of a hot text."""
+    items = spark.range(1000).select((F.col("id") % 3).cast("string").alias("text"), "id")
+    cache = spark.range(1000).selectExpr("CAST(id AS string) AS original", "'t' AS translated")
+    with_hint = tr.cache_lookup(items.hint("merge"), cache)
+    plan = with_hint._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(text_key") == 2
+
+
 def test_hot_text_keeps_every_place(spark):
     """A third of all items are one licence line."""
     files = spark.range(3000).select(
