@@ -29,7 +29,8 @@ POOLED = 200.0
 #: Probability of a letter that no piece covers, in every language.
 UNKNOWN = 1e-8
 UNDETERMINED = "und"
-CACHED_WORDS = 150_000
+#: White-space tokens, and words within them, whose scores a task keeps; when full, it starts over.
+CACHED_WORDS = 300_000
 _START = "▁"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TINY, _GREAT = 1e-200, 1e200
@@ -105,10 +106,11 @@ class Model:
     table: dict[str, tuple[float, ...]]
     longest: int
     seen: dict[str, int] = field(default_factory=dict)
+    words: dict[str, list[float]] = field(default_factory=dict)
     rows: np.ndarray | None = None
 
     def __getstate__(self):
-        return {"langs": self.langs, "table": self.table, "longest": self.longest, "seen": {}, "rows": None}
+        return {"langs": self.langs, "table": self.table, "longest": self.longest, "seen": {}, "words": {}, "rows": None}
 
     def _row(self, token: str) -> int:
         if len(self.seen) >= CACHED_WORDS:
@@ -116,10 +118,18 @@ class Model:
         at = self.seen[token] = len(self.seen)
         scores = np.zeros(len(self.langs))
         for word in words_of(token):
-            scores += forward(word, self.table, self.longest, len(self.langs))
+            scores += self._word(word)
         self.rows[at] = scores
         return at
 
+    def _word(self, word: str) -> list[float]:
+        """Tokens differ in case and marks more than their words do, so words are kept by themselves."""
+        if (known := self.words.get(word)) is None:
+            if len(self.words) >= CACHED_WORDS:
+                self.words.clear()
+            known = self.words[word] = forward(word, self.table, self.longest, len(self.langs))
+        return known
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its probability with equal priors; a text without letters is undetermined."""
         if not text or not self.langs or not _LETTERS.search(text):
