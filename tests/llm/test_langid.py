@@ -1,7 +1,9 @@
 import itertools
 import math
 import zlib
+from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -33,6 +35,33 @@ def test_expected_counts():
         assert counts.get(piece, 0) == pytest.approx(sum(p * way.count(piece) for way, p in ways.items()) / sum(ways.values()))
 
 
+def test_arrays_agree_with_one_word_at_a_time():
+    vocab, longest = langid.pieces(PATH)
+    table = {piece: (1 / (k + 2) ** 1.1, 1 / (len(vocab) - k) ** 1.2) for k, piece in enumerate(vocab)}
+    words = ["a", "the", "straße", "niño", "été", "zzz", "日本語", "a" * 24, "b" * 25, "q" * 400, "xñß", "don", "жук"]
+    scores = langid.Model(["x", "y"], table, longest, PATH).scores(words)
+    assert scores == pytest.approx(np.array([langid.forward(w, table, longest, 2) for w in words]))
+    prob = {piece: p[0] for piece, p in table.items()}
+    trie, times = langid._trie(PATH), np.arange(1.0, len(words) + 1)
+    uses, left = trie.expected(words, times, trie.weights({piece: (p,) for piece, p in prob.items()}, 1)[:, 0])
+    assert {words[at] for at in left} >= {"日本語", "b" * 25, "q" * 400} and len(left) <= 4
+    want = Counter()
+    for at in set(range(len(words))) - set(left):
+        want.update({piece: c * times[at] for piece, c in langid.expected(words[at], prob, longest).items()})
+    assert {piece: uses[node] for piece, node in trie.nodes.items() if uses[node]} == pytest.approx(dict(want))
+
+
+def test_slices_and_full_cache_change_nothing(monkeypatch):
+    vocab, longest = langid.pieces(PATH)
+    table = {piece: (1 / (k + 2), 1 / (len(vocab) - k)) for k, piece in enumerate(vocab)}
+    texts = ["the cat sat", None, "", "12", "el gato come " * 30, "the CAT, the dog"] * 3
+    whole = langid.Model(["x", "y"], table, longest, PATH).predict(texts)
+    monkeypatch.setattr(langid, "CACHED_WORDS", 2)
+    monkeypatch.setattr(langid, "SLICE_LETTERS", 1)
+    cut = langid.Model(["x", "y"], table, longest, PATH).predict(texts)
+    assert cut == whole and len(whole) == len(texts)
+
+
 def test_held_out_accuracy(spark, sample):
     docs = table(spark, sample, "documents")
     rows = langid.identify(docs, PATH).join(docs.select("doc_id", "lang"), "doc_id").collect()
