@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Words whose results a task keeps; when full, it starts over.
+#: Words whose results a task keeps: the last so many, and those among as many before that are asked for again.
 CACHED_WORDS = 100_000
 #: Longer words are not kept.
 CACHED_LENGTH = 64
@@ -38,6 +38,30 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
+_BYTE_LETTERS = dict(enumerate(byte_letters()))
+_LATIN = regex.compile("[\x21-\x7e\xc0-\xff]+")
+
+
+class Kept(dict):
+    """A bounded table; when full it becomes the older one, from which a value asked for again comes back."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict = {}
+
+    def recall(self, key):
+        """The value of a key that the table itself lacks, or None."""
+        if (value := self.older.get(key)) is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self) >= CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class Bpe:
     """The vocabulary, merges, pattern and special tokens of one tokenizer file."""
 
@@ -54,76 +78,96 @@ class Bpe:
         self.inner = {c: vocab.get(c) for c in letters}
         self.final = {c: vocab.get(c + self.suffix) for c in letters}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: Rank of each pair of symbols, and what the merge of that rank makes.
+        self.ranks, self.made = {}, []
+        for rank, (a, b) in enumerate(pairs):
+            self.ranks[vocab[a], vocab[b]] = rank
+            self.made.append(vocab[a + b])
         self.rules = Tokenizer.from_file(path)
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.seen: dict[str, tuple[bytes, str, int]] = {}
+        self.seen = Kept()
+        self.words = Kept()
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge the pair of the lowest rank, at equal rank the leftmost, until none is left."""
-        merges, n = self.merges, len(symbols)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        after[-1] = -1
-        heap = []
-        for i in range(n - 1):
-            if known := merges.get((symbols[i], symbols[i + 1])):
-                heap.append((known[0], i, known[1]))
+        rank_of, n = self.ranks.get, len(symbols)
+        # The rank, if any, of the pair that starts at each place; an entry is rank and place in one number.
+        ranks = list(map(rank_of, zip(symbols, symbols[1:])))
+        heap = [rank << 32 | i for i, rank in enumerate(ranks) if rank is not None]
+        if not heap:
+            return symbols
         heapq.heapify(heap)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        ranks.append(None)
         while heap:
-            _, i, made = heapq.heappop(heap)
-            if symbols[i] < 0 or (j := after[i]) < 0:
-                continue
-            known = merges.get((symbols[i], symbols[j]))
-            if known is None or known[1] != made:
+            entry = heapq.heappop(heap)
+            i = entry & 0xFFFFFFFF
+            if ranks[i] != entry >> 32:
                 continue  # stale
+            made, j = self.made[entry >> 32], after[i]
             symbols[i], symbols[j] = made, -1
+            ranks[i] = ranks[j] = None
             after[i] = k = after[j]
-            if k >= 0:
+            if k < n:
                 before[k] = i
-                if known := merges.get((made, symbols[k])):
-                    heapq.heappush(heap, (known[0], i, known[1]))
-            if (h := before[i]) >= 0 and (known := merges.get((symbols[h], made))):
-                heapq.heappush(heap, (known[0], h, known[1]))
+                if (rank := rank_of((made, symbols[k]))) is not None:
+                    ranks[i] = rank
+                    heapq.heappush(heap, rank << 32 | i)
+            if (h := before[i]) >= 0:
+                ranks[h] = rank = rank_of((symbols[h], made))
+                if rank is not None:
+                    heapq.heappush(heap, rank << 32 | h)
         return [s for s in symbols if s >= 0]
 
     def _words(self, chunk: str) -> list[str]:
-        """The words of a chunk in byte letters.  Printable ASCII letters stand for themselves; what is lower case or a letter
-        elsewhere depends on the edition of Unicode, so the library's own rules are asked."""
+        """The words of a chunk in byte letters.  Printable ASCII letters stand for themselves, and Latin-1 letters have one lower
+        case; what is lower case or a letter elsewhere depends on the edition of Unicode, so the library's own rules are asked."""
         if chunk.isascii() and chunk.isprintable():
             return self.word.findall(chunk.lower())
+        if _LATIN.fullmatch(chunk):
+            return [word.encode().decode("latin-1").translate(_BYTE_LETTERS) for word in self.word.findall(chunk.lower())]
         whole = self.rules.normalizer.normalize_str(chunk)
         return [word for word, _ in self.rules.pre_tokenizer.pre_tokenize_str(whole)]
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str, int]:
-        """Ids as bytes, their strings and their number, of text without white space."""
-        if found := self.seen.get(chunk):
+    def _chunk(self, chunk: str) -> tuple[bytes, str]:
+        """Ids as bytes and their strings, of text without white space that ``seen`` lacks."""
+        if found := self.seen.recall(chunk):
             return found
         ids: list[int] = []
         for letters in self._words(chunk):
-            symbols = [self.inner[c] for c in letters[:-1]] + [self.final[letters[-1]]]
-            ids += self.merge([s for s in symbols if s is not None])
-        found = (_packed(ids), self.decode(ids), len(ids))
+            ids += self._word(letters)
+        found = (_packed(ids), self.decode(ids))
         if len(chunk) <= CACHED_LENGTH:
-            if len(self.seen) >= CACHED_WORDS:
-                self.seen.clear()
-            self.seen[chunk] = found
+            self.seen.keep(chunk, found)
         return found
 
-    def _chunks(self, text: str) -> Iterator[tuple[bytes, str, int]]:
+    def _word(self, letters: str) -> list[int]:
+        """Chunks differ in case and marks more than their words do, so words are kept by themselves."""
+        if (known := self.words.get(letters)) is None and (known := self.words.recall(letters)) is None:
+            symbols = [self.inner[c] for c in letters[:-1]] + [self.final[letters[-1]]]
+            known = self.merge([s for s in symbols if s is not None])
+            if len(letters) <= CACHED_LENGTH:
+                self.words.keep(letters, known)
+        return known
+
+    def _chunks(self, text: str) -> list[tuple[bytes, str]]:
         if "<" in text and self.marks.search(text):
+            found: list[tuple[bytes, str]] = []
             for part in self.marks.split(text):
                 if (mark := self.special.get(part)) is not None:
-                    yield _packed([mark]), part, 1
+                    found.append((_packed([mark]), part))
                 else:
-                    yield from self._chunks(part)
-            return
-        chunks = _SPACE.split(text) if _SEPARATORS.search(text) else text.split()
-        yield from map(self._chunk, filter(None, chunks))
+                    found += self._chunks(part)
+            return found
+        chunks = filter(None, _SPACE.split(text)) if _SEPARATORS.search(text) else text.split()
+        seen, made = self.seen.get, self._chunk
+        return [seen(chunk) or made(chunk) for chunk in chunks]
 
     def encode(self, text: str) -> tuple[bytes, str, int]:
         """Ids as little-endian unsigned 32-bit integers, the decoded text, and the number of ids."""
-        parts = list(self._chunks(text))
-        return b"".join(p[0] for p in parts), " ".join([p[1] for p in parts if p[2]]), sum(p[2] for p in parts)
+        parts = self._chunks(text)
+        ids = b"".join([p[0] for p in parts])
+        return ids, " ".join([p[1] for p in parts if p[0]]), len(ids) // 4
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary strings, joined by a space: the tokenizer names no decoder."""

@@ -2,6 +2,7 @@ import random
 import struct
 from hashlib import sha256
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -59,3 +60,16 @@ def test_full_cache_starts_over(library, monkeypatch):
     text = " ".join(f"word{i}" for i in range(50))
     assert list(struct.unpack(f"<{model.encode(text)[2]}I", model.encode(text)[0])) == library.encode(text, add_special_tokens=False).ids
     assert len(model.seen) <= 3
+
+
+def test_latin_letters_and_lasting_words_equal_the_library(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 50)
+    model, library = bpe.Bpe(PATH), Tokenizer.from_file(PATH)
+    library.no_truncation()
+    letters = [chr(c) for c in [*range(0x21, 0x7F, 3), *range(0xA1, 0x100), 0x130, 0x301, 0x1E9E]]
+    for a in letters:
+        text = " the ".join(f"A{a}é{b} {a}{b}" for b in letters)
+        ids, decoded, n = model.encode(text)
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and n == len(want)
+        assert decoded == library.decode(want, skip_special_tokens=False)
