@@ -9,7 +9,10 @@ from scriptorium.functions import text as tx
 # Fixed values of the blob format.
 LINES_MARK = "@lines"
 _SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_HEADING = rf"(?md)^#{_SPACE}*+([0-9]++){_SPACE}*+"
+#: A number of more digits is no line number; such a line stays text of the note it is in.
+LINE_DIGITS = 18
+_HEADING = rf"(?md)^#{_SPACE}*+([0-9]{{1,{LINE_DIGITS}}}+)(?![0-9]){_SPACE}*+"
+NOTES = "array<struct<line:bigint,note:string>>"
 
 
 def file_note(blob: Column) -> Column:
@@ -28,12 +31,23 @@ def line_notes(blob: Column) -> Column:
     pieces = F.split(part, _HEADING)
     notes = F.transform(
         F.arrays_zip(numbers.alias("n"), F.slice(pieces, F.lit(2), F.size(pieces)).alias("t")),
-        lambda item, i: F.struct(
-            item["n"].try_cast("int").alias("line"), i.alias("pos"), tx.strip(item["t"]).alias("note")
-        ),
+        lambda item, i: F.struct(item["n"].cast("bigint").alias("line"), i.alias("rank"), tx.strip(item["t"]).alias("note")),
     )
-    kept = F.array_sort(F.filter(notes, lambda n: n["line"].isNotNull() & (n["note"] != "")))
-    pairs = F.arrays_zip(kept.alias("this"), F.slice(kept, F.lit(2), F.size(kept)).alias("next"))
+    return last_of_lines(F.filter(notes, lambda n: n["note"] != ""))
+
+
+def ranked(notes: Column, rank: int) -> Column:
+    """``notes`` with the rank that ``last_of_lines`` goes by."""
+    return F.transform(
+        F.coalesce(notes, F.array().cast(NOTES)),
+        lambda n: F.struct(n["line"].alias("line"), F.lit(rank).alias("rank"), n["note"].alias("note")),
+    )
+
+
+def last_of_lines(notes: Column) -> Column:
+    """Of ``array<struct<line, rank, note>>`` the note of the highest rank of each line, by line."""
+    by_line = F.array_sort(notes)
+    pairs = F.arrays_zip(by_line.alias("this"), F.slice(by_line, F.lit(2), F.size(by_line)).alias("next"))
     return F.transform(
         F.filter(pairs, lambda p: ~p["next"]["line"].eqNullSafe(p["this"]["line"])),
         lambda p: F.struct(p["this"]["line"].alias("line"), p["this"]["note"].alias("note")),
@@ -42,7 +56,7 @@ def line_notes(blob: Column) -> Column:
 
 def rebuild(global_note: Column, notes: Column) -> Column:
     """Blob of a file note and ``array<struct<line, note>>``."""
-    has_notes = F.size(F.coalesce(notes, F.array().cast("array<struct<line:int,note:string>>"))) > 0
+    has_notes = F.size(F.coalesce(notes, F.array().cast(NOTES))) > 0
     blocks = F.transform(
         F.filter(F.array_sort(notes), lambda n: tx.strip(n["note"]) != ""),
         lambda n: F.concat(F.lit("# "), n["line"].cast("string"), F.lit("\n"), tx.strip(n["note"]), F.lit("\n")),
@@ -61,3 +75,31 @@ def merge_note(old: Column, new: Column) -> Column:
     return F.when(old.isNull(), new).when(new.isNull() | F.contains(old, new), old).otherwise(
         F.concat(old, F.lit("\n\n"), new)
     )
+
+
+def merge_notes(old: Column, new: Column) -> Column:
+    """``old`` notes with ``new`` (``array<struct<line, notes>>``, each line once) appended line by line."""
+    was = F.transform(old, lambda n: F.struct(
+        n["line"].alias("line"), F.lit(0).alias("rank"), n["note"].alias("note"), F.array().cast("array<string>").alias("more")
+    ))
+    more = F.transform(new, lambda n: F.struct(
+        n["line"].alias("line"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("note"), n["notes"].alias("more")
+    ))
+    by_line = F.array_sort(F.concat(was, more))
+    # At most two items share a line: what was there, then what is new.
+    shifted = F.concat(F.array(F.lit(None)), by_line)
+    triples = F.arrays_zip(
+        by_line.alias("this"), F.slice(shifted, F.lit(1), F.size(by_line)).alias("before"), F.slice(by_line, F.lit(2), F.size(by_line)).alias("next")
+    )
+    same = lambda a, b: a["line"].eqNullSafe(b["line"])
+    return F.transform(
+        F.filter(triples, lambda p: ~same(p["next"], p["this"])),
+        lambda p: F.struct(
+            p["this"]["line"].alias("line"),
+            F.aggregate(
+                p["this"]["more"],
+                F.when(same(p["before"], p["this"]), p["before"]["note"]).otherwise(p["this"]["note"]),
+                merge_note,
+            ).alias("note"),
+        ),
+    )

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.functions import blob as bl, text as tx
 
+#: The line number of the log's rows that hold a whole blob.
 FILE_LEVEL = 0
-_ORIGINAL = -1
-_NOTES = "array<struct<line:int,note:string>>"
 
 
 def _log_order() -> Column:
@@ -82,43 +81,38 @@ def annotation_history(annotations: DataFrame, slot: str = "minute") -> DataFram
 # -- blobs --------------------------------------------------------------------
 
 
-def parse_annotation_blob(blobs: DataFrame, with_blob: bool = False) -> DataFrame:
-    """``file_id, line, note``; line 0 is the file note and, if wanted, line -1 the blob as it was."""
-    first = [F.struct(F.lit(FILE_LEVEL).alias("line"), bl.file_note(F.col("blob")).alias("note"))]
-    if with_blob:
-        first.append(F.struct(F.lit(_ORIGINAL).alias("line"), F.col("blob").alias("note")))
-    parsed = F.concat(F.array(*first).cast(_NOTES), bl.line_notes(F.col("blob")).cast(_NOTES))
+def parse_annotation_blob(blobs: DataFrame) -> DataFrame:
+    """``file_id, line, note``: the file note, if any, has no line; a heading ``# 0`` is a line like others.
+
+    A heading of more than 18 digits is no line number and stays in the note above it.
+    """
+    top = F.array(F.struct(F.lit(None).alias("line"), bl.file_note(F.col("blob")).alias("note"))).cast(bl.NOTES)
     return (
-        blobs.select("file_id", F.explode(parsed).alias("n"))
+        blobs.select("file_id", F.explode(F.concat(top, bl.line_notes(F.col("blob")).cast(bl.NOTES))).alias("n"))
         .select("file_id", "n.*")
-        .filter((F.col("line") != FILE_LEVEL) | (F.col("note") != ""))
+        .filter(F.col("line").isNotNull() | (F.col("note") != ""))
     )
 
 
-def _rebuilt(notes: DataFrame, *more: Column) -> DataFrame:
-    """``file_id, blob`` and the aggregates ``more`` from notes with at most one row per line.
+def blob_rebuild(notes: DataFrame) -> DataFrame:
+    """``file_id, blob`` from ``file_id, line, note``; of several notes of a line the greatest text counts.
 
     What is collected is the one value that each file's blob is.
     """
     line, note = F.col("line"), F.col("note")
     return notes.groupBy("file_id").agg(
-        F.max(F.when(line == FILE_LEVEL, note)).alias("file_note"),
-        F.collect_list(F.when((line > FILE_LEVEL) & note.isNotNull(), F.struct("line", "note"))).alias("notes"),
-        *more,
-    ).withColumn("blob", bl.rebuild(F.col("file_note"), F.col("notes").cast(_NOTES))).drop("file_note", "notes")
-
-
-def blob_rebuild(notes: DataFrame) -> DataFrame:
-    """``file_id, blob`` from ``file_id, line, note``."""
-    return _rebuilt(notes)
+        F.max(F.when(line.isNull(), note)).alias("top"),
+        F.collect_set(F.when(line.isNotNull() & note.isNotNull(), F.struct(line.cast("bigint").alias("line"), F.lit(0).alias("rank"), note.alias("note")))).alias("notes"),
+    ).select("file_id", bl.rebuild(F.col("top"), bl.last_of_lines(F.col("notes"))).alias("blob"))
 
 
 def apply_line_edits(blobs: DataFrame, edits: DataFrame) -> DataFrame:
     """``file_id, blob`` after ``edits`` (``id, file_id, line, content, created_at``) in time order.
 
-    An edit of line 0 replaces the blob, a blank one deletes its line, any other sets it.
-    Only what the outcome depends on is kept: the last replacement of a file and, after
-    it, the last edit of each line.
+    An edit of line 0 replaces the blob, a blank one deletes its line, any other sets it; edits without time come first.
+    Only what the outcome depends on is kept: the last replacement of a file and, after it, the last edit of each
+    line.  Edits are merged inside the row of their file; a blob nobody edited line by line is not parsed and stays
+    as it was written.  A negative line is written in its place, but reads back as text.
     """
     replaced = (
         edits.filter(F.col("line") == FILE_LEVEL)
@@ -132,40 +126,41 @@ def apply_line_edits(blobs: DataFrame, edits: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("created_at", "id", "content")).alias("e"))
         .join(replaced, "file_id", "left")
         .filter(F.col("r").isNull() | (F.struct("e.created_at", "e.id") > F.struct("r.created_at", "r.id")))
-        .select("file_id", "line", F.col("e.content").alias("edit"))
+        .groupBy("file_id")
+        .agg(F.collect_list(F.struct(F.col("line").cast("bigint").alias("line"), F.col("e.content").alias("note"))).alias("edits"))
     )
-    base = (
+    blob = F.when(F.col("r").isNotNull(), F.col("r.blob")).otherwise(F.col("blob"))
+    merged = bl.last_of_lines(F.concat(bl.ranked(bl.line_notes(blob), 0), bl.ranked(F.col("edits"), 1)))
+    written = bl.rebuild(bl.file_note(blob), F.filter(merged, lambda n: tx.strip(n["note"]) != ""))
+    return (
         blobs.select("file_id", "blob")
         .join(replaced, "file_id", "full_outer")
-        .select("file_id", F.when(F.col("r").isNotNull(), F.col("r.blob")).otherwise(F.col("blob")).alias("blob"))
-    )
-    note, edit = F.col("note"), F.col("edit")
-    merged = parse_annotation_blob(base, with_blob=True).join(live, ["file_id", "line"], "full_outer").select(
-        "file_id",
-        "line",
-        F.when(edit.isNull(), note).when(tx.strip(edit) != "", edit).alias("note"),
-        edit.isNotNull().alias("edited"),
-    )
-    original = F.max(F.when(F.col("line") == _ORIGINAL, F.col("note"))).alias("original")
-    return _rebuilt(merged, original, F.bool_or("edited").alias("touched")).select(
-        # A blob nobody edited line by line stays as it was written.
-        "file_id", F.when(F.col("touched"), F.col("blob")).otherwise(F.col("original")).alias("blob")
+        .join(live, "file_id", "full_outer")
+        .select("file_id", F.when(F.col("edits").isNotNull(), written).otherwise(blob).alias("blob"))
     )
 
 
 def merge_tool_notes(blobs: DataFrame, notes: DataFrame) -> DataFrame:
-    """``file_id, blob`` with ``notes`` (``file_id, line, note``) merged in; changed blobs only."""
-    new = F.col("new")
-    merged = (
-        parse_annotation_blob(blobs, with_blob=True)
-        .join(notes.select("file_id", "line", F.col("note").alias("new")), ["file_id", "line"], "full_outer")
-        .select("file_id", "line", bl.merge_note(F.col("note"), new).alias("note"), new.isNotNull().alias("added"))
-    )
-    original = F.max(F.when(F.col("line") == _ORIGINAL, F.col("note"))).alias("original")
+    """``file_id, blob`` with ``notes`` (``file_id, line, note``) merged in; changed blobs only.
+
+    Notes are gathered by file first, so that only the blobs they belong to are joined and parsed.  Rows without
+    line or note are left out; several notes of a line are appended in the order of their text.
+    """
+    new = (
+        notes.filter(F.col("line").isNotNull() & F.col("note").isNotNull())
+        .groupBy("file_id", F.col("line").cast("bigint").alias("line"))
+        .agg(F.array_sort(F.collect_set("note")).alias("notes"))
+        .groupBy("file_id")
+        .agg(F.collect_list(F.struct("line", "notes")).alias("new"))
+    )
+    merged = bl.rebuild(bl.file_note(F.col("blob")), bl.merge_notes(
+        F.coalesce(bl.line_notes(F.col("blob")), F.array().cast(bl.NOTES)), F.col("new")
+    ))
     return (
-        _rebuilt(merged, original, F.bool_or("added").alias("touched"))
-        .filter(F.col("touched") & ~F.col("blob").eqNullSafe(F.col("original")))
-        .select("file_id", "blob")
+        new.join(blobs.select("file_id", "blob"), "file_id", "left")
+        .select("file_id", merged.alias("merged"), "blob")
+        .filter(~F.col("merged").eqNullSafe(F.col("blob")))
+        .select("file_id", F.col("merged").alias("blob"))
     )
 
 
@@ -213,28 +208,36 @@ def annotation_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def tool_output(outputs: DataFrame) -> DataFrame:
-    """Notes inside mixed tool output: ``file_id, line, note, error``.
+    """Notes inside mixed tool output: ``file_id, line, note, error``; every output gives notes or exactly one error row.
 
-    The first ``{`` starts the JSON.  Output without any, or that cannot be read, gives one error row.
+    JSON goes from the first ``{`` to the end.  Of a repeated key the last counts; a key that is no number, or a null
+    note, spoils the whole output, as does text behind the JSON.  An ``error`` counts if there are no ``annotations``.
     """
-    start = F.instr("output", "{")
-    parsed = F.from_json(
-        F.when(start > 0, F.substring(F.col("output"), start, F.length("output"))),
-        "annotations map<string,string>, error string, _corrupt string",
-        {"columnNameOfCorruptRecord": "_corrupt"},
-    )
+    start = F.coalesce(F.instr("output", "{"), F.lit(0))
+    json = F.when(start > 0, F.substring(F.col("output"), start, F.length("output")))
+    # The reader ignores what follows a value; inside a list and inside an object the same text cannot both go unnoticed.
+    listed = F.from_json(F.concat(F.lit("["), json, F.lit("]")), "array<struct<annotations:map<string,string>,error:string>>")
+    nested = F.from_json(F.concat(F.lit('{"v":'), json, F.lit("}")), "v string")
     entries = F.transform(
-        F.map_entries(F.col("p.annotations")),
-        lambda e: F.struct(e["key"].try_cast("int").alias("line"), e["value"].alias("note"), F.lit(None).cast("string").alias("error")),
+        F.map_entries(F.col("p")[0]["annotations"]),
+        lambda e, i: F.struct(F.trim(e["key"]).try_cast("bigint").alias("line"), i.alias("rank"), e["value"].alias("note")),
     )
-    failure = F.when(start == 0, "no JSON").when(F.col("p._corrupt").isNotNull(), "bad JSON").otherwise(
-        F.col("p.error")
+    failure = (
+        F.when(start == 0, "no JSON")
+        .when(F.col("p").isNull() | (F.size("p") != 1) | F.col("q.v").isNull(), "bad JSON")
+        .when(F.size(F.col("p")[0]["annotations"]) > 0, F.when(
+            F.exists("entries", lambda e: e["line"].isNull() | e["note"].isNull()), "bad note"
+        ))
+        .otherwise(F.coalesce(F.col("p")[0]["error"], F.lit("no annotations")))
     )
-    failed = F.array(
-        F.struct(F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("note"), failure.alias("error"))
+    found = F.when(F.col("failure").isNull(), bl.last_of_lines(F.col("entries"))).otherwise(
+        F.array(F.struct(F.lit(None), F.lit(None))).cast(bl.NOTES)
     )
     return (
-        outputs.withColumn("p", parsed)
-        .select("file_id", F.explode(F.when(failure.isNull(), entries).otherwise(failed)).alias("r"))
-        .select("file_id", "r.*")
+        outputs.withColumn("p", listed)
+        .withColumn("q", nested)
+        .withColumn("entries", entries)
+        .withColumn("failure", failure)
+        .select("file_id", F.explode(found).alias("r"), "failure")
+        .select("file_id", "r.line", "r.note", F.col("failure").alias("error"))
     )

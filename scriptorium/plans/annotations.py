@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from scriptorium.functions import blob as bl
 from scriptorium.operators import annotations as an
 from scriptorium.plans import fixtures as fx, translation
 from scriptorium.plans.dialect import strip
@@ -21,7 +22,7 @@ def parsed_sql(source: str) -> str:
     rest = r"regexp_replace(text, '^#\s*[0-9]+', '')"
     return rf"""WITH cut AS (SELECT file_id, blob, strpos(blob, '@lines') AS mark FROM {source}),
 numbered AS (SELECT file_id, n, text,
-        CASE WHEN regexp_matches(text, '^#\s*[0-9]+') THEN regexp_extract(text, '^#\s*([0-9]+)', 1)::INTEGER END AS heading
+        CASE WHEN regexp_matches(text, '^#\s*[0-9]+') THEN regexp_extract(text, '^#\s*([0-9]+)', 1)::BIGINT END AS heading
     FROM (SELECT file_id, unnest(parts) AS text, generate_subscripts(parts, 1) AS n
           FROM (SELECT file_id, string_split({strip("substring(blob, mark + 6)")}, {_NL}) AS parts FROM cut WHERE mark > 0))),
 blocks AS (SELECT *, count(heading) OVER (PARTITION BY file_id ORDER BY n) AS block FROM numbered),
@@ -30,14 +31,14 @@ notes AS (SELECT file_id, block, max(heading) AS line,
     FROM blocks WHERE block > 0 GROUP BY file_id, block)
 SELECT file_id, line, arg_max(note, block) AS note FROM notes WHERE note <> '' GROUP BY file_id, line
 UNION ALL
-SELECT file_id, 0, note FROM (SELECT file_id, CASE WHEN mark > 0 THEN {strip("substring(blob, 1, mark - 1)")} ELSE blob END AS note FROM cut)
+SELECT file_id, NULL::BIGINT, note FROM (SELECT file_id, CASE WHEN mark > 0 THEN {strip("substring(blob, 1, mark - 1)")} ELSE blob END AS note FROM cut)
 WHERE note <> ''"""
 
 
 def rebuilt_sql(source: str) -> str:
-    return f"""SELECT file_id, {strip(f'''coalesce(max({strip("note")}) FILTER (line = 0), '') || {_NL} || {_NL} ||
-    CASE WHEN count(*) FILTER (line <> 0) > 0 THEN '@lines' || {_NL} || coalesce(string_agg('# ' || line || {_NL} || {strip("note")} || {_NL}, ''
-         ORDER BY line) FILTER (line <> 0 AND {strip("note")} <> ''), '') ELSE '' END''')} AS blob FROM {source} GROUP BY file_id"""
+    return f"""SELECT file_id, {strip(f'''coalesce(max({strip("note")}) FILTER (line IS NULL), '') || {_NL} || {_NL} ||
+    CASE WHEN count(*) FILTER (line IS NOT NULL) > 0 THEN '@lines' || {_NL} || coalesce(string_agg('# ' || line || {_NL} || {strip("note")} || {_NL}, ''
+         ORDER BY line) FILTER (line IS NOT NULL AND {strip("note")} <> ''), '') ELSE '' END''')} AS blob FROM {source} GROUP BY file_id"""
 
 
 SQL["parsed"] = (("blobs",), parsed_sql("blobs"))
@@ -114,17 +115,14 @@ def parse_annotation_blob(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     fx.with_views(
-        "SELECT file_id, line, note, row_number() OVER (PARTITION BY file_id ORDER BY line)::INTEGER AS place FROM parsed WHERE line > 0",
+        "SELECT file_id, line, note, row_number() OVER (PARTITION BY file_id ORDER BY line)::INTEGER AS place FROM parsed WHERE line IS NOT NULL",
         "parsed",
     )
 )
 def sort_notes(spark: SparkSession, d: str) -> DataFrame:
     """Notes by line, as a blob stores them."""
-    notes = an.parse_annotation_blob(an.blob_rebuild(an.parse_annotation_blob(fx.blobs(spark, d))))
-    by_file = notes.filter("line > 0").groupBy("file_id").agg(
-        F.array_sort(F.collect_list(F.struct("line", "note"))).alias("notes")
-    )
-    return by_file.select("file_id", F.posexplode("notes").alias("pos", "n")).select(
+    rebuilt = an.blob_rebuild(an.parse_annotation_blob(fx.blobs(spark, d)))
+    return rebuilt.select("file_id", F.posexplode(bl.line_notes(F.col("blob"))).alias("pos", "n")).select(
         "file_id", "n.line", "n.note", (F.col("pos") + 1).alias("place")
     )
 

@@ -310,8 +310,8 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.col("doc_id") % 5
     return documents(spark, sf_dir).select(
         F.col("doc_id").alias("file_id"),
-        F.when(shape == 0, F.concat(head, numbered))
-        .when(shape == 1, F.concat(head, numbered, F.lit("# 1\nlast one counts\n#2x\n# 3\n 　\n@lines\n")))
+        F.when(shape == 0, F.concat(head, F.lit("# 0\nzero\n"), numbered))
+        .when(shape == 1, F.concat(head, numbered, F.lit("# 1\nlast one counts\n#2x\n# 12345678901\nfar\n# 3\n 　\n@lines\n")))
         .when(shape == 2, F.col("text"))
         .when(shape == 3, F.concat(F.lit("  @lines # 7 not a heading\n#9\n"), "text"))
         .otherwise("")
@@ -322,9 +322,9 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["blobs"] = (
     (),
     """SELECT doc_id AS file_id, CASE doc_id % 5
-         WHEN 0 THEN head || numbered
+         WHEN 0 THEN head || '# 0' || chr(10) || 'zero' || chr(10) || numbered
          WHEN 1 THEN head || numbered || '# 1' || chr(10) || 'last one counts' || chr(10) || '#2x' || chr(10)
-                     || '# 3' || chr(10) || ' ' || chr(12288) || chr(10) || '@lines' || chr(10)
+                     || '# 12345678901' || chr(10) || 'far' || chr(10) || '# 3' || chr(10) || ' ' || chr(12288) || chr(10) || '@lines' || chr(10)
          WHEN 2 THEN text
          WHEN 3 THEN '  @lines # 7 not a heading' || chr(10) || '#9' || chr(10) || text
          ELSE '' END AS blob

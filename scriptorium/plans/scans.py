@@ -203,22 +203,28 @@ def versioned_rewrite(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT event_id AS file_id, event_id % 5 AS shape, json_extract_string(props, '$.k') AS k, event_type FROM events)
-SELECT file_id, CASE WHEN shape = 0 THEN k::INTEGER END AS line, CASE WHEN shape = 0 THEN event_type || ' {x}' END AS note,
-       CASE shape WHEN 1 THEN 'bad JSON' WHEN 2 THEN 'not found' WHEN 3 THEN 'no JSON' END AS error
-FROM o WHERE shape < 4
+    """WITH o AS (SELECT event_id AS file_id, event_id % 10 AS shape, json_extract_string(props, '$.k') AS k, event_type FROM events)
+SELECT file_id, CASE WHEN shape = 0 THEN k::BIGINT END AS line, CASE WHEN shape = 0 THEN event_type || ' {x}' END AS note,
+       CASE shape WHEN 1 THEN 'bad JSON' WHEN 2 THEN 'not found' WHEN 3 THEN 'no JSON' WHEN 6 THEN 'bad note'
+                  WHEN 7 THEN 'bad JSON' WHEN 8 THEN 'no annotations' WHEN 9 THEN 'no JSON' END AS error
+FROM o WHERE shape NOT IN (4, 5)
 UNION ALL SELECT file_id, 1, 'one', NULL FROM o WHERE shape = 4
-UNION ALL SELECT file_id, 200, 'two', NULL FROM o WHERE shape = 4"""
+UNION ALL SELECT file_id, 200, 'two', NULL FROM o WHERE shape = 4
+UNION ALL SELECT file_id, 7, 'last ' || k, NULL FROM o WHERE shape = 5"""
 )
 def tool_output_json(spark: SparkSession, d: str) -> DataFrame:
-    shape = F.col("event_id") % 5
+    shape = F.col("event_id") % 10
     k = F.get_json_object("props", "$.k")
     output = (
-        F.when(shape == 0, F.concat(F.lit('noise\n{"annotations": {"'), k, F.lit('": "'), "event_type", F.lit(' {x}"}}')))
+        F.when(shape == 0, F.concat(F.lit('noise\n{"annotations": {"'), k, F.lit('": "'), "event_type", F.lit(' {x}"}}\n')))
         .when(shape == 1, F.concat(F.lit('noise {"annotations": {"'), k, F.lit('": "cut')))
         .when(shape == 2, F.lit('noise {"error": "not found"}'))
         .when(shape == 3, F.concat(F.lit("Traceback "), k))
-        .otherwise('{"annotations": {"1": "one", "200": "two"}}')
+        .when(shape == 4, '{"annotations": {"1": "one", "200": "two"}}')
+        .when(shape == 5, F.concat(F.lit('{"annotations": {"7": "first", "7": "last '), k, F.lit('"}}')))
+        .when(shape == 6, F.concat(F.lit('{"annotations": {"1": "one", "line '), k, F.lit('": "lost"}}')))
+        .when(shape == 7, F.concat(F.lit('{"annotations": {"1": "one"}}\nTraceback '), k))
+        .when(shape == 8, "{}")
     )
     events = fx.table(spark, d, "events").select(F.col("event_id").alias("file_id"), output.alias("output"))
     return an.tool_output(events)

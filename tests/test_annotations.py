@@ -29,7 +29,7 @@ def build(top, notes):
 
 def random_blobs(count, seed=11):
     rng = random.Random(seed)
-    parts = ["@lines", "\n", "\n", "# 3", "#4x", "# 12\n", "note", " ", "　", "#", "5", "\n#\n7", "\t", "a # 9"]
+    parts = ["@lines", "\n", "\n", "# 3", "# 0", "# 12345678901\n", "#4x", "# 12\n", "note", " ", "　", "#", "5", "\n#\n7", "\t", "a # 9"]
     return ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(count)]
 
 
@@ -46,17 +46,16 @@ def test_parse(blobs):
         found.setdefault(row.file_id, {})[row.line] = row.note
     for number, blob in enumerate(values):
         top, notes = parse(blob)
-        expected = {**notes, **({0: top} if top else {})}
-        assert {k: v for k, v in found.get(number, {}).items() if k or v} == {k: v for k, v in expected.items() if k}| ({0: top} if top else {}), repr(blob)
+        assert found.get(number, {}) == {**notes, **({None: top} if top else {})}, repr(blob)
 
 
 def test_round_trip(spark):
     rng = random.Random(2)
     notes = {
-        n: {line: f"note {rng.random()}\nmore" for line in rng.sample(range(1, 50), rng.randrange(1, 6))} for n in range(200)
+        n: {line: f"note {rng.random()}\nmore" for line in rng.sample(range(50), rng.randrange(1, 6))} for n in range(200)
     }
     rows = [(n, line, note) for n, lines in notes.items() for line, note in lines.items()]
-    frame = spark.createDataFrame(rows, "file_id long, line int, note string")
+    frame = spark.createDataFrame(rows, "file_id long, line long, note string")
     rebuilt = an.blob_rebuild(frame)
     assert {r.file_id: r.blob for r in rebuilt.collect()} == {n: build("", lines) for n, lines in notes.items()}
     assert an.parse_annotation_blob(rebuilt).exceptAll(frame).count() == 0
@@ -149,10 +148,19 @@ def test_tool_output(spark):
     rows = [
         (1, 'log {"annotations": {"3": "a", "4": "b {c}"}}'), (2, "no json"), (3, '{"annotations": {"1'),
         (4, '{"error": "gone"}'), (5, '{"annotations": {}}'),
+        (6, '{"annotations": {"1": "a"}} {"annotations": {"1": "b"}}'), (7, '{"annotations": {"1": "a"}}] }'),
+        (8, '{"annotations": {"1": "a"}}} x}'), (9, '{"annotations": {"1": "a"}}, "w": {}'), (10, None), (11, '{"annotations": {"x": "a"}}'),
+        (12, '{"annotations": {"5": "a", "5": "b"}} \n'), (13, "{}"), (14, '{"annotations": {"1": null}}'), (15, '{"annotations": "x"}'),
     ]
     found = an.tool_output(spark.createDataFrame(rows, "file_id long, output string")).collect()
-    assert sorted((r.file_id, r.line, r.note, r.error) for r in found if r.line) == [(1, 3, "a", None), (1, 4, "b {c}", None)]
-    assert {r.file_id: r.error for r in found if r.error} == {2: "no JSON", 3: "bad JSON", 4: "gone"}
+    assert sorted((r.file_id, r.line, r.note, r.error) for r in found if r.line) == [
+        (1, 3, "a", None), (1, 4, "b {c}", None), (12, 5, "b", None),
+    ]
+    assert {r.file_id: r.error for r in found if r.error} == {
+        2: "no JSON", 3: "bad JSON", 4: "gone", 5: "no annotations", **dict.fromkeys((6, 7, 8, 9), "bad JSON"), 10: "no JSON",
+        11: "bad note", 13: "no annotations", 14: "bad note", 15: "no annotations",
+    }
+    assert len(found) == len(rows) + 1
 
 
 def test_history_keeps_rows_without_time(spark):
@@ -162,3 +170,16 @@ def test_history_keeps_rows_without_time(spark):
     )
     got = {r.id: (r.version, r.previous) for r in an.annotation_history(rows).collect()}
     assert got == {1: (1, None), 2: (2, "old"), 3: (3, "older"), 4: (1, None)}
+
+
+def test_line_zero_long_and_negative_lines(spark):
+    blob = "head\n\n@lines\n# 0\nzero\n# 2\ntwo\n# 12345678901\nfar"
+    base = spark.createDataFrame([(1, blob)], "file_id long, blob string")
+    assert an.blob_rebuild(an.parse_annotation_blob(base)).first().blob == blob
+    note = spark.createDataFrame([(1, 0, "tool"), (1, 2, "b"), (1, 2, "a"), (1, None, "x")], "file_id long, line int, note string")
+    assert an.merge_tool_notes(base, note).first().blob == blob.replace("zero", "zero\n\ntool").replace("two", "two\n\na\n\nb")
+    edits = spark.createDataFrame(
+        [(1, 1, -1, "minus", None), (2, 1, 3, "old", None), (3, 1, 3, "three", dt.datetime(2024, 1, 1))],
+        "id long, file_id long, line int, content string, created_at timestamp_ntz",
+    )
+    assert an.apply_line_edits(base, edits).first().blob == blob.replace("# 0", "# -1\nminus\n# 0").replace("# 1234", "# 3\nthree\n# 1234")
