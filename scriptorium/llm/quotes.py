@@ -1,33 +1,41 @@
 """Quotation linking: nested quotes are parsed, matched with the messages they come from, and replies put in order.
 
 A quoted passage is a sentence of a quoted block, compared by its words alone, so re-wrapped lines still match.  Its source
-is the earliest message of the thread that has the sentence outside quotes.
+is the latest message of the thread before the quoting one that has the sentence outside quotes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import cut_lineage
 
 #: Quote marks before a line, at any depth.
 MARKS = r"^\s*(?:>\s*)+"
-#: A line that introduces a quote.
-INTRODUCTION = r"^(?:On|Am|Le|El)\b.{0,200}\b(?:wrote|schrieb|a écrit|escribió)\s*:\s*$"
+#: What a line that introduces a quote consists of.
+INTRODUCTION = r"(?:On|Am|Le|El)\b.{0,200}\b(?:wrote|schrieb|a écrit|escribió)[^\S\n]*:[^\S\n]*"
+#: Orders of a thread that are searched for a source together.
+SPAN = 4096
 
 
 def lines_of(text: Column) -> Column:
-    """``level, line`` of every line; introductions of quotes have level -1."""
+    """``level, line`` of every line; introductions have level -1 if the next line that says something is quoted deeper."""
     lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\n")
 
-    def parse(line: Column) -> Column:
+    def marked(line: Column) -> Column:
         marks = F.regexp_extract(line, MARKS, 0)
         level = F.length(marks) - F.length(F.replace(marks, F.lit(">"), F.lit("")))
-        body = F.regexp_replace(line, MARKS, "")
-        return F.struct(F.when(body.rlike(INTRODUCTION), -1).otherwise(level).alias("level"), body.alias("line"))
+        return F.concat(F.repeat(F.lit(">"), level), F.regexp_replace(line, MARKS, ""))
+
+    def parse(line: Column) -> Column:
+        level = F.length(F.regexp_extract(line, "^>*", 0))
+        return F.struct(F.when(line.startswith(" >"), -1).otherwise(level).alias("level"), F.regexp_replace(line, "^ ?>+", "").alias("line"))
 
-    return F.transform(lines, parse)
+    # Marks without white space between them, so that no line but an introduction begins with " >".
+    even = F.array_join(F.transform(lines, marked), "\n")
+    introduced = F.regexp_replace(even, rf"(?md)^(>*)({INTRODUCTION})$(?=\n(?:>*[^\S\n]*\n)*\1>)", " >$1$2")
+    return F.transform(F.split(introduced, "\n"), parse)
 
 
 def own_text(lines: Column) -> Column:
@@ -61,10 +69,7 @@ def link(messages: DataFrame, thread: str, order: str, text: str) -> DataFrame:
     parsed = whole.unionByName(rows.where("thread IS NULL OR order IS NULL")).withColumn("lines", lines_of(F.col("text")))
     base = cut_lineage(parsed.select("thread", "order", own_text(F.col("lines")).alias("own"), passages(F.col("lines")).alias("passages")))
     said = base.select("thread", "order", F.explode("passages").alias("p")).select("thread", "order", "p.*")
-    # One source per passage, so a sentence that a third of the messages share forms no pairs.
-    sources = said.where("level = 0").groupBy("thread", "hash", "words").agg(F.min("order").alias("source"))
-    quoted = said.where("level > 0").join(cut_lineage(sources), ["thread", "hash", "words"], "left")
-    found = quoted.groupBy("thread", "order", "level", F.when(F.col("source") < F.col("order"), F.col("source")).alias("source")).agg(F.count("*").alias("n"))
+    found = _sources(cut_lineage(said)).groupBy("thread", "order", "level", "source").agg(F.count("*").alias("n"))
     best = F.max(F.when(F.col("source").isNotNull(), F.struct(-F.col("level"), "n", "source")))
     votes = found.groupBy("thread", "order").agg(
         best["source"].alias("parent"), F.sum("n").alias("n_quoted"), F.sum(F.when(F.col("source").isNotNull(), F.col("n")).otherwise(0)).alias("n_linked")
@@ -77,6 +82,25 @@ def link(messages: DataFrame, thread: str, order: str, text: str) -> DataFrame:
     )
 
 
+def _sources(said: DataFrame) -> DataFrame:
+    """``thread, order, level, source`` of every quoted passage: the latest earlier message of the thread that says it, or null.
+
+    Sources are looked for among ``SPAN`` orders, and by way of the last source of each span before; so a sentence that all messages of a
+    long thread share forms no pairs and is not gathered.
+    """
+    known = said.where("thread IS NOT NULL AND order IS NOT NULL").withColumn("span", F.floor(F.col("order") / SPAN))
+    key = ["thread", "hash", "words"]
+    says = F.when(F.col("level") == 0, F.col("order"))
+    before = Window.partitionBy(*key, "span").orderBy("order").rangeBetween(Window.unboundedPreceding, -1)
+    near = known.withColumn("near", F.max(says).over(before)).where("level > 0")
+    spans = known.groupBy(*key, "span").agg(F.max(says).alias("last"))
+    above = Window.partitionBy(*key).orderBy("span").rangeBetween(Window.unboundedPreceding, -1)
+    far = spans.withColumn("far", F.max("last").over(above)).where("far IS NOT NULL").drop("last")
+    linked = near.join(far, [*key, "span"], "left").select("thread", "order", "level", F.coalesce("near", "far").alias("source"))
+    alone = said.where("level > 0 AND (thread IS NULL OR order IS NULL)")
+    return linked.unionByName(alone.select("thread", "order", "level", F.lit(None).cast("long").alias("source")))
+
+
 def _roots(votes: DataFrame) -> DataFrame:
     """Follow parents to the root by doubling: after k rounds every message knows its ancestor 2^k steps up.
 

@@ -46,3 +46,16 @@ def test_conversations_come_back_without_quotes(spark, sample):
     assert both.where("own != trim(BOTH '\n' FROM text)").isEmpty()
     assert both.where("turn > 0 AND n_linked < n_quoted").isEmpty()
     assert both.where("turn > 0 AND parent IS NULL").count() == 0
+
+
+def test_a_repeated_sentence_comes_from_the_latest_message_before(spark):
+    rows = [(1, 1, "Thanks."), (1, 2, "No."), (1, 3, "Thanks."), (1, 4, "Sure.\n> Thanks."), (1, 5, "Thanks."), (2, 1, "Far."), (2, 9000, "Later.\n> Far."), (2, 9001, "Far."), (2, 20_000, "> Far.")]
+    got = linked(spark, rows)
+    assert [got[k].parent for k in ((1, 4), (2, 9000), (2, 20_000))] == [3, 1, 9001]
+
+
+def test_an_introduction_without_quote_is_the_message_s_own(spark):
+    rows = [(1, 1, "On Monday he wrote:\nnothing.\n\nOn Tuesday she wrote:\n\n> > deep\n> On Friday we wrote:\n> none\n> On Sunday I wrote:\n>\n>> far\nOn no day they wrote:")]
+    got = linked(spark, rows)[1, 1]
+    assert got.own == "On Monday he wrote:\nnothing.\n\n\nOn no day they wrote:"
+    assert got.n_quoted == 2
