@@ -44,12 +44,12 @@ def own_text(lines: Column) -> Column:
 
 
 def passages(lines: Column) -> Column:
-    """Distinct ``level, hash, words`` of the sentences of every level; words are what is compared."""
+    """Distinct ``level, digest`` of the sentences of every level: 128 bits of the SHA-256 of their words, which stay behind."""
 
     def at(level: Column) -> Column:
         text = F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == level), lambda x: x["line"]), " ")
         sentences = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
-        return F.transform(F.filter(sentences, lambda s: s != ""), lambda s: F.struct(level.alias("level"), F.xxhash64(s).alias("hash"), s.alias("words")))
+        return F.transform(F.filter(sentences, lambda s: s != ""), lambda s: F.struct(level.alias("level"), F.unhex(F.substring(F.sha2(s, 256), 1, 32)).alias("digest")))
 
     levels = F.array_distinct(F.transform(F.filter(lines, lambda x: x["level"] >= 0), lambda x: x["level"]))
     return F.array_distinct(F.flatten(F.transform(levels, at)))
@@ -69,7 +69,7 @@ def link(messages: DataFrame, thread: str, order: str, text: str) -> DataFrame:
     parsed = whole.unionByName(rows.where("thread IS NULL OR order IS NULL")).withColumn("lines", lines_of(F.col("text")))
     base = cut_lineage(parsed.select("thread", "order", own_text(F.col("lines")).alias("own"), passages(F.col("lines")).alias("passages")))
     said = base.select("thread", "order", F.explode("passages").alias("p")).select("thread", "order", "p.*")
-    found = _sources(cut_lineage(said)).groupBy("thread", "order", "level", "source").agg(F.count("*").alias("n"))
+    found = _sources(said).groupBy("thread", "order", "level", "source").agg(F.count("*").alias("n"))
     best = F.max(F.when(F.col("source").isNotNull(), F.struct(-F.col("level"), "n", "source")))
     votes = found.groupBy("thread", "order").agg(
         best["source"].alias("parent"), F.sum("n").alias("n_quoted"), F.sum(F.when(F.col("source").isNotNull(), F.col("n")).otherwise(0)).alias("n_linked")
@@ -89,14 +89,17 @@ def _sources(said: DataFrame) -> DataFrame:
     long thread share forms no pairs and is not gathered.
     """
     known = said.where("thread IS NOT NULL AND order IS NOT NULL").withColumn("span", F.floor(F.col("order") / SPAN))
-    key = ["thread", "hash", "words"]
+    key = ["thread", "digest"]
     says = F.when(F.col("level") == 0, F.col("order"))
     before = Window.partitionBy(*key, "span").orderBy("order").rangeBetween(Window.unboundedPreceding, -1)
-    near = known.withColumn("near", F.max(says).over(before)).where("level > 0")
-    spans = known.groupBy(*key, "span").agg(F.max(says).alias("last"))
-    above = Window.partitionBy(*key).orderBy("span").rangeBetween(Window.unboundedPreceding, -1)
-    far = spans.withColumn("far", F.max("last").over(above)).where("far IS NOT NULL").drop("last")
-    linked = near.join(far, [*key, "span"], "left").select("thread", "order", "level", F.coalesce("near", "far").alias("source"))
+    near = known.withColumn("source", F.max(says).over(before)).where("level > 0")
+    long = cut_lineage(known.groupBy("thread").agg((F.min("span") < F.max("span")).alias("long")).where("long").select("thread"))
+    if not long.isEmpty():
+        above = Window.partitionBy(*key).orderBy("span").rangeBetween(Window.unboundedPreceding, -1)
+        spans = known.join(long, "thread", "left_semi").groupBy(*key, "span").agg(F.max(says).alias("last"))
+        far = spans.withColumn("far", F.max("last").over(above)).where("far IS NOT NULL").drop("last")
+        near = near.join(far, [*key, "span"], "left").withColumn("source", F.coalesce("source", "far"))
+    linked = near.select("thread", "order", "level", "source")
     alone = said.where("level > 0 AND (thread IS NULL OR order IS NULL)")
     return linked.unionByName(alone.select("thread", "order", "level", F.lit(None).cast("long").alias("source")))
 
