@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 import sys
 from array import array
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Words whose results a task keeps: the last so many, and those among as many before that are asked for again.
-CACHED_WORDS = 100_000
+CACHED_WORDS = 200_000
 #: Longer words are not kept.
 CACHED_LENGTH = 64
 #: White space of Unicode; unlike str.split() without the separators U+001C to U+001F.
@@ -40,6 +41,8 @@ def byte_letters() -> list[str]:
 
 _BYTE_LETTERS = dict(enumerate(byte_letters()))
 _LATIN = regex.compile("[\x21-\x7e\xc0-\xff]+")
+#: What keeps a line from being read in one go: anything but ASCII white space, printable ASCII and Latin-1 letters.
+_OTHER = re.compile("[^\t-\r\x20-\x7e\xc0-\xff]")
 
 
 class Kept(dict):
@@ -84,27 +87,33 @@ class Bpe:
             self.ranks[vocab[a], vocab[b]] = rank
             self.made.append(vocab[a + b])
         self.rules = Tokenizer.from_file(path)
-        self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.word = regex.compile(pattern)
+        self.latin_word = re.compile(_spelled_out(pattern))
+        self.shown = {i: s.encode() for i, s in self.strings.items()}
         self.seen = Kept()
         self.words = Kept()
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge the pair of the lowest rank, at equal rank the leftmost, until none is left."""
-        rank_of, n = self.ranks.get, len(symbols)
+        rank_of, made_of, n = self.ranks.get, self.made, len(symbols)
         # The rank, if any, of the pair that starts at each place; an entry is rank and place in one number.
         ranks = list(map(rank_of, zip(symbols, symbols[1:])))
-        heap = [rank << 32 | i for i, rank in enumerate(ranks) if rank is not None]
+        width = n.bit_length()
+        heap = [rank << width | i for i, rank in enumerate(ranks) if rank is not None]
         if not heap:
             return symbols
+        pop, push, places = heapq.heappop, heapq.heappush, (1 << width) - 1
         heapq.heapify(heap)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         ranks.append(None)
         while heap:
-            entry = heapq.heappop(heap)
-            i = entry & 0xFFFFFFFF
-            if ranks[i] != entry >> 32:
+            entry = pop(heap)
+            i = entry & places
+            rank = entry >> width
+            if ranks[i] != rank:
                 continue  # stale
-            made, j = self.made[entry >> 32], after[i]
+            made, j = made_of[rank], after[i]
             symbols[i], symbols[j] = made, -1
             ranks[i] = ranks[j] = None
             after[i] = k = after[j]
@@ -112,11 +121,11 @@ class Bpe:
                 before[k] = i
                 if (rank := rank_of((made, symbols[k]))) is not None:
                     ranks[i] = rank
-                    heapq.heappush(heap, rank << 32 | i)
+                    push(heap, rank << width | i)
             if (h := before[i]) >= 0:
                 ranks[h] = rank = rank_of((symbols[h], made))
                 if rank is not None:
-                    heapq.heappush(heap, rank << 32 | h)
+                    push(heap, rank << width | h)
         return [s for s in symbols if s >= 0]
 
     def _words(self, chunk: str) -> list[str]:
@@ -129,51 +138,90 @@ class Bpe:
         whole = self.rules.normalizer.normalize_str(chunk)
         return [word for word, _ in self.rules.pre_tokenizer.pre_tokenize_str(whole)]
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
+    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
         """Ids as bytes and their strings, of text without white space that ``seen`` lacks."""
         if found := self.seen.recall(chunk):
             return found
-        ids: list[int] = []
-        for letters in self._words(chunk):
-            ids += self._word(letters)
-        found = (_packed(ids), self.decode(ids))
+        words = [self._word(letters) for letters in self._words(chunk)]
+        found = _joined([w for w in words if w[0]])
         if len(chunk) <= CACHED_LENGTH:
             self.seen.keep(chunk, found)
         return found
 
-    def _word(self, letters: str) -> list[int]:
+    def _word(self, letters: str) -> tuple[bytes, bytes]:
         """Chunks differ in case and marks more than their words do, so words are kept by themselves."""
-        if (known := self.words.get(letters)) is None and (known := self.words.recall(letters)) is None:
-            symbols = [self.inner[c] for c in letters[:-1]] + [self.final[letters[-1]]]
-            known = self.merge([s for s in symbols if s is not None])
-            if len(letters) <= CACHED_LENGTH:
-                self.words.keep(letters, known)
+        return self.words.get(letters) or self._new_word(letters, letters)
+
+    def _latin(self, word: str) -> tuple[bytes, bytes]:
+        """A word of a line in ASCII and Latin-1 letters that ``words`` lacks; it never reads as the byte letters of another."""
+        if word.isascii():
+            return self._new_word(word, word)
+        letters = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return self._new_word("\n" + word, letters)
+
+    def _new_word(self, key: str, letters: str) -> tuple[bytes, bytes]:
+        if known := self.words.recall(key):
+            return known
+        symbols = [self.inner[c] for c in letters[:-1]] + [self.final[letters[-1]]]
+        ids = self.merge([s for s in symbols if s is not None])
+        known = (_packed(ids), b" ".join([self.shown[i] for i in ids]))
+        if len(key) <= CACHED_LENGTH:
+            self.words.keep(key, known)
         return known
 
-    def _chunks(self, text: str) -> list[tuple[bytes, str]]:
+    def _parts(self, text: str) -> list[tuple[bytes, bytes]]:
         if "<" in text and self.marks.search(text):
-            found: list[tuple[bytes, str]] = []
+            found: list[tuple[bytes, bytes]] = []
             for part in self.marks.split(text):
                 if (mark := self.special.get(part)) is not None:
-                    found.append((_packed([mark]), part))
+                    found.append((_packed([mark]), part.encode()))
                 else:
-                    found += self._chunks(part)
+                    found += self._parts(part)
             return found
+        if _OTHER.search(text) is None:
+            return self._latin_parts(text)
+        found = []
+        for line in text.split("\n"):
+            found += self._latin_parts(line) if _OTHER.search(line) is None else self._chunks(line)
+        return found
+
+    def _latin_parts(self, text: str) -> list[tuple[bytes, bytes]]:
+        known, made = self.words.get, self._latin
+        return [known(w if w.isascii() else "\n" + w) or made(w) for w in self.latin_word.findall(text.lower())]
+
+    def _chunks(self, text: str) -> list[tuple[bytes, bytes]]:
         chunks = filter(None, _SPACE.split(text)) if _SEPARATORS.search(text) else text.split()
         seen, made = self.seen.get, self._chunk
         return [seen(chunk) or made(chunk) for chunk in chunks]
 
+    def packed(self, text: str) -> tuple[bytes, bytes]:
+        """Ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
+        return _joined([p for p in self._parts(text) if p[0]])
+
     def encode(self, text: str) -> tuple[bytes, str, int]:
         """Ids as little-endian unsigned 32-bit integers, the decoded text, and the number of ids."""
-        parts = self._chunks(text)
-        ids = b"".join([p[0] for p in parts])
-        return ids, " ".join([p[1] for p in parts if p[0]]), len(ids) // 4
+        ids, decoded = self.packed(text)
+        return ids, decoded.decode(), len(ids) // 4
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary strings, joined by a space: the tokenizer names no decoder."""
         return " ".join([self.strings[i] for i in ids])
 
 
+def _spelled_out(pattern: str) -> str:
+    """``pattern`` for text of ASCII white space, printable ASCII and Latin-1 letters in lower case, with the classes
+    of Unicode as lists of characters; the plain module for regular expressions is twice as fast."""
+    plain = [chr(c) for c in [*range(0x20, 0x7F), *range(0xC0, 0x100)]]
+    for name in ("L", "N"):
+        members = "".join(re.escape(c) for c in plain if regex.match(rf"\p{{{name}}}", c))
+        pattern = pattern.replace(rf"\p{{{name}}}", members)
+    return pattern
+
+
+def _joined(parts: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+    return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
+
+
 def _packed(ids: list[int]) -> bytes:
     packed = array("I", ids)
     if sys.byteorder == "big":
@@ -201,8 +249,8 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         for batch in texts:
             rows = []
             for t in batch:
-                ids, decoded, n = model.encode(t or "")
-                row = (n, sha256(ids).hexdigest(), sha256(decoded.encode()).hexdigest())
+                ids, decoded = model.packed(t or "")
+                row = (len(ids) // 4, sha256(ids).hexdigest(), sha256(decoded).hexdigest())
                 rows.append((*row, np.frombuffer(ids, "<i4")) if keep_ids else row)
             yield pd.DataFrame(rows, columns=["n", "ids_sha256", "decoded_sha256", "ids"][: len(rows[0]) if rows else 4 - (not keep_ids)])
 
