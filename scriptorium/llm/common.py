@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space as the contracts define it, for Java regular expressions and RE2 alike.
@@ -42,6 +44,48 @@ def cut_lineage(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def numbered(rows: DataFrame, order: list[str], group: list[str] | None = None, name: str = "pos") -> DataFrame:
+    """``rows`` with their place from 0 in ascending ``order`` (null first) inside ``group``; what ties is numbered as it falls.
+
+    Rows are sorted in range partitions and written; each partition's totals per group (one row each) are summed up and
+    added.  So a group of any size is sorted by many tasks, and a task that runs again reads the same rows.
+    """
+    group = group or []
+    part, at = f"{name}_part", f"{name}_at"
+    ordered = cut_lineage(rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order))
+    # The lower 33 bits of such an id are the row's place in its partition.
+    placed = ordered.select(
+        "*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(at)
+    )
+    totals = placed.groupBy(*group, part).agg(F.count("*").alias("n"), F.min(at).alias("first"))
+    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")
+    shifts = totals.select(*[F.col(g).alias(f"{name}_of_{g}") for g in group], F.col(part).alias(f"{name}_of"), shift.alias(f"{name}_shift"))
+    same = F.col(part) == F.col(f"{name}_of")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"{name}_of_{g}"))
+    return placed.join(shifts, same).select(*[F.col(c) for c in rows.columns], (F.col(at) + F.col(f"{name}_shift")).alias(name))
+
+
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of one task, sorted by ``keys`` (numbers), as one frame for each value of the keys."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = batch[keys].to_numpy()
+        if held and (held[-1][keys].to_numpy()[-1] != values[0]).any():
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        cuts = ((values[1:] != values[:-1]).any(axis=1).nonzero()[0] + 1).tolist()
+        for start, stop in zip([0, *cuts], cuts):
+            yield pd.concat([*held, batch.iloc[start:stop]], ignore_index=True)
+            held = []
+        held.append(batch.iloc[cuts[-1] if cuts else 0 :])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected ``edges`` (longs ``a``, ``b``).
 
