@@ -2,8 +2,8 @@
 
 Sets are put into groups of similar ones, and a group keeps the union of its members' tokens: the token-group matrix.  What a set shares
 with a group's union bounds what it can share with any member, so only groups that reach the threshold are opened and
-their members compared.  Which groups share anything worth counting is found over rare tokens: of n tokens, any
-n - ceil(t * n) + 1 contain one of every set at least t similar, and each set takes its rarest.
+their members compared.  The bound is taken twice: over rare tokens alone, then over all.  Each set has its
+n - ceil(t * n) + 1 rarest tokens in the matrix; sets at least t similar share one of them, and the fewer they share, the less is left.
 
 Links inside a component need no more looking at.  So large families of near copies are first tied together, each set to one other
 (linear work), and only tokens that still occur in different components are looked up afterwards.
@@ -11,13 +11,12 @@ Links inside a component need no more looking at.  So large families of near cop
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import components, cut_lineage, numbered
@@ -31,17 +30,11 @@ GROUP = 256
 SHARE = 2048
 #: Tokens are counted by the top bits of their hashes; a count only ranks tokens, it decides nothing.
 COUNTER_BITS = 16
-_CACHED_WORDS = 200_000
 _U64 = np.uint64
 
 
 # -- sets -----------------------------------------------------------------------------------------
 
-@functools.lru_cache(maxsize=1)
-def _word_hashes() -> dict[bytes, int]:
-    return {}
-
-
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The distinct shingles of a text as sorted 64-bit hashes: words are runs of anything but ASCII white space, A-Z lower-cased.
 
@@ -50,17 +43,13 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     words = (text or "").encode().lower().split()  # ASCII letters and ASCII white space only
     if not words:
         return np.zeros(0, _U64)
-    known = _word_hashes()
-    if len(known) > _CACHED_WORDS:
-        known.clear()
-    for word in set(words).difference(known):
-        known[word] = xxhash.xxh64_intdigest(word, 42)
-    hashes = np.array([known[w] for w in words], _U64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), _U64, len(words))
     size = min(size, len(words))
     made = np.full(len(words) - size + 1, size, _U64)
     for i in range(size):
         made = _mixed(made * _U64(0x9E3779B97F4A7C15) + hashes[i : i + len(made)])
-    return np.unique(made)
+    made.sort()
+    return made[np.concatenate([[True], made[1:] != made[:-1]])]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -79,10 +68,15 @@ def _counters(texts: DataFrame, shingle: int) -> np.ndarray:
     """How common the tokens of each counter are: 0 up to twice the mean, then by powers of two.  Counts all tokens of all texts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << COUNTER_BITS, np.int64)
+        total, held, size = np.zeros(1 << COUNTER_BITS, np.int64), [], 0
         for batch in batches:
             for text in batch["text"]:
-                total += np.bincount((shingles(text, shingle) >> _U64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total))
+                held.append((shingles(text, shingle) >> _U64(64 - COUNTER_BITS)).astype(np.int32))
+                if (size := size + len(held[-1])) > 1 << 20:
+                    total += np.bincount(np.concatenate(held), minlength=len(total))
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
         at = np.flatnonzero(total)
         yield pd.DataFrame({"counter": at, "n": total[at]})
 
@@ -171,24 +165,26 @@ def _links(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
     return rows.mapInPandas(lambda batches: _open(batches, percent), "a long, b long")
 
 
-def _matrix(live: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of the sets (``token, id, n, comp, weight``) and of the groups (``token, of_group, comp, weight, least, most``) at the tokens
-    that occur in more than one component."""
+def _least_shared(n: Column, other: Column, percent: int) -> Column:
+    """How many rare tokens two sets of these sizes share at least if they link.
+
+    They share percent / (100 + percent) of both sizes together, and behind the rare tokens of either only percent / 100 of its size is left.
+    """
+    return (n + other) * (percent / (100 + percent)) - F.greatest(n, other) * (percent / 100) - 1e-6
+
+
+def _candidates(live: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """``id, of_group, n_shared``: groups of other components that the rare tokens leave.
+
+    Only tokens that occur in different components are looked up, of two components by the one with fewer sets.  A group's sizes must fit
+    the set's, and so must the rare tokens it shares: what a set and any member need is least at one end of the sizes that fit.
+    """
     rows = live.join(placed, "id")
     open_tokens = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("asks")).where("lo != hi")
     rows = cut_lineage(rows.join(open_tokens.select("token", (F.floor((F.col("asks") - 1) / SHARE) + 1).cast("long").alias("parts")), "token"))
     groups = rows.groupBy("token", "of_group").agg(
         F.first("comp").alias("comp"), F.first("weight").alias("weight"), F.first("parts").alias("parts"), F.min("n").alias("least"), F.max("n").alias("most")
     )
-    return rows, groups
-
-
-def _candidates(live: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """``id, of_group, n_shared``: the groups of other components that share a rare token and have a fitting size.
-
-    Of two components the one with fewer sets asks.
-    """
-    rows, groups = _matrix(live, placed)
     asks = rows.select("token", F.pmod("id", "parts").alias("part"), "id", "n", "comp", "weight")
     held = groups.select(
         F.col("token").alias("g_token"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("g_part"), "of_group",
@@ -197,7 +193,11 @@ def _candidates(live: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
     smaller = F.struct("weight", "comp") < F.struct(F.col("g_weight").alias("weight"), F.col("g_comp").alias("comp"))
     met = asks.join(held, (F.col("token") == F.col("g_token")) & (F.col("part") == F.col("g_part"))).where(fits & smaller)
-    return met.groupBy("id", "of_group").agg(F.count("*").alias("n_shared"))
+    # The sizes at a token are those of its sets, so the ends are taken over all tokens that were met.
+    shared = met.groupBy("id", "of_group").agg(F.count("*").alias("n_shared"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    n = F.col("n")
+    ends = [F.greatest("least", n * (percent / 100)), F.least("most", n * (100 / percent))]
+    return shared.where(F.col("n_shared") >= F.least(*[_least_shared(n, end, percent) for end in ends])).select("id", "of_group", "n_shared")
 
 
 def _placed(sizes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -217,33 +217,43 @@ def _placed(sizes: DataFrame, roots: DataFrame) -> DataFrame:
 def link_components(sizes: DataFrame, rare: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame:
     """``node, root`` of the sets (``sizes``: ``id, n``) whose component has a smaller id, from their rarest tokens (``rare``: ``id, token``).
 
-    ``sets_of(ids)`` gives the whole sets, ``id, tokens``, of the ids that may link at all.
+    ``sets_of(ids)`` gives the whole sets, ``id, tokens``; it is asked for those that are compared at all.
     """
     shared = rare.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high")
     live = cut_lineage(rare.join(shared.select("token", "low"), "token"))
-    ids = live.select("id").distinct()
-    sets = cut_lineage(sets_of(ids))
-    sizes = cut_lineage(sizes.join(ids, "id", "left_semi"))
-    # First every set against one other: the smallest id at most of its tokens.
+    # First every set against one other: the smallest id at most of its tokens, if they may link by these.
+    of_low = sizes.select(F.col("id").alias("low"), F.col("n").alias("low_n"))
     partner = (
-        live.groupBy("id", "low").agg(F.count("*").alias("n")).where("id != low")
-        .groupBy("id").agg(F.max_by("low", F.struct("n", -F.col("low"))).alias("of_group"))
+        live.groupBy("id", "low").agg(F.count("*").alias("n_shared")).where("id != low").join(sizes, "id").join(of_low, "low")
+        .where((F.col("n_shared") >= _least_shared(F.col("n"), F.col("low_n"), percent)))
+        .groupBy("id").agg(F.max_by("low", F.struct("n_shared", -F.col("low"))).alias("of_group"))
     )
     partner = cut_lineage(partner)
-    found = cut_lineage(_links(partner, partner.select("of_group", F.col("of_group").alias("id")).distinct(), sets, percent))
-    tokens = live.select("id", "token")
-    # Then against the group of another component that shares most, then against all groups left.
-    for best_only in (True, False):
-        roots = cut_lineage(components(found))
-        placed = _placed(sizes, roots)
-        near = cut_lineage(_candidates(tokens, placed, percent))
-        if near.isEmpty():
-            return roots
-        if best_only:
-            near = near.groupBy("id").agg(F.max_by("of_group", F.struct("n_shared", -F.col("of_group"))).alias("of_group"))
-        more = _links(near.select("id", "of_group"), placed.select("of_group", "id"), sets, percent)
-        found = cut_lineage(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    return components(found)
+    leaders = partner.select(F.col("of_group").alias("id")).distinct()
+    sets = cut_lineage(sets_of(partner.select("id").unionByName(leaders).distinct()))
+    found = _links(partner, leaders.select(F.col("id").alias("of_group"), "id"), sets, percent)
+    roots = cut_lineage(components(found))
+    # Then the groups of other components that are left, for each set the one that shares most before the others.
+    ids = live.select("id").distinct()
+    placed = _placed(sizes.join(ids, "id", "left_semi"), roots)
+    near = cut_lineage(_candidates(live.select("id", "token"), placed, percent))
+    if near.isEmpty():
+        return roots
+    members = placed.join(near.select("of_group").distinct(), "of_group", "left_semi").select("of_group", "id")
+    sets = cut_lineage(sets_of(near.select("id").unionByName(members.select("id")).distinct()))
+    best = near.groupBy("id").agg(F.max_by("of_group", F.struct("n_shared", -F.col("of_group"))).alias("of_group"))
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = cut_lineage(components(cut_lineage(links.unionByName(_links(best, members, sets, percent)))))
+    apart = _apart(near.join(best, ["id", "of_group"], "left_anti"), roots)
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(cut_lineage(links.unionByName(_links(apart, members, sets, percent))))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs ``id, of_group`` (a group is named by a member) that are of different components."""
+    of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    rooted = pairs.join(of("id"), "id", "left").join(of("of_group"), "of_group", "left")
+    return rooted.where(F.coalesce("id_root", "id") != F.coalesce("of_group_root", "of_group")).select("id", "of_group")
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
