@@ -225,7 +225,7 @@ def link_components(sizes: DataFrame, rare: DataFrame, sets_of, percent: int = P
     of_low = sizes.select(F.col("id").alias("low"), F.col("n").alias("low_n"))
     partner = (
         live.groupBy("id", "low").agg(F.count("*").alias("n_shared")).where("id != low").join(sizes, "id").join(of_low, "low")
-        .where((F.col("n_shared") >= _least_shared(F.col("n"), F.col("low_n"), percent)))
+        .where((F.greatest("n", "low_n") * percent <= F.least("n", "low_n") * 100) & (F.col("n_shared") >= _least_shared(F.col("n"), F.col("low_n"), percent)))
         .groupBy("id").agg(F.max_by("low", F.struct("n_shared", -F.col("low"))).alias("of_group"))
     )
     partner = cut_lineage(partner)
