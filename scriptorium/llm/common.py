@@ -67,6 +67,29 @@ def numbered(rows: DataFrame, order: list[str], group: list[str] | None = None,
     return placed.join(shifts, same).select(*[F.col(c) for c in rows.columns], (F.col(at) + F.col(f"{name}_shift")).alias(name))
 
 
+def salted_join(rows: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """``rows`` joined with ``small``, one row of it for each ``key``; rows of one key are spread over ``salts`` tasks by the column ``by``.
+
+    Adaptive execution splits a task further that is still too large, and broadcasts ``small`` where its size allows.
+    """
+    spread = rows.withColumn("salt_of", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    copies = small.withColumn("salt_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(copies, [key, "salt_of"], how).drop("salt_of")
+
+
+def one_of_each(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
+    """``docs`` in which rows of equal id and ``key`` stand once; ``keys`` (``doc_id, key``) has a row for each of them.
+
+    Only rows that are known to repeat are compared.
+    """
+    again = cut_lineage(keys.groupBy(F.col("doc_id").alias("again_id"), F.col("key").alias("again_key")).agg(F.count("*").alias("again_n")).where("again_n > 1"))
+    if again.isEmpty():
+        return docs
+    same = docs["doc_id"].eqNullSafe(F.col("again_id")) & (key == F.col("again_key"))
+    repeated = docs.withColumn("again_of", key).join(again, same, "left_semi").dropDuplicates(["doc_id", "again_of"]).drop("again_of")
+    return docs.join(again, same, "left_anti").unionByName(repeated)
+
+
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """The rows of one task, sorted by ``keys`` (numbers), as one frame for each value of the keys."""
     held: list[pd.DataFrame] = []

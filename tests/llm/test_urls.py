@@ -1,7 +1,12 @@
 import itertools
 import math
+import re
+from collections import Counter
+
+import regex
 
 from scriptorium.llm import urls
+from scriptorium.llm.common import table
 
 SCHEMA = "page_id long, url string, html string, tokens string, r string"
 
@@ -65,10 +70,49 @@ def test_classifier_learns_from_the_rules(spark):
     assert got[100] == "block" and got[101] == "allow"
 
 
-def test_weights():
-    weights, unseen, prior = urls.bayes([("x", 3, 0), ("y", 1, 2)], 2, 1)
+def test_weights(spark):
+    taught = [("x", "block")] * 3 + [("y", "block")] + [("y", "allow")] * 2
+    table, unseen = urls.weights(spark.createDataFrame(taught, "token string, verdict string"))
+    weights = {r.token: r.weight for r in table.collect()}
     assert math.isclose(weights["x"], math.log(4 / 7) - math.log(1 / 5)) and math.isclose(unseen, math.log(1 / 7) - math.log(1 / 5))
-    assert math.isclose(prior, math.log(3 / 2))
+    assert math.isclose(weights["y"], math.log(2 / 7) - math.log(3 / 5))
+
+
+def plain_judge(pages, rules=urls.RULES):
+    """All counts in memory: rules, words of all pages, the most likely splits, naive Bayes."""
+    words = Counter(w for _, _, html in pages for w in regex.findall(r"\p{L}+", re.sub("<[^>]*>", " ", (html or "").lower())))
+    finder = urls.Segmenter(words)
+    judged = []
+    for page, url, _ in pages:
+        host, path = plain(url)
+        rule, verdict = plain_rule(host, path)
+        tokens = []
+        for label in regex.findall(r"\p{L}+|\p{Nd}+", host.lower()):
+            tokens += [f"h:#{len(label)}"] if label[0].isdigit() else ["h:" + w for w in (finder.split(label) if len(label) <= urls.LABEL else [label])]
+        tokens += [f"p:#{len(x)}" if x[0].isdigit() else f"p:{x}" for x in regex.findall(r"\p{L}+|\p{Nd}+", path.lower())]
+        judged.append((page, rule, verdict, tokens))
+    counts = {v: Counter(t for _, _, verdict, tokens in judged if verdict == v for t in tokens) for v in ("block", "allow")}
+    n = {v: sum(verdict == v for _, _, verdict, _ in judged) for v in counts}
+    size = len(counts["block"] | counts["allow"]) + 1
+    log = lambda v, t: math.log((counts[v][t] + 1) / (sum(counts[v].values()) + size))
+    out = {}
+    for page, rule, verdict, tokens in judged:
+        margin = math.log((n["block"] + 1) / (n["allow"] + 1)) + sum(log("block", t) - log("allow", t) for t in tokens)
+        score = 1 / (1 + math.exp(-max(-700.0, min(700.0, margin))))
+        out[page] = (rule, verdict or ("block" if score > 0.5 else "allow"), score)
+    return out
+
+
+def test_all_verdicts_equal_brute_force(spark, sample):
+    pages = table(spark, sample, "pages").select("page_id", "url", "html")
+    rows = [tuple(r) for r in pages.collect()]
+    rows += [(10_000 + i, u, "<p>Grüße aus Köln und Ünï</p>") for i, u in enumerate(URLS)] + [(20_000, f"http://{'long' * 5000}.grüßeausköln.net/Über/12", None)]
+    expected = plain_judge(rows)
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        rule, verdict, score = expected[r.page_id]
+        assert (r.rule, r.verdict) == (rule, verdict) and math.isclose(r.score, score, rel_tol=1e-6, abs_tol=1e-12), r
 
 
 def test_no_rows_and_no_labels(spark):
