@@ -1,19 +1,20 @@
 """Secret scan in DataFrame functions: known shapes, and a battery of randomness tests over long tokens.
 
 A token's encoding is inferred from its characters.  Three tests ask whether it is a random string of that encoding: chi-squared over
-the alphabet, runs above and below its middle, serial correlation.  Their combined p-value is held against that of
-prose letters of the same length: in each length band the cut is the lowest at which prose accounts for
-no more than ``FALSE_SHARE`` of the findings.
+the alphabet, runs above and below its middle, serial correlation.  Their combined p-value is held against that of strings which are
+none: characters of the texts in the same alphabet and of the same length.  For each encoding and length band the cut is the lowest at
+which these account for no more than ``FALSE_SHARE`` of the findings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.arrays import largest_before, let, offsets
 from scriptorium.llm.common import cut_lineage
 
 #: Kinds in the order of the contract: pattern (matched leftmost, without overlap) and, behind it, the least length of the
@@ -41,31 +42,31 @@ ENCODINGS = {
     "base64url": _UPPER + _LOWER + _DIGITS + "-_",
     "mixed": _UPPER + _LOWER + _DIGITS + "+/-_",
 }
-_BLOCK = 256
+#: How unevenly text spreads over the letters of an encoding (chance that two of its characters are equal): letters of European languages,
+#: written numbers, hexadecimal words.  It stands for ``PRIOR`` strings beside those of the texts, so few texts suffice.
+UNEVEN = {"decimal": 0.15, "hex": 0.12, "HEX": 0.12, "lower": 0.0667, "base32": 0.0667}
+UNEVEN_OTHER = 0.06
+PRIOR = 20
 
 
 # -- places ---------------------------------------------------------------------------------------
 
-def _before(lengths: Column, first: Column) -> Column:
-    """``first`` plus the sum of the lengths before each one, for short arrays."""
-    start = F.struct(first.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
-    return F.aggregate(lengths, start, step)["out"]
+def untouched(tokens: Column, spans: Column) -> Column:
+    """The ``tokens`` that overlap none of ``spans``: one sweep over both by start.
 
+    A span that begins before a token overlaps it if it, or any before it, ends behind its start; one that begins inside it is the next in order.
+    """
+    item = lambda x, token, found: F.struct(x["start"].alias("start"), F.lit(token).alias("token"), x["end"].alias("end"), found.alias("found"))
+    both = F.concat(F.transform(spans, lambda b: item(b, 0, F.lit(None).cast("string"))), F.transform(tokens, lambda t: item(t, 1, t["found"])))
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
+    def swept(order: Column) -> Column:
+        ends = F.transform(order, lambda x: F.when(x["token"] == 0, x["end"]).otherwise(F.lit(-1).cast("long")))
+        seen = F.arrays_zip(order.alias("x"), largest_before(ends).alias("ended"))
+        clear = F.filter(seen, lambda z, i: (z["x"]["token"] == 1) & (z["ended"] <= z["x"]["start"])
+                         & ~F.coalesce((F.get(order, i + 1)["token"] == 0) & (F.get(order, i + 1)["start"] < z["x"]["end"]), F.lit(False)))
+        return F.transform(clear, lambda z: F.struct(z["x"]["start"].alias("start"), z["x"]["end"].alias("end"), z["x"]["found"].alias("found")))
 
-def offsets(lengths: Column) -> Column:
-    """The sum of the lengths before each one.  Counted in blocks, as an array that grows by appending is copied each time."""
-    total = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda a, x: a + x)
-    last = lambda n: F.floor((F.size(n) - 1) / _BLOCK).cast("int")
-    cut = lambda n: F.transform(F.sequence(F.lit(0), last(n)), lambda b: F.slice(n, b * _BLOCK + 1, _BLOCK))
-    sums = lambda blocks: F.arrays_zip(blocks.alias("b"), _before(F.transform(blocks, total), F.lit(0)).alias("at"))
-    whole = lambda n: F.flatten(F.transform(_let(cut(n), sums), lambda z: _before(z["b"], z["at"])))
-    return _let(lengths, lambda n: F.when(F.size(n) > 0, whole(n)).otherwise(F.array().cast("array<bigint>")))
+    return F.when(F.size(spans) == 0, tokens).otherwise(let(F.array_sort(both), swept))
 
 
 def _matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -82,7 +83,7 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
         (z["at"] + z["s"]["gap"]).alias("start"), (z["at"] + z["s"]["gap"] + z["s"]["n"]).alias("end"), z["s"]["found"].alias("found")
     )
     parts = F.struct(whole.alias("whole"), gaps.alias("gaps"), found.alias("found"))
-    rows = F.transform(_let(_let(parts, spans), placed), row)
+    rows = F.transform(let(let(parts, spans), placed), row)
     none = F.array().cast("array<struct<start:bigint,end:bigint,found:string>>")
     return F.when(text.rlike(pattern), rows).otherwise(none)
 
@@ -95,19 +96,25 @@ def _tail(z: Column) -> Column:
     return 1 / (1 + F.exp(0.07056 * z * z * z + 1.5976 * z))
 
 
-def _alphabet(token: Column) -> Column:
-    chosen = F.lit(ENCODINGS["mixed"])
-    for letters in reversed(list(ENCODINGS.values())[:-1]):
+def encoding(token: Column) -> Column:
+    """Place in ``ENCODINGS`` of the first one that has all characters of the token; padding is left out."""
+    body = F.rtrim(token, F.lit("="))
+    chosen = F.lit(len(ENCODINGS) - 1)
+    for place, letters in reversed(list(enumerate(ENCODINGS.values()))[:-1]):
         escaped = letters.replace("-", r"\-")
-        chosen = F.when(token.rlike(f"^[{escaped}]+$"), letters).otherwise(chosen)
+        chosen = F.when(body.rlike(f"^[{escaped}]+$"), place).otherwise(chosen)
     return chosen
 
 
-def randomness(token: Column) -> Column:
-    """Combined p-value (Fisher) of the three tests; about uniform for random strings, near zero for words.  Padding is left out."""
+def randomness(token: Column, place: Column | None = None) -> Column:
+    """Combined p-value (Fisher) of the three tests; about uniform for random strings, near zero for words.  Padding is left out.
+
+    ``place``: of the encoding in ``ENCODINGS``; it is inferred if not given.
+    """
     body = F.rtrim(token, F.lit("="))
-    measured = _let(F.struct(body.alias("t"), _alphabet(body).alias("letters")), _measured)
-    return _let(_let(_let(measured, _centred), _statistics), lambda z: _let(_half_deviance(z), lambda h: F.exp(-h) * (1 + h + h * h / 2)))
+    letters = F.element_at(F.array(*[F.lit(x) for x in ENCODINGS.values()]), (encoding(token) if place is None else place) + 1)
+    measured = let(F.struct(body.alias("t"), letters.alias("letters")), _measured)
+    return let(let(let(measured, _centred), _statistics), lambda z: let(_half_deviance(z), lambda h: F.exp(-h) * (1 + h + h * h / 2)))
 
 
 def _measured(x: Column) -> Column:
@@ -141,7 +148,7 @@ def _statistics(x: Column) -> Column:
         return F.abs((runs - both / n - 1) / spread)
 
     lag = total(beside(off, lambda a, b: a * b)) / F.greatest(total(F.transform(off, lambda v: v * v)), F.lit(1e-9))
-    return F.array(x["z_chi"], _let(total(high), lambda n1: _let(2 * n1 * (n - n1), z_runs)), F.abs((lag + 1 / n) * F.sqrt(n)))
+    return F.array(x["z_chi"], let(total(high), lambda n1: let(2 * n1 * (n - n1), z_runs)), F.abs((lag + 1 / n) * F.sqrt(n)))
 
 
 def _half_deviance(z: Column) -> Column:
@@ -159,8 +166,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", false_shar
     """One row per row of ``docs``: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random, found``.
 
     ``spans``: ``kind:start:end`` of all findings by start, then kind, in code points, end exclusive; ``base_sha256`` is the digest of
-    those of known shapes.  The battery judges tokens of 20 and more characters that mix digits with letters and
-    touch no base span.  ``found``: the findings as structs.  Null and empty texts have no findings; repeated rows have equal results; an
+    those of known shapes.  The battery judges every token of 20 and more characters that touches no base span, whatever it is made of;
+    in short bands of few letters no cut may separate keys from words, and nothing is found there.  ``found``: the findings as structs.  Null and empty texts have no findings; repeated rows have equal results; an
     empty table gives no rows; other columns are not read.
     """
     t = F.col("t")
@@ -168,18 +175,19 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", false_shar
     named = []
     for order, (kind, (pattern, group, least)) in enumerate(BASE.items()):
         named.append(_kept(_matches(t, pattern, group), least, order, kind))
-    tokens = F.filter(_matches(t, TOKEN), lambda m: m["found"].rlike("[0-9]") & m["found"].rlike("[A-Za-z]"))
-    wide = rows.select("doc_id", F.array_sort(F.concat(*named)).alias("base"), tokens.alias("tokens"), _prose(t).alias("prose"))
+    wide = rows.select("doc_id", F.array_sort(F.concat(*named)).alias("base"), _matches(t, TOKEN).alias("tokens"), _plain(t).alias("plain"))
     judged = F.transform(
-        F.filter("tokens", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))),
-        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.xxhash64(m["found"]).alias("token"),
-                           _band(F.length(F.rtrim(m["found"], F.lit("=")))).alias("band"), randomness(m["found"]).alias("p")),
+        untouched(F.col("tokens"), F.col("base")),
+        lambda m: let(encoding(m["found"]), lambda e: F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), F.xxhash64(m["found"]).alias("token"),
+            _cell(e, _band(F.length(F.rtrim(m["found"], F.lit("="))))).alias("cell"), randomness(m["found"], e).alias("p"),
+        )),
     )
-    decoys = F.transform("prose", lambda d: F.struct(F.xxhash64(d).alias("token"), F.length(d).alias("band"), randomness(d).alias("p")))
+    decoys = F.transform("plain", lambda d: F.struct(F.xxhash64(d["text"]).alias("token"), _cell(d["encoding"], F.length(d["text"])).alias("cell"), randomness(d["text"], d["encoding"]).alias("p")))
     base = cut_lineage(wide.select("doc_id", "base", judged.alias("judged"), decoys.alias("decoys")))
     cuts = cut_at(base.select(F.explode("judged").alias("x")).select("x.*"), base.select(F.explode("decoys").alias("x")).select("x.*"), false_share)
     allowed = F.create_map(*[F.lit(v) for pair in cuts.items() for v in pair]) if cuts else F.create_map().cast("map<int,double>")
-    random = F.filter("judged", lambda j: j["p"] >= F.coalesce(F.try_element_at(allowed, j["band"]), F.lit(2.0)))
+    random = F.filter("judged", lambda j: j["p"] >= F.coalesce(F.try_element_at(allowed, j["cell"]), F.lit(2.0)))
     random = F.transform(random, lambda m: _finding(m, len(BASE), "random"))
     every = F.array_sort(F.concat("base", random))
     count = lambda kind: F.size(F.filter("base", lambda b: b["kind"] == kind)).cast("long")
@@ -205,32 +213,91 @@ def _told(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
 
 
-def _prose(text: Column) -> Column:
-    """Lower-case letters of the text, white space left out: a piece of each band's least length, at a place chosen by hash."""
-    letters = F.translate(F.regexp_replace(text, "[^a-z ]+", ""), " ", "")
-    pieces = lambda s: F.filter(F.array(*[F.substring(s, F.pmod(F.xxhash64(s), F.greatest(F.length(s) - n + 1, F.lit(1))).cast("int") + 1, n) for n in BANDS]), lambda d: F.array_contains(F.lit(list(BANDS)), F.length(d)))
-    return F.transform(F.array(letters), pieces)[0]
+def _cell(place: Column, band: Column) -> Column:
+    """Encoding and length band in one number."""
+    return (place * 1000 + band).cast("int")
+
+
+def _plain(text: Column) -> Column:
+    """``text, encoding``: characters of the text that are in an encoding's alphabet, a piece of each band's least length at a place chosen by hash.
+
+    Each band gets the next one of the encodings, from where the text's hash points, so all texts together serve every encoding.
+    """
+    letters = F.regexp_replace(text, "[^A-Za-z0-9]+", "")
+    none = ""
+    ways = {"decimal": ("[^0-9]+", none), "hex": ("[^0-9a-f]+", "lower"), "HEX": ("[^0-9A-F]+", "upper"), "lower": ("[^a-z]+", "lower"), "base32": ("[^A-Z2-7]+", "upper"),
+            "base36": (none, "lower"), "BASE36": (none, "upper")}
+
+    def kept(of: Column, name: str) -> Column:
+        pattern, case = ways.get(name, (none, none))
+        cased = F.lower(of) if case == "lower" else F.upper(of) if case == "upper" else of
+        return F.regexp_replace(cased, pattern, "") if pattern else cased
+
+    def piece(of: Column, place: int, n: int) -> Column:
+        cut = lambda s: F.struct(F.substring(s, F.pmod(F.xxhash64(s), F.greatest(F.length(s) - n + 1, F.lit(1))).cast("int") + 1, n).alias("text"), F.lit(place).alias("encoding"))
+        return let(kept(of, list(ENCODINGS)[place]), cut)
+
+    def pieces(of: Column) -> Column:
+        turn = F.pmod(F.xxhash64(of), F.lit(len(ENCODINGS))).cast("int")
+
+        def at(t: Column) -> Column:
+            dealt = []
+            for k, n in enumerate(BANDS):
+                chosen = piece(of, (len(ENCODINGS) - 1 + k) % len(ENCODINGS), n)
+                for first in range(len(ENCODINGS) - 1):
+                    chosen = F.when(t == first, piece(of, (first + k) % len(ENCODINGS), n)).otherwise(chosen)
+                dealt.append(chosen)
+            return F.filter(F.array(*dealt), lambda d: F.array_contains(F.lit(list(BANDS)), F.length(d["text"])))
+
+        return let(turn, at)
+
+    return let(letters, pieces)
+
+
+def _upper_tail(z: float) -> float:
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def text_passes(place: int, n: int, cut: float) -> float:
+    """An upper bound for the chance that ``n`` characters of text, spread as ``UNEVEN`` says, reach the combined p-value ``cut``.
+
+    That needs a chi-squared test of at least exp(-h), where h is the half deviance at the cut; the statistic of text is about normal.
+    """
+    name = list(ENCODINGS)[place]
+    k = len(ENCODINGS[name])
+    low, high = 0.0, 60.0
+    for _ in range(60):  # exp(-h) * (1 + h + h * h / 2) = cut
+        h = (low + high) / 2
+        low, high = (h, high) if math.exp(-h) * (1 + h + h * h / 2) > cut else (low, h)
+    z_low, z_high = -9.0, 9.0
+    for _ in range(60):  # the largest z whose tail is exp(-h)
+        z = (z_low + z_high) / 2
+        z_low, z_high = (z, z_high) if _upper_tail(z) > math.exp(-low) else (z_low, z)
+    beyond = n * max(0.0, k * UNEVEN.get(name, UNEVEN_OTHER) - 1)
+    mean, spread = beyond / math.sqrt(2 * (k - 1)), math.sqrt(1 + 2 * beyond / (k - 1))
+    return _upper_tail((mean - z_low) / spread)
 
 
 def cut_at(targets: DataFrame, decoys: DataFrame, false_share: float) -> dict[int, float]:
-    """For each band the lowest p at which decoys make up ``false_share`` of the findings at most; copies count once.
+    """For each cell the lowest p at which decoys make up ``false_share`` of the findings at most; copies count once.
 
-    Expected false findings: the decoys' share beyond the cut, with one more on either side, times the band's tokens.
+    Expected false findings: the share of decoys beyond the cut times the cell's tokens.  ``PRIOR`` more decoys pass as often as ``text_passes``
+    says; so a cell without any goes by that bound, and the more there are, the less it counts.
     """
-    both = targets.select("band", "token", "p", F.lit(1).alias("real")).unionByName(decoys.select("band", "token", "p", F.lit(0).alias("real")))
-    once = both.groupBy("band", "real", "token").agg(F.min("p").alias("p"))
-    bins = once.groupBy("band", F.floor(F.col("p") * BINS).cast("int").alias("bin")).agg(
+    both = targets.select("cell", "token", "p", F.lit(1).alias("real")).unionByName(decoys.select("cell", "token", "p", F.lit(0).alias("real")))
+    once = both.groupBy("cell", "real", "token").agg(F.min("p").alias("p"))
+    bins = once.groupBy("cell", F.floor(F.col("p") * BINS).cast("int").alias("bin")).agg(
         F.sum("real").alias("real"), F.sum(F.lit(1) - F.col("real")).alias("decoy")
     )
     found: dict[int, float] = {}
-    sums: dict[int, list[int]] = {}
-    rows = bins.orderBy("band", F.desc("bin")).collect()  # a row per band and bin at most
-    total = {band: (sum(r.real for r in rows if r.band == band), sum(r.decoy for r in rows if r.band == band)) for band in BANDS}
-    for r in rows:
-        real, decoy = sums.setdefault(r.band, [0, 0])
-        sums[r.band] = [real + r.real, decoy + r.decoy]
-        real, decoy = sums[r.band]
-        expected = total[r.band][0] * (decoy + 1) / (total[r.band][1] + 1)
-        if real and expected <= false_share * real:
-            found[r.band] = r.bin / BINS
+    rows = bins.orderBy("cell", F.desc("bin")).collect()  # a row per cell and bin at most
+    for cell in {r.cell for r in rows}:
+        own = [r for r in rows if r.cell == cell]
+        tokens, strings = sum(r.real for r in own), sum(r.decoy for r in own)
+        real = decoy = 0
+        for r in own:
+            real, decoy = real + r.real, decoy + r.decoy
+            share = (decoy + PRIOR * text_passes(cell // 1000, cell % 1000, r.bin / BINS)) / (strings + PRIOR)
+            if real and tokens * share <= false_share * real:
+                found[cell] = r.bin / BINS
     return found

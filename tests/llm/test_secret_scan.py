@@ -67,11 +67,58 @@ def test_random_tokens_are_added_and_words_are_not(spark, documents):
 
 
 def test_cut_holds_the_false_share(spark):
-    real = [(20, i, 0.5) for i in range(100)] + [(20, 1000 + i, 0.001) for i in range(100)] + [(40, i, 0.9) for i in range(3)]
-    decoys = [(20, 5000 + i, 0.001) for i in range(995)] + [(20, 7000 + i, 0.4) for i in range(5)]
-    kind = "band int, token long, p double"
+    lower20, base32_20, base62_64 = 3020, 4020, 7064
+    real = [(lower20, i, 0.5) for i in range(100)] + [(lower20, 1000 + i, 0.001) for i in range(100)] + [(cell, i, 0.5) for cell in (base32_20, base62_64) for i in range(3)]
+    decoys = [(lower20, 5000 + i, 0.001) for i in range(995)] + [(lower20, 7000 + i, 0.4) for i in range(5)]
+    kind = "cell int, token long, p double"
     found = secret_scan.cut_at(spark.createDataFrame(real, kind), spark.createDataFrame(decoys, kind), 0.05)
-    assert set(found) == {20} and 0 < found[20] <= 0.5
+    # Without decoys the bound decides: 64 characters tell random strings from text, 20 letters do not.
+    assert set(found) == {lower20, base62_64} and 0 < found[lower20] <= 0.5
+
+
+ALPHABETS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz", "0123456789"]
+
+
+def test_keys_of_every_alphabet_are_found(spark, documents):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice(["the", "and", "ing", "er", "tion", "est", "in", "on", "wh", "or"]) for _ in range(rng.randrange(1, 4)))
+    texts, kinds = [], []
+    for alphabet in ALPHABETS:
+        for _ in range(120):
+            texts.append(" ".join(word() for _ in range(150)) + " " + "".join(rng.choice(alphabet) for _ in range(64)) + " end")
+            kinds.append(alphabet)
+    # Words of 20 letters and more, and a number without chance in it.
+    texts += [" ".join(word() for _ in range(100)) + " " + "".join(word() for _ in range(9)) + " 20240101000000000100" for _ in range(150)]
+    # Long runs of digits are hexadecimal by the known shapes already.
+    rows = {r.doc_id: r.n_random + r.n_hex for r in secret_scan.scan(documents(texts)).collect()}
+    for alphabet in ALPHABETS:
+        found = [rows[i + 1] > 0 for i, k in enumerate(kinds) if k == alphabet]
+        assert sum(found) >= 0.9 * len(found), (alphabet, sum(found))
+    assert sum(rows[i] for i in range(len(kinds) + 1, len(texts) + 1)) <= 0.05 * 480
+
+
+def test_a_few_documents_suffice(documents):
+    rng = random.Random(12)
+    texts = [f"the key of this one is {''.join(rng.choice(ALPHABETS[0]) for _ in range(64))} and no more" for _ in range(15)]
+    assert sum(r.n_random for r in secret_scan.scan(documents(texts)).collect()) >= 13
+
+
+def test_tokens_that_touch_a_span_are_left_out_in_one_sweep(spark):
+    rng = random.Random(13)
+    rows = []
+    for _ in range(300):
+        tokens, at = [], 0
+        for _ in range(rng.randrange(12)):
+            at += rng.randrange(4)
+            tokens.append((at, at + rng.randrange(1, 6), "t"))
+            at = tokens[-1][1]
+        spans = sorted((s, rng.randrange(3), s + rng.randrange(1, 25), "k") for s in (rng.randrange(40) for _ in range(rng.randrange(8))))
+        rows.append((tokens, spans))
+    frame = spark.createDataFrame(rows, "tokens array<struct<start:bigint,end:bigint,found:string>>, spans array<struct<start:bigint,`order`:int,end:bigint,kind:string>>")
+    got = frame.select("tokens", "spans", secret_scan.untouched(F.col("tokens"), F.col("spans")).alias("left")).collect()
+    for r in got:
+        expected = [tuple(t) for t in r.tokens if not any(s.start < t.end and t.start < s.end for s in r.spans)]
+        assert [tuple(t) for t in r.left] == expected
 
 
 def test_no_rows_and_no_python(documents):
