@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import components, cut_lineage, numbered
+from scriptorium.llm.common import components, cut_lineage, numbered, salted_join, written
 
 SHINGLE = 3
 #: Sets link if their intersection holds at least this many hundredths of their union.
@@ -88,21 +88,23 @@ def _counters(texts: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, shingle: int, percent: int, rarity: np.ndarray) -> DataFrame:
-    """``doc_id, text_key, n, digest, rare``: the size of each row's set, what tells sets apart, and its rarest tokens."""
+    """``doc_id, text_key, n, digest, rare, last``: the size of each row's set, what tells sets apart, its rarest tokens in order, rarest
+    first, by 32 bits of their hashes, and the place of the last of them in the order of all tokens."""
 
-    @F.pandas_udf("struct<n:bigint,digest:binary,rare:array<bigint>>")
+    @F.pandas_udf("struct<n:int,digest:binary,rare:array<int>,last:bigint>")
     def of(column: pd.Series) -> pd.DataFrame:
         found = []
         for text in column:
             tokens = shingles(text, shingle)
             n = len(tokens)
             rank = rarity[(tokens >> _U64(64 - COUNTER_BITS)).astype(np.int64)]
-            rare = tokens[np.argsort(rank, kind="stable")[: n - needed(n, percent) + 1 if n else 0]]
-            found.append((n, xxhash.xxh3_128_digest(tokens.tobytes()), rare.view(np.int64)))
-        return pd.DataFrame(found, columns=["n", "digest", "rare"])
+            at = np.argsort(rank, kind="stable")[: n - needed(n, percent) + 1 if n else 0]
+            last = int(rank[at[-1]]) << 56 | int(tokens[at[-1]] >> _U64(8)) if n else 0
+            found.append((n, xxhash.xxh3_128_digest(tokens.tobytes()), (tokens[at] >> _U64(32)).astype(np.uint32).view(np.int32), last))
+        return pd.DataFrame(found, columns=["n", "digest", "rare", "last"])
 
     made = texts.select("doc_id", F.xxhash64("text").alias("text_key"), of("text").alias("s"))
-    return made.select("doc_id", "text_key", "s.n", "s.digest", "s.rare")
+    return made.select("doc_id", "text_key", "s.n", "s.digest", "s.rare", "s.last")
 
 
 def _whole_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -165,69 +167,93 @@ def _links(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
     return rows.mapInPandas(lambda batches: _open(batches, percent), "a long, b long")
 
 
-def _least_shared(n: Column, other: Column, percent: int) -> Column:
-    """How many rare tokens two sets of these sizes share at least if they link.
+def _together(n: Column, other: Column, percent: int) -> Column:
+    """What two sets of these sizes have in common at least if they link."""
+    return (n + other) * (percent / (100 + percent))
 
-    They share percent / (100 + percent) of both sizes together, and behind the rare tokens of either only percent / 100 of its size is left.
+
+def _behind(n: Column, percent: int) -> Column:
+    """Tokens of a set behind its rare ones."""
+    return F.ceil(n * (percent / 100) - 1e-9) - 1
+
+
+def _may_link(shared: Column, q: dict[str, Column], g: dict[str, Column], percent: int) -> Column:
+    """Whether a set and one of a group (sizes ``least`` to ``most``) may link if they share no more than ``shared`` rare tokens.
+
+    Up to the earlier end of their rare tokens all that they share is known; of the one that ends there, the tokens behind are what can
+    be added.  Up to the last token shared, the same holds for the tokens behind it in either.
     """
-    return (n + other) * (percent / (100 + percent)) - F.greatest(n, other) * (percent / 100) - 1e-6
+    least = F.greatest(g["least"], q["n"] * (percent / 100))
+    most = F.least(g["most"], q["n"] * (100 / percent))
+    goal = _together(q["n"], least, percent) - 1e-6
+    of_q, of_g = _behind(q["n"], percent), _behind(most, percent)
+    rest = F.when(q["last"] < g["first_last"], of_q).when(q["last"] > g["last_last"], of_g).otherwise(F.greatest(of_q, of_g))
+    at_last = F.least(q["n"] - q["pos"] - 1, g["most"] - g["pos"] - 1)
+    return (least <= most) & (shared + F.least(rest, at_last) >= goal)
 
 
 def _candidates(live: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """``id, of_group, n_shared``: groups of other components that the rare tokens leave.
 
-    Only tokens that occur in different components are looked up, of two components by the one with fewer sets.  A group's sizes must fit
-    the set's, and so must the rare tokens it shares: what a set and any member need is least at one end of the sizes that fit.
+    Only tokens that occur in different components are looked up, of two components by the one with fewer sets.
     """
     rows = live.join(placed, "id")
     open_tokens = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("asks")).where("lo != hi")
-    rows = cut_lineage(rows.join(open_tokens.select("token", (F.floor((F.col("asks") - 1) / SHARE) + 1).cast("long").alias("parts")), "token"))
+    rows = written(rows.join(open_tokens.select("token", (F.floor((F.col("asks") - 1) / SHARE) + 1).cast("int").alias("parts")), "token"), "matrix")
     groups = rows.groupBy("token", "of_group").agg(
-        F.first("comp").alias("comp"), F.first("weight").alias("weight"), F.first("parts").alias("parts"), F.min("n").alias("least"), F.max("n").alias("most")
-    )
-    asks = rows.select("token", F.pmod("id", "parts").alias("part"), "id", "n", "comp", "weight")
-    held = groups.select(
-        F.col("token").alias("g_token"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("g_part"), "of_group",
-        F.col("comp").alias("g_comp"), F.col("weight").alias("g_weight"), "least", "most",
+        F.first("comp").alias("g_comp"), F.first("weight").alias("g_weight"), F.first("parts").alias("g_parts"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.min("last").alias("first_last"), F.max("last").alias("last_last"), F.min("pos").alias("g_pos"),
     )
+    held = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("g_parts") - 1))).drop("g_parts")
+    asks = rows.select("token", F.pmod("id", "parts").cast("int").alias("part"), "id", "pos", "n", "last", "comp", "weight")
     fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
     smaller = F.struct("weight", "comp") < F.struct(F.col("g_weight").alias("weight"), F.col("g_comp").alias("comp"))
-    met = asks.join(held, (F.col("token") == F.col("g_token")) & (F.col("part") == F.col("g_part"))).where(fits & smaller)
-    # The sizes at a token are those of its sets, so the ends are taken over all tokens that were met.
-    shared = met.groupBy("id", "of_group").agg(F.count("*").alias("n_shared"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
-    n = F.col("n")
-    ends = [F.greatest("least", n * (percent / 100)), F.least("most", n * (100 / percent))]
-    return shared.where(F.col("n_shared") >= F.least(*[_least_shared(n, end, percent) for end in ends])).select("id", "of_group", "n_shared")
+    met = asks.join(held, ["token", "part"]).where(fits & smaller)
+    # What a group has at a token is that of its sets there, so the ends are taken over all tokens that were met.
+    shared = met.groupBy("id", "of_group").agg(
+        F.count("*").alias("n_shared"), F.first("n").alias("n"), F.first("last").alias("last"), F.max("pos").alias("pos"), F.max_by("g_pos", "pos").alias("g_pos"),
+        F.min("least").alias("least"), F.max("most").alias("most"), F.min("first_last").alias("first_last"), F.max("last_last").alias("last_last"),
+    )
+    q, g = {c: F.col(c) for c in ("n", "last", "pos")}, {c: F.col(c) for c in ("least", "most", "first_last", "last_last")} | {"pos": F.col("g_pos")}
+    return shared.where(_may_link(F.col("n_shared"), q, g, percent)).select("id", "of_group", "n_shared")
 
 
 def _placed(sizes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``id, n, comp, weight, of_group``: each set's component, the component's sets, and its group, a run of sets of similar size."""
-    of = sizes.join(roots.withColumnsRenamed({"node": "id"}), "id", "left").select("id", "n", F.coalesce("root", "id").alias("comp"))
+    """``id, n, last, comp, weight, of_group``: each set's component, the component's sets, and its group, a run of sets of similar size."""
+    of = sizes.join(roots.withColumnsRenamed({"node": "id"}), "id", "left").select("id", "n", "last", F.coalesce("root", "id").alias("comp"))
     weights = of.groupBy("comp").agg(F.count("*").alias("weight"))
     ranked = numbered(of, ["n", "id"], ["comp"])
     run = F.floor(F.col("pos") / GROUP)
     led = ranked.groupBy(F.col("comp").alias("g_comp"), run.alias("run")).agg(F.min("id").alias("of_group"))
     return cut_lineage(
-        ranked.join(led, (F.col("comp") == F.col("g_comp")) & (run == F.col("run"))).join(weights, "comp").select("id", "n", "comp", "weight", "of_group")
+        ranked.join(led, (F.col("comp") == F.col("g_comp")) & (run == F.col("run"))).join(weights, "comp").select("id", "n", "last", "comp", "weight", "of_group")
     )
 
 
 # -- documents ------------------------------------------------------------------------------------
 
 def link_components(sizes: DataFrame, rare: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame:
-    """``node, root`` of the sets (``sizes``: ``id, n``) whose component has a smaller id, from their rarest tokens (``rare``: ``id, token``).
+    """``node, root`` of the sets (``sizes``: ``id, n, last``) whose component has a smaller id, from their rarest tokens (``rare``: ``id, n, pos,
+    token``; ``pos`` counts from 0, rarest first; ``last`` is the place of the last one in the order of all tokens).
 
     ``sets_of(ids)`` gives the whole sets, ``id, tokens``; it is asked for those that are compared at all.
     """
-    shared = rare.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high")
-    live = cut_lineage(rare.join(shared.select("token", "low"), "token"))
-    # First every set against one other: the smallest id at most of its tokens, if they may link by these.
-    of_low = sizes.select(F.col("id").alias("low"), F.col("n").alias("low_n"))
-    partner = (
-        live.groupBy("id", "low").agg(F.count("*").alias("n_shared")).where("id != low").join(sizes, "id").join(of_low, "low")
-        .where((F.greatest("n", "low_n") * percent <= F.least("n", "low_n") * 100) & (F.col("n_shared") >= _least_shared(F.col("n"), F.col("low_n"), percent)))
-        .groupBy("id").agg(F.max_by("low", F.struct("n_shared", -F.col("low"))).alias("of_group"))
-    )
+    # Sizes of sets that link lie in the same or in neighbouring bands: a token needs two sets in such to be of use.
+    band = F.pmod(F.floor(F.log(F.col("n")) / float(np.log(100 / percent))), F.lit(63)).cast("int")
+    bits = F.bit_or(F.expr("shiftleft(1L, band)"))
+    tokens = rare.withColumn("band", band).groupBy("token").agg(F.count("*").alias("sets"), bits.alias("bits"))
+    beside = (F.col("sets") > F.bit_count("bits")) | F.expr("bits & ((bits << 1) | shiftrightunsigned(bits, 62)) != 0")
+    live = written(rare.select("id", "pos", "token").join(tokens.where((F.col("sets") > 1) & beside).select("token", "sets"), "token"), "live")
+    # First every set against one other, if they may link by these: of the sets at most of its tokens the most central one, whose tokens are the
+    # most shared.  Of copies of one text that is the text itself, or the one least changed.
+    central = live.groupBy("id").agg(F.sum("sets").alias("shares")).join(sizes, "id").select("id", (F.col("shares") / F.col("n")).alias("share"))
+    middle = live.select("id", "token").join(central, "id").groupBy("token").agg(F.max_by("id", F.struct("share", -F.col("id"))).alias("low"))
+    of_low = sizes.select(F.col("id").alias("low"), F.col("n").alias("low_n"), F.col("last").alias("low_last"))
+    near = salted_join(live, middle, "token", "id").where("id != low")
+    met = near.groupBy("id", "low").agg(F.count("*").alias("n_shared"), F.max("pos").alias("pos")).join(sizes, "id").join(of_low, "low")
+    q = {c: F.col(c) for c in ("n", "last", "pos")}
+    g = {"least": F.col("low_n"), "most": F.col("low_n"), "first_last": F.col("low_last"), "last_last": F.col("low_last"), "pos": F.lit(0)}
+    partner = met.where(_may_link(F.col("n_shared"), q, g, percent)).groupBy("id").agg(F.max_by("low", F.struct("n_shared", -F.col("low"))).alias("of_group"))
     partner = cut_lineage(partner)
     leaders = partner.select(F.col("of_group").alias("id")).distinct()
     sets = cut_lineage(sets_of(partner.select("id").unionByName(leaders).distinct()))
@@ -236,7 +262,7 @@ def link_components(sizes: DataFrame, rare: DataFrame, sets_of, percent: int = P
     # Then the groups of other components that are left, for each set the one that shares most before the others.
     ids = live.select("id").distinct()
     placed = _placed(sizes.join(ids, "id", "left_semi"), roots)
-    near = cut_lineage(_candidates(live.select("id", "token"), placed, percent))
+    near = cut_lineage(_candidates(live.select("id", "pos", "token"), placed, percent))
     if near.isEmpty():
         return roots
     members = placed.join(near.select("of_group").distinct(), "of_group", "left_semi").select("of_group", "id")
@@ -268,17 +294,18 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of_rows = cut_lineage(_sets(texts, shingle, percent, _counters(texts, shingle)))
     filled = of_rows.where("n > 0")
     distinct = cut_lineage(
-        filled.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("rare").alias("rare"))
+        filled.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("rare").alias("rare"), F.max("last").alias("last"))
     ).withColumn("id", F.monotonically_increasing_id())
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = distinct.join(ids, "id", "left_semi").select("id", F.col("one.doc_id").alias("of_doc"), F.col("one.text_key").alias("of_key"))
         return _whole_sets(texts, wanted, shingle)
 
-    roots = link_components(distinct.select("id", "n"), distinct.select("id", F.explode("rare").alias("token")), sets_of, percent)
+    rare = distinct.select("id", "n", F.posexplode("rare").alias("pos", "token"))
+    roots = link_components(distinct.select("id", "n", "last"), rare, sets_of, percent)
     rooted = distinct.join(roots.withColumnsRenamed({"node": "id"}), "id", "left").select("digest", "first_id", F.coalesce("root", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = cut_lineage(rooted.join(least, "root").select("digest", "component_id"))
-    linked = filled.join(named, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = of_rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    linked = filled.join(named, "digest").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    alone = of_rows.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
