@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.arrays import merged
 from scriptorium.llm.common import ascii_lower, cut_lineage
 
 WINDOW = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z are lower-cased.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows of a benchmark table that may be broadcast; a larger one is joined by a shuffle.
-MAX_SET = 2_000_000
+#: Bytes of a table that may be broadcast; a larger one is joined by a shuffle.
+MAX_SET = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -39,7 +40,10 @@ def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, window: int
 
 
 def _sized(rows: DataFrame, max_set: int) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= max_set else rows
+    """``rows`` to be broadcast if what they hold, and 64 bytes for each row, is no more than ``max_set`` bytes."""
+    held = [F.octet_length(F.col(c).cast("string")) if t == "string" else F.lit(8) for c, t in rows.dtypes]
+    width = sum((F.coalesce(h, F.lit(0)) for h in held), F.lit(64))
+    return F.broadcast(rows) if (rows.agg(F.sum(width.cast("long"))).first()[0] or 0) <= max_set else rows
 
 
 def contamination(
@@ -62,18 +66,20 @@ def contamination(
     hashes = F.concat(*aligned) if aligned else F.array().cast("array<bigint>")
     base = cut_lineage(scanned.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), hashes.alias("hashes")))
     anchors = _sized(cut_lineage(_anchors(windows, anchor)), max_set)
+    # Of copies of a text one row, the one of the smallest id, is read again.
     suspects = (
-        base.select("text_key", F.explode("hashes").alias("hash")).join(anchors, "hash", "left_semi").select("text_key").distinct()
+        base.select("doc_id", "text_key", F.explode("hashes").alias("hash")).join(anchors, "hash", "left_semi")
+        .groupBy("text_key").agg(F.min("doc_id").alias("one_id"))
     )
-    found = cut_lineage(_verified(docs, text, cut_lineage(suspects), windows, sizes, max_set))
+    found = cut_lineage(_verified(docs, doc_id, text, cut_lineage(suspects), windows, sizes, max_set))
     hits = found.groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
     item_rows = found.select("text_key", "gram").join(_sized(windows.select("gram", "item_id"), max_set), "gram")
     items = item_rows.where("item_id IS NOT NULL").select("text_key", F.col("item_id").cast("string").alias("item")).distinct()
     items = items.groupBy("text_key").agg(F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"), F.count("*").alias("n_items"))
-    told = cut_lineage(hits.join(items, "text_key", "left").select("text_key", _merged(F.col("runs")).alias("spans"), "items", "n_items"))
+    told = cut_lineage(hits.join(items, "text_key", "left").select("text_key", merged(F.col("runs")).alias("spans"), "items", "n_items"))
     hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
     n_hit = F.coalesce(hit, F.lit(0)).cast("long")
-    return base.join(told, "text_key", "left").select(
+    return base.join(_sized(told, max_set), "text_key", "left").select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
@@ -96,11 +102,12 @@ def _anchors(windows: DataFrame, anchor: dict[int, int]) -> DataFrame:
     return grams.select(F.xxhash64("gram").alias("hash")).distinct()
 
 
-def _verified(docs: DataFrame, text: str, suspects: DataFrame, windows: DataFrame, sizes: list[int], max_set: int) -> DataFrame:
+def _verified(docs: DataFrame, doc_id: str, text: str, suspects: DataFrame, windows: DataFrame, sizes: list[int], max_set: int) -> DataFrame:
     """``text_key, gram, start, end`` of every occurrence of a window, once per distinct text."""
-    key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    read = docs.select(key.alias("text_key"), F.col(text).alias("text")).join(suspects, "text_key", "left_semi")
-    read = read.select("text_key", words(F.col("text")).alias("w"))
+    # By id first: only rows that bear the id of a suspect are hashed again.
+    rows = docs.select(F.col(doc_id).alias("read_id"), F.col(text).alias("text"))
+    same = F.col("read_id").eqNullSafe(F.col("one_id")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("text_key"))
+    read = rows.join(_sized(suspects, max_set), same).select("text_key", words(F.col("text")).alias("w"))
     grams = _sized(windows.select("gram").distinct(), max_set)
     runs = [
         read.select("text_key", F.posexplode(_grams(F.col("w"), k)).alias("start", "gram")).withColumn("end", F.col("start") + k)
@@ -114,29 +121,11 @@ def _verified(docs: DataFrame, text: str, suspects: DataFrame, windows: DataFram
     return rows.join(grams, "gram", "left_semi").select("text_key", "gram", "start", "end").distinct()
 
 
-def _merged(runs: Column) -> Column:
-    """Overlapping or touching runs, sorted by start, as one run each."""
-    kind = "array<struct<start:int,end:int>>"
-    empty = F.array().cast(kind)
-
-    def add(done: Column, run: Column) -> Column:
-        last = F.element_at(done, -1)
-        grown = F.concat(
-            F.slice(done, 1, F.size(done) - 1),
-            F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], run["end"]).alias("end"))),
-        )
-        joins = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= run["start"])
-        return F.when(joins, grown).otherwise(F.concat(done, F.array(F.struct(run["start"].alias("start"), run["end"].alias("end"))))).cast(kind)
-
-    # Folded as starts and ends: a run opens where it lies behind all ends before it.
-    return F.aggregate(runs, empty, add)
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the texts in which a window of the benchmark occurs; their columns stay as they are."""
     gone = contamination(docs, benchmark).where("contaminated").select(F.col("text_key").alias("gone_key")).distinct()
     key = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    return docs.join(gone, key == gone["gone_key"], "left_anti")
+    return docs.join(_sized(cut_lineage(gone), MAX_SET), key == F.col("gone_key"), "left_anti")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

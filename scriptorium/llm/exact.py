@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import cut_lineage
+from scriptorium.llm.common import cut_lineage, one_of_each
 
 #: A chunk ends behind a space whose two letters before it come from these classes (about one character in 300
 #: of prose), not before its 512th and at latest behind its 4096th character.
@@ -92,9 +92,9 @@ def _groups(recipes: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` does not keep; their columns stay as they are."""
-    gone = exact_groups(docs).where("NOT kept").select(
-        F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")
-    ).distinct()
+    """``docs`` with one row of each group of equal texts, one that ``exact_groups`` keeps; the columns stay as they are."""
+    groups = cut_lineage(exact_groups(docs).select("doc_id", F.col("text_sha256").alias("key"), "kept"))
+    gone = groups.where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_sha")).distinct()
     sha = F.sha2(normalised(docs["text"]), 256)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (sha == gone["gone_sha"]), "left_anti")
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (sha == gone["gone_sha"]), "left_anti")
+    return one_of_each(left, groups.where("kept"), F.sha2(normalised(left["text"]), 256))

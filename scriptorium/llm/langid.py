@@ -262,7 +262,7 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, path: str, fit_docs: int = FIT_DOCS, steps: int = EM_STEPS) -> Model:
     """Fit on at most about ``fit_docs`` whole documents of each language.
 
-    ``docs``: ``doc_id, text, lang``; rows with a null are not used.  What reaches the driver is a row per language
+    ``docs``: ``doc_id, text, lang``; rows with a null are not used.  A word of more than 64 letters counts as runs of 64.  What reaches the driver is a row per language
     and piece of the vocabulary.
     """
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
@@ -272,8 +272,8 @@ def fit(docs: DataFrame, path: str, fit_docs: int = FIT_DOCS, steps: int = EM_ST
         return Model([], {}, 1, path)
     limits = F.create_map(*[F.lit(v) for g in langs for v in (g, int(share[g] * 1_000_000))])
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < limits[F.col("lang")])
-    tokens = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counts = tokens.where(F.length("word") <= 64).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    tokens = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{1,64}"), F.lit(0))).alias("word"))
+    counts = tokens.groupBy("lang", "word").agg(F.count("*").alias("n"))
     # Few bytes but much work per word: spread over the cores instead of merged into few partitions.
     words = cut_lineage(counts.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "word"))
     vocab, longest = pieces(path)

@@ -14,7 +14,7 @@ from scriptorium.llm.common import cut_lineage
 #: Quote marks before a line, at any depth.
 MARKS = r"^\s*(?:>\s*)+"
 #: What a line that introduces a quote consists of.
-INTRODUCTION = r"(?:On|Am|Le|El)\b.{0,200}\b(?:wrote|schrieb|a écrit|escribió)[^\S\n]*:[^\S\n]*"
+INTRODUCTION = r"(?:On|Am|Le|El)\b[^\n]*\b(?:wrote|schrieb|a écrit|escribió)[^\S\n]*:[^\S\n]*"
 #: Orders of a thread that are searched for a source together.
 SPAN = 4096
 
@@ -133,8 +133,13 @@ def _roots(votes: DataFrame) -> DataFrame:
 
 
 def with_quotes(conversations: DataFrame) -> DataFrame:
-    """``conversations`` as a mail thread: each turn quotes the turn before it, which quotes the one before that."""
-    turns = conversations.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    """``conversations`` as a mail thread: each turn quotes the turn before it, which quotes the one before that.
+
+    Rows that repeat conversation and turn count as one turn, the one with the smallest text; rows without either quote nothing
+    and stay rows of their own.  A null text is empty.
+    """
+    rows = conversations.select("conv_id", "turn", "text")
+    turns = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
 
     def before(steps: int) -> DataFrame:
         return turns.select("conv_id", (F.col("turn") + steps).alias("turn"), F.col("text").alias(f"text{steps}"))
@@ -144,4 +149,5 @@ def with_quotes(conversations: DataFrame) -> DataFrame:
 
     joined = turns.join(before(1), ["conv_id", "turn"], "left").join(before(2), ["conv_id", "turn"], "left")
     text = F.concat(F.coalesce("text", F.lit("")), F.coalesce(quote("text1", "> "), F.lit("")), F.coalesce(quote("text2", "> > "), F.lit("")))
-    return joined.select("conv_id", "turn", text.alias("text"))
+    alone = rows.where("conv_id IS NULL OR turn IS NULL").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    return joined.select("conv_id", "turn", text.alias("text")).unionByName(alone)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import components, cut_lineage, hex64
+from scriptorium.llm.common import components, cut_lineage, hex64, one_of_each
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -210,6 +210,17 @@ def _labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 # -- documents ------------------------------------------------------------------------------------
 
+def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, max_bits: int, split_over: int) -> DataFrame:
+    """``doc_id, fp, text_key, component_id, root``; ``root`` is the smallest fingerprint of the component."""
+    prints = cut_lineage(fingerprints(docs, doc_id, text, shingle))
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(links(distinct.select("fp"), max_bits, split_over)).withColumnsRenamed({"node": "fp"})
+    rooted = distinct.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = cut_lineage(rooted.join(least, "root").select("fp", "component_id", "root"))
+    return prints.join(named, "fp")
+
+
 def near_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, split_over: int = SPLIT_OVER
 ) -> DataFrame:
@@ -220,19 +231,20 @@ def near_groups(
     reached over links of at most ``max_bits`` differing bits, null if no row of the component has an id.  Repeated rows have
     equal results; an empty table gives no rows; other columns are not read.
     """
-    prints = cut_lineage(fingerprints(docs, doc_id, text, shingle))
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct.select("fp"), max_bits, split_over)).withColumnsRenamed({"node": "fp"})
-    rooted = distinct.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = cut_lineage(rooted.join(least, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id", "text_key")
+    return _grouped(docs, doc_id, text, shingle, max_bits, split_over).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id", "text_key")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the one that names it; the columns stay as they are."""
-    gone = near_groups(docs).where("NOT doc_id <=> component_id").select(
-        F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")
-    ).distinct()
-    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_key"])
-    return docs.join(gone, same, "left_anti")
+    """``docs`` with one row of each component: of the smallest id that it has, and of texts of that id the one of the smallest hash.
+
+    The columns stay as they are; a null id comes last.
+    """
+    rows = cut_lineage(_grouped(docs, "doc_id", "text", SHINGLE, MAX_BITS, SPLIT_OVER).select("doc_id", F.coalesce("text_key", F.lit(0)).alias("key"), "root"))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    chosen = rows.groupBy("root").agg(F.min(first).alias("stays"))
+    marked = rows.join(chosen, "root").withColumn("stays", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key").eqNullSafe(F.col("stays")))
+    marked = cut_lineage(marked.select("doc_id", "key", "stays"))
+    gone = marked.where("NOT stays").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
+    of = lambda frame: F.coalesce(F.xxhash64(frame["text"]), F.lit(0))
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (of(docs) == gone["gone_key"]), "left_anti")
+    return one_of_each(left, marked.where("stays").select("doc_id", "key"), of(left))

@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from scriptorium.llm import quotes
@@ -59,3 +62,64 @@ def test_an_introduction_without_quote_is_the_message_s_own(spark):
     got = linked(spark, rows)[1, 1]
     assert got.own == "On Monday he wrote:\nnothing.\n\n\nOn no day they wrote:"
     assert got.n_quoted == 2
+
+
+def test_rows_without_key_stay_rows_of_their_own(spark):
+    rows = [(None, 1, "a"), (None, 1, "a"), (1, None, None), (1, 1, "Hello there."), (1, 2, "And you.")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    quoted = quotes.with_quotes(frame)
+    assert quoted.count() == 5
+    got = quotes.link(quoted, "conv_id", "turn", "text").collect()
+    assert len(got) == 5 and [(r.parent, r.n_linked) for r in got if r.thread == 1 and r.order == 2] == [(1, 1)]
+    assert sum(r.thread is None and r.own == "a" for r in got) == 2
+
+
+def test_a_long_introduction_is_one(spark):
+    got = linked(spark, [(1, 1, "Yes."), (1, 2, "On Monday " + "Ann and " * 100 + "Bob wrote:\n> Yes.\nNo.")])
+    assert got[1, 2].own == "No." and got[1, 2].parent == 1
+
+
+def plain_link(messages):
+    """Threads one message after the other: each quoted sentence is looked for backwards."""
+    def sentences(lines):
+        found = re.split(r"(?<=[.!?])\s+", " ".join(lines))
+        return {w for w in (" ".join(re.findall(r"\w+", s.lower())) for s in found) if w}
+
+    said, out = {}, {}
+    for thread, order, text in sorted(messages):
+        levels = {}
+        for line in text.split("\n"):
+            marks = re.match(r"^\s*(?:>\s*)*", line)[0] if re.match(r"^\s*>", line) else ""
+            levels.setdefault(marks.count(">"), []).append(line[len(marks):])
+        best, quoted, known = None, 0, 0
+        for level in sorted(k for k in levels if k):
+            votes = {}
+            for s in sentences(levels[level]):
+                quoted += 1
+                sources = [o for t, o, mine in said.get(s, []) if t == thread and o < order]
+                if sources:
+                    known += 1
+                    votes[max(sources)] = votes.get(max(sources), 0) + 1
+            if votes and best is None:
+                best = max(votes, key=lambda o: (votes[o], o))
+        for s in sentences(levels.get(0, [])):
+            said.setdefault(s, []).append((thread, order, s))
+        root, depth = (order, 0) if best is None else (out[thread, best][1], out[thread, best][2] + 1)
+        out[thread, order] = (best, root, depth, quoted, known)
+    return out
+
+
+def test_random_threads_equal_a_plain_version(spark):
+    rng = random.Random(9)
+    pool = [f"{w} is {v}." for w in ("sky", "sea", "tea", "cat") for v in ("blue", "calm", "hot", "here")]
+    rows = []
+    for thread in range(25):
+        own = {}
+        for order in range(rng.randrange(1, 9)):
+            lines = [" ".join(rng.sample(pool, rng.randrange(1, 3)))]
+            own[order] = lines[0]
+            for level in range(1, rng.randrange(1, 4)):
+                lines.append("> " * level + (own[rng.choice(list(own))] if rng.random() < 0.8 else "Nobody said so."))
+            rows.append((thread, order * rng.choice([1, 1, 1]) if thread % 3 else order * 3000, "\n".join(lines)))
+    got = linked(spark, rows)
+    assert {k: (r.parent, r.root, r.depth, r.n_quoted, r.n_linked) for k, r in got.items()} == plain_link(rows)
