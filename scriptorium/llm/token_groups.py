@@ -2,11 +2,12 @@
 
 Sets are put into groups of similar ones, and a group keeps the union of its members' tokens: the token-group matrix.  What a set shares
 with a group's union bounds what it can share with any member, so only groups that reach the threshold are opened and
-their members compared.  The bound is taken twice: over rare tokens alone, then over all.  Each set has its
-n - ceil(t * n) + 1 rarest tokens in the matrix; sets at least t similar share one of them, and the fewer they share, the less is left.
+their members compared.
 
-Links inside a component need no more looking at.  So large families of near copies are first tied together, each set to one other
-(linear work), and only tokens that still occur in different components are looked up afterwards.
+Which groups come into question at all is found over parts of sets.  Sets that link differ in few tokens; dealt into more parts than
+that by hash, they have a part in common as a whole, and by chance next to no others do.  Links inside a component need no more looking
+at: large families of near copies are first tied together, each set to one other (linear work), and only parts that still
+occur in different components are looked up afterwards.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ SHINGLE = 3
 PERCENT = 90
 #: Members of a group.
 GROUP = 256
-#: Lookups of one token, and queries of one group, that go to the same task.
+#: Parts beyond those in which sets that link can differ.
+SPARE = 4
+#: Lookups of one part, and queries of one group, that go to the same task.
 SHARE = 2048
-#: Tokens are counted by the top bits of their hashes; a count only ranks tokens, it decides nothing.
-COUNTER_BITS = 16
 _U64 = np.uint64
 
 
@@ -59,52 +60,66 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(33))
 
 
-def needed(n: int, percent: int) -> int:
-    """The least intersection of a set of ``n`` with any set it links with."""
-    return -(-percent * n // 100)
+def _bands(percent: int, most: int) -> list[int]:
+    """The largest size in each band: sets that link lie in the same or in neighbouring bands."""
+    ends = [1]
+    while ends[-1] < most:
+        ends.append(max(ends[-1] + 1, 100 * (ends[-1] + 1) // percent))
+    return ends
 
 
-def _counters(texts: DataFrame, shingle: int) -> np.ndarray:
-    """How common the tokens of each counter are: 0 up to twice the mean, then by powers of two.  Counts all tokens of all texts."""
+def _differing(sizes: int | Column, percent: int) -> int | Column:
+    """In how many tokens two sets that link differ at most, by the sum of their sizes."""
+    if isinstance(sizes, Column):
+        return F.floor(sizes * (100 - percent) / (100 + percent) + 1e-9).cast("int")
+    return sizes * (100 - percent) // (100 + percent)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, held, size = np.zeros(1 << COUNTER_BITS, np.int64), [], 0
-        for batch in batches:
-            for text in batch["text"]:
-                held.append((shingles(text, shingle) >> _U64(64 - COUNTER_BITS)).astype(np.int32))
-                if (size := size + len(held[-1])) > 1 << 20:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"counter": at, "n": total[at]})
 
-    counted = texts.select("text").mapInPandas(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    rows = counted.collect()  # one for each counter
-    total = np.zeros(1 << COUNTER_BITS)
-    total[[r["counter"] for r in rows]] = [r["n"] for r in rows]
-    return np.floor(np.log2(np.maximum(total / max(total.mean(), 1.0), 1.0))).astype(np.uint8)
+def _dealt(differing: int | Column) -> int | Column:
+    """Parts that sets are dealt into: some more than can differ, so that sets that link have several in common."""
+    if isinstance(differing, Column):
+        return differing + 1 + F.least(F.floor(differing / 2), F.lit(SPARE)).cast("int")
+    return differing + 1 + min(differing // 2, SPARE)
 
 
-def _sets(texts: DataFrame, shingle: int, percent: int, rarity: np.ndarray) -> DataFrame:
-    """``doc_id, text_key, n, digest, rare, last``: the size of each row's set, what tells sets apart, its rarest tokens in order, rarest
-    first, by 32 bits of their hashes, and the place of the last of them in the order of all tokens."""
+def parts_of(tokens: np.ndarray, percent: int) -> list[dict]:
+    """``size, empty, parts`` for the sets of its own band and the one below, and for those of the band above.
 
-    @F.pandas_udf("struct<n:int,digest:binary,rare:array<int>,last:bigint>")
+    Sets of at most ``size`` tokens are dealt into the same number of parts by the hashes of their tokens; ``parts`` are 32-bit hashes of a set's (sorted
+    hashes), ``empty`` tells how many are empty.  These are not shown, unless there are so many that all that sets have in common may be among them.
+    """
+    ends = _bands(percent, len(tokens))
+    above = max(ends[-1] + 1, 100 * (ends[-1] + 1) // percent)
+    mixed, found = _mixed(tokens ^ _U64(0x5851F42D4C957F2D)), []
+    for size in (ends[-1], above):
+        differing = _differing(2 * size, percent)
+        parts = _dealt(differing)
+        of = tokens % _U64(parts)
+        order = np.argsort(of, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))
+        sums = np.zeros(parts, _U64)
+        filled = of[order][starts].astype(np.int64)
+        sums[filled] = np.add.reduceat(mixed[order], starts)
+        empty = parts - len(filled)
+        shown = filled if empty < parts - differing else np.arange(parts)
+        hashes = _mixed(sums[shown] + shown.astype(_U64) * _U64(0x9E3779B97F4A7C15) + _U64(size)) >> _U64(32)
+        found.append({"size": size, "empty": empty, "parts": hashes.astype(np.uint32).view(np.int32)})
+    return found
+
+
+def _sets(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``doc_id, text_key, n, digest, dealt``: the size of each row's set, what tells sets apart, and its parts."""
+
+    @F.pandas_udf("struct<n:int,digest:binary,dealt:array<struct<size:int,empty:int,parts:array<int>>>>")
     def of(column: pd.Series) -> pd.DataFrame:
         found = []
         for text in column:
             tokens = shingles(text, shingle)
-            n = len(tokens)
-            rank = rarity[(tokens >> _U64(64 - COUNTER_BITS)).astype(np.int64)]
-            at = np.argsort(rank, kind="stable")[: n - needed(n, percent) + 1 if n else 0]
-            last = int(rank[at[-1]]) << 56 | int(tokens[at[-1]] >> _U64(8)) if n else 0
-            found.append((n, xxhash.xxh3_128_digest(tokens.tobytes()), (tokens[at] >> _U64(32)).astype(np.uint32).view(np.int32), last))
-        return pd.DataFrame(found, columns=["n", "digest", "rare", "last"])
+            found.append((len(tokens), xxhash.xxh3_128_digest(tokens.tobytes()), parts_of(tokens, percent) if len(tokens) else []))
+        return pd.DataFrame(found, columns=["n", "digest", "dealt"])
 
     made = texts.select("doc_id", F.xxhash64("text").alias("text_key"), of("text").alias("s"))
-    return made.select("doc_id", "text_key", "s.n", "s.digest", "s.rare", "s.last")
+    return made.select("doc_id", "text_key", "s.n", "s.digest", "s.dealt")
 
 
 def _whole_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -167,93 +182,72 @@ def _links(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
     return rows.mapInPandas(lambda batches: _open(batches, percent), "a long, b long")
 
 
-def _together(n: Column, other: Column, percent: int) -> Column:
-    """What two sets of these sizes have in common at least if they link."""
-    return (n + other) * (percent / (100 + percent))
-
-
-def _behind(n: Column, percent: int) -> Column:
-    """Tokens of a set behind its rare ones."""
-    return F.ceil(n * (percent / 100) - 1e-9) - 1
-
-
-def _may_link(shared: Column, q: dict[str, Column], g: dict[str, Column], percent: int) -> Column:
-    """Whether a set and one of a group (sizes ``least`` to ``most``) may link if they share no more than ``shared`` rare tokens.
+def _may_link(shared: Column, n: Column, empty: Column, least: Column, most: Column, g_empty: Column, size: Column, percent: int) -> Column:
+    """Whether a set and one of a group (sizes ``least`` to ``most``) may link that have ``shared`` parts in common of those for ``size``.
 
-    Up to the earlier end of their rare tokens all that they share is known; of the one that ends there, the tokens behind are what can
-    be added.  Up to the last token shared, the same holds for the tokens behind it in either.
+    Each other part is empty in both, or they differ in a token of it.
     """
-    least = F.greatest(g["least"], q["n"] * (percent / 100))
-    most = F.least(g["most"], q["n"] * (100 / percent))
-    goal = _together(q["n"], least, percent) - 1e-6
-    of_q, of_g = _behind(q["n"], percent), _behind(most, percent)
-    rest = F.when(q["last"] < g["first_last"], of_q).when(q["last"] > g["last_last"], of_g).otherwise(F.greatest(of_q, of_g))
-    at_last = F.least(q["n"] - q["pos"] - 1, g["most"] - g["pos"] - 1)
-    return (least <= most) & (shared + F.least(rest, at_last) >= goal)
+    fits = (most * 100 >= n * percent) & (n * 100 >= least * percent)
+    parts = _dealt(_differing(2 * size, percent))
+    return fits & (shared + F.least(empty, g_empty) >= parts - _differing(n + F.least(most, n * (100 / percent)), percent))
 
 
 def _candidates(live: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """``id, of_group, n_shared``: groups of other components that the rare tokens leave.
+    """``id, of_group, n_shared``: groups of other components that have a part in common and a fitting size.
 
-    Only tokens that occur in different components are looked up, of two components by the one with fewer sets.
+    Only parts that occur in different components are looked up, of two components by the one with fewer sets.
     """
-    rows = live.join(placed, "id")
-    open_tokens = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("asks")).where("lo != hi")
-    rows = written(rows.join(open_tokens.select("token", (F.floor((F.col("asks") - 1) / SHARE) + 1).cast("int").alias("parts")), "token"), "matrix")
-    groups = rows.groupBy("token", "of_group").agg(
-        F.first("comp").alias("g_comp"), F.first("weight").alias("g_weight"), F.first("parts").alias("g_parts"), F.min("n").alias("least"), F.max("n").alias("most"),
-        F.min("last").alias("first_last"), F.max("last").alias("last_last"), F.min("pos").alias("g_pos"),
+    rows = live.select("part", "id", "size", "empty").join(placed, "id")
+    apart = rows.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("asks")).where("lo != hi")
+    rows = written(rows.join(apart.select("part", (F.floor((F.col("asks") - 1) / SHARE) + 1).cast("int").alias("tasks")), "part"), "matrix")
+    groups = rows.groupBy("part", "of_group").agg(
+        F.first("comp").alias("g_comp"), F.first("weight").alias("g_weight"), F.first("tasks").alias("g_tasks"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.max("empty").alias("g_empty"),
     )
-    held = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("g_parts") - 1))).drop("g_parts")
-    asks = rows.select("token", F.pmod("id", "parts").cast("int").alias("part"), "id", "pos", "n", "last", "comp", "weight")
-    fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
+    held = groups.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("g_tasks") - 1))).drop("g_tasks")
+    asks = rows.select("part", F.pmod("id", "tasks").cast("int").alias("task"), "id", "size", "empty", "n", "comp", "weight")
     smaller = F.struct("weight", "comp") < F.struct(F.col("g_weight").alias("weight"), F.col("g_comp").alias("comp"))
-    met = asks.join(held, ["token", "part"]).where(fits & smaller)
-    # What a group has at a token is that of its sets there, so the ends are taken over all tokens that were met.
-    shared = met.groupBy("id", "of_group").agg(
-        F.count("*").alias("n_shared"), F.first("n").alias("n"), F.first("last").alias("last"), F.max("pos").alias("pos"), F.max_by("g_pos", "pos").alias("g_pos"),
-        F.min("least").alias("least"), F.max("most").alias("most"), F.min("first_last").alias("first_last"), F.max("last_last").alias("last_last"),
+    met = asks.join(held, ["part", "task"]).where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent) & smaller)
+    # What a group has at a part is that of its sets there, so its sizes are taken over all parts that were met.
+    shared = met.groupBy("id", "of_group", "size").agg(
+        F.count("*").alias("n_shared"), F.first("n").alias("n"), F.first("empty").alias("empty"), F.min("least").alias("least"), F.max("most").alias("most"),
+        F.max("g_empty").alias("g_empty"),
     )
-    q, g = {c: F.col(c) for c in ("n", "last", "pos")}, {c: F.col(c) for c in ("least", "most", "first_last", "last_last")} | {"pos": F.col("g_pos")}
-    return shared.where(_may_link(F.col("n_shared"), q, g, percent)).select("id", "of_group", "n_shared")
+    may = _may_link(*[F.col(c) for c in ("n_shared", "n", "empty", "least", "most", "g_empty", "size")], percent)
+    return shared.where(may).groupBy("id", "of_group").agg(F.max("n_shared").alias("n_shared"))
 
 
 def _placed(sizes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``id, n, last, comp, weight, of_group``: each set's component, the component's sets, and its group, a run of sets of similar size."""
-    of = sizes.join(roots.withColumnsRenamed({"node": "id"}), "id", "left").select("id", "n", "last", F.coalesce("root", "id").alias("comp"))
+    """``id, n, comp, weight, of_group``: each set's component, the component's sets, and its group, a run of sets of similar size."""
+    of = sizes.join(roots.withColumnsRenamed({"node": "id"}), "id", "left").select("id", "n", F.coalesce("root", "id").alias("comp"))
     weights = of.groupBy("comp").agg(F.count("*").alias("weight"))
     ranked = numbered(of, ["n", "id"], ["comp"])
     run = F.floor(F.col("pos") / GROUP)
     led = ranked.groupBy(F.col("comp").alias("g_comp"), run.alias("run")).agg(F.min("id").alias("of_group"))
     return cut_lineage(
-        ranked.join(led, (F.col("comp") == F.col("g_comp")) & (run == F.col("run"))).join(weights, "comp").select("id", "n", "last", "comp", "weight", "of_group")
+        ranked.join(led, (F.col("comp") == F.col("g_comp")) & (run == F.col("run"))).join(weights, "comp").select("id", "n", "comp", "weight", "of_group")
     )
 
 
 # -- documents ------------------------------------------------------------------------------------
 
-def link_components(sizes: DataFrame, rare: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame:
-    """``node, root`` of the sets (``sizes``: ``id, n, last``) whose component has a smaller id, from their rarest tokens (``rare``: ``id, n, pos,
-    token``; ``pos`` counts from 0, rarest first; ``last`` is the place of the last one in the order of all tokens).
+def link_components(sizes: DataFrame, parts: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame:
+    """``node, root`` of the sets (``sizes``: ``id, n``) whose component has a smaller id, from their parts (``parts``: ``id, size, empty, part``).
 
     ``sets_of(ids)`` gives the whole sets, ``id, tokens``; it is asked for those that are compared at all.
     """
-    # Sizes of sets that link lie in the same or in neighbouring bands: a token needs two sets in such to be of use.
-    band = F.pmod(F.floor(F.log(F.col("n")) / float(np.log(100 / percent))), F.lit(63)).cast("int")
-    bits = F.bit_or(F.expr("shiftleft(1L, band)"))
-    tokens = rare.withColumn("band", band).groupBy("token").agg(F.count("*").alias("sets"), bits.alias("bits"))
-    beside = (F.col("sets") > F.bit_count("bits")) | F.expr("bits & ((bits << 1) | shiftrightunsigned(bits, 62)) != 0")
-    live = written(rare.select("id", "pos", "token").join(tokens.where((F.col("sets") > 1) & beside).select("token", "sets"), "token"), "live")
-    # First every set against one other, if they may link by these: of the sets at most of its tokens the most central one, whose tokens are the
-    # most shared.  Of copies of one text that is the text itself, or the one least changed.
+    shared = parts.groupBy("part").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("sets")).where("lo != hi")
+    live = written(parts.join(shared.select("part", "sets"), "part"), "live")
+    # First every set against one other: of the sets at most of its parts the most central one, whose parts are the most shared.  Of copies of one
+    # text that is the text itself, or the one least changed.
     central = live.groupBy("id").agg(F.sum("sets").alias("shares")).join(sizes, "id").select("id", (F.col("shares") / F.col("n")).alias("share"))
-    middle = live.select("id", "token").join(central, "id").groupBy("token").agg(F.max_by("id", F.struct("share", -F.col("id"))).alias("low"))
-    of_low = sizes.select(F.col("id").alias("low"), F.col("n").alias("low_n"), F.col("last").alias("low_last"))
-    near = salted_join(live, middle, "token", "id").where("id != low")
-    met = near.groupBy("id", "low").agg(F.count("*").alias("n_shared"), F.max("pos").alias("pos")).join(sizes, "id").join(of_low, "low")
-    q = {c: F.col(c) for c in ("n", "last", "pos")}
-    g = {"least": F.col("low_n"), "most": F.col("low_n"), "first_last": F.col("low_last"), "last_last": F.col("low_last"), "pos": F.lit(0)}
-    partner = met.where(_may_link(F.col("n_shared"), q, g, percent)).groupBy("id").agg(F.max_by("low", F.struct("n_shared", -F.col("low"))).alias("of_group"))
+    middle = live.select("id", "part").join(central, "id").groupBy("part").agg(F.max_by("id", F.struct("share", -F.col("id"))).alias("low"))
+    of_low = sizes.select(F.col("id").alias("low"), F.col("n").alias("low_n"))
+    near = salted_join(live.drop("sets"), middle, "part", "id").where("id != low")
+    met = near.groupBy("id", "low", "size").agg(F.count("*").alias("n_shared"), F.first("empty").alias("empty"))
+    may = _may_link(F.col("n_shared"), F.col("n"), F.col("empty"), F.col("low_n"), F.col("low_n"), F.col("empty"), F.col("size"), percent)
+    fitting = met.join(sizes, "id").join(of_low, "low").where(may)
+    partner = fitting.groupBy("id").agg(F.max_by("low", F.struct("n_shared", -F.col("low"))).alias("of_group"))
     partner = cut_lineage(partner)
     leaders = partner.select(F.col("of_group").alias("id")).distinct()
     sets = cut_lineage(sets_of(partner.select("id").unionByName(leaders).distinct()))
@@ -262,7 +256,7 @@ def link_components(sizes: DataFrame, rare: DataFrame, sets_of, percent: int = P
     # Then the groups of other components that are left, for each set the one that shares most before the others.
     ids = live.select("id").distinct()
     placed = _placed(sizes.join(ids, "id", "left_semi"), roots)
-    near = cut_lineage(_candidates(live.select("id", "pos", "token"), placed, percent))
+    near = cut_lineage(_candidates(live, placed, percent))
     if near.isEmpty():
         return roots
     members = placed.join(near.select("of_group").distinct(), "of_group", "left_semi").select("of_group", "id")
@@ -288,21 +282,21 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Two rows link if their sets of shingles share ``percent`` hundredths of their union or more; ``component_id`` is the smallest id that
     can be reached over links, null if none of the component has one.  A text without words (null, empty) has an empty set and
     links with nothing.  Repeated rows link like any equal texts; an empty table gives no rows; other columns are not read.
-    Shingles are told apart by 64-bit hashes.
+    Shingles are told apart by 64-bit hashes.  ``percent`` is at least 50.
     """
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    of_rows = cut_lineage(_sets(texts, shingle, percent, _counters(texts, shingle)))
+    of_rows = written(_sets(texts, shingle, percent), "sets")
     filled = of_rows.where("n > 0")
     distinct = cut_lineage(
-        filled.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("rare").alias("rare"), F.max("last").alias("last"))
+        filled.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("dealt").alias("dealt"))
     ).withColumn("id", F.monotonically_increasing_id())
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = distinct.join(ids, "id", "left_semi").select("id", F.col("one.doc_id").alias("of_doc"), F.col("one.text_key").alias("of_key"))
         return _whole_sets(texts, wanted, shingle)
 
-    rare = distinct.select("id", "n", F.posexplode("rare").alias("pos", "token"))
-    roots = link_components(distinct.select("id", "n", "last"), rare, sets_of, percent)
+    parts = distinct.select("id", F.explode("dealt").alias("d")).select("id", "d.size", "d.empty", F.explode("d.parts").alias("part"))
+    roots = link_components(distinct.select("id", "n"), parts, sets_of, percent)
     rooted = distinct.join(roots.withColumnsRenamed({"node": "id"}), "id", "left").select("digest", "first_id", F.coalesce("root", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = cut_lineage(rooted.join(least, "root").select("digest", "component_id"))

@@ -101,18 +101,32 @@ def test_shingles_are_those_of_the_words():
     assert not np.intersect1d(token_groups.shingles("a b c"), token_groups.shingles("b c")).size
 
 
-def test_sets_that_link_share_a_rare_token():
+@pytest.mark.parametrize("percent", [60, 80, 90, 97])
+def test_sets_that_link_have_a_part_in_common(percent):
+    """Sets of all sizes with as many changes as a link allows."""
     rng = random.Random(6)
-    rarity = np.array([rng.randrange(4) for _ in range(1 << token_groups.COUNTER_BITS)], np.uint8)
-
-    def rare(tokens):
-        rank = rarity[(tokens >> np.uint64(64 - token_groups.COUNTER_BITS)).astype(int)]
-        return set(tokens[np.argsort(rank, kind="stable")[: len(tokens) - token_groups.needed(len(tokens), 90) + 1]].tolist())
-
-    for _ in range(500):
-        words = [f"w{rng.randrange(50)}" for _ in range(rng.randrange(3, 80))]
-        other = list(family(rng, words, 1, 2))[0]
-        a, b = token_groups.shingles(" ".join(words)), token_groups.shingles(other)
+    linked = 0
+    for _ in range(3000):
+        size = rng.choice([rng.randrange(1, 30), rng.randrange(1, 300)])
+        a = np.unique(np.array([rng.randrange(2**64) for _ in range(size)], np.uint64))
+        keep = [t for t in a.tolist() if rng.random() > (100 - percent) / 200 * rng.random() * 2]
+        b = np.unique(np.array(keep + [rng.randrange(2**64) for _ in range(rng.randrange(2 + size * (100 - percent) // 100))], np.uint64))
         both = len(np.intersect1d(a, b))
-        if 100 * both >= 90 * (len(a) + len(b) - both):
-            assert rare(a) & rare(b)
+        if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+            linked += 1
+            met = [(x, y) for x in token_groups.parts_of(a, percent) for y in token_groups.parts_of(b, percent) if x["size"] == y["size"]]
+            enough = []
+            for x, y in met:
+                differing = token_groups._differing(2 * x["size"], percent)
+                goal = token_groups._dealt(differing) - token_groups._differing(len(a) + len(b), percent)
+                shared = len(set(x["parts"].tolist()) & set(y["parts"].tolist()))
+                enough.append(shared > 0 and shared + min(x["empty"], y["empty"]) >= goal)
+            assert met and all(enough)
+    assert linked > 300
+
+
+def test_other_sets_have_none_in_common():
+    rng = random.Random(7)
+    sets = [np.unique(np.array([rng.randrange(2**64) for _ in range(rng.randrange(20, 400))], np.uint64)) for _ in range(300)]
+    seen = [{h for d in token_groups.parts_of(s, 90) for h in d["parts"].tolist()} for s in sets]
+    assert sum(bool(a & b) for i, a in enumerate(seen) for b in seen[:i]) <= 3
