@@ -25,15 +25,21 @@ def file_note(blob: Column) -> Column:
 
 def line_notes(blob: Column) -> Column:
     """``array<struct<line, note>>`` by line; of several notes on one line the last counts."""
-    mark = F.instr(blob, LINES_MARK)
-    part = F.when(mark > 0, tx.strip(F.substring(blob, mark + len(LINES_MARK), F.length(blob)))).otherwise("")
-    numbers = F.regexp_extract_all(part, F.lit(_HEADING), F.lit(1))
-    pieces = F.split(part, _HEADING)
-    notes = F.transform(
-        F.arrays_zip(numbers.alias("n"), F.slice(pieces, F.lit(2), F.size(pieces)).alias("t")),
-        lambda item, i: F.struct(item["n"].cast("bigint").alias("line"), i.alias("rank"), tx.strip(item["t"]).alias("note")),
-    )
-    return last_of_lines(F.filter(notes, lambda n: n["note"] != ""))
+
+    def parsed(part: Column) -> Column:
+        numbers = F.regexp_extract_all(part, F.lit(_HEADING), F.lit(1))
+        pieces = F.split(part, _HEADING)
+        return F.transform(
+            F.arrays_zip(numbers.alias("n"), F.slice(pieces, F.lit(2), F.size(pieces)).alias("t")),
+            lambda item, i: F.struct(item["n"].cast("bigint").alias("line"), i.alias("rank"), tx.strip(item["t"]).alias("note")),
+        )
+
+    def lines(text: Column) -> Column:
+        mark = F.instr(text, LINES_MARK)
+        part = F.when(mark > 0, tx.strip(F.substring(text, mark + len(LINES_MARK), F.length(text)))).otherwise("")
+        return last_of_lines(F.filter(tx.bound(part, parsed), lambda n: n["note"] != ""))
+
+    return tx.bound(blob, lines)
 
 
 def ranked(notes: Column, rank: int) -> Column:
@@ -46,26 +52,30 @@ def ranked(notes: Column, rank: int) -> Column:
 
 def last_of_lines(notes: Column) -> Column:
     """Of ``array<struct<line, rank, note>>`` the note of the highest rank of each line, by line."""
-    by_line = F.array_sort(notes)
-    pairs = F.arrays_zip(by_line.alias("this"), F.slice(by_line, F.lit(2), F.size(by_line)).alias("next"))
-    return F.transform(
-        F.filter(pairs, lambda p: ~p["next"]["line"].eqNullSafe(p["this"]["line"])),
-        lambda p: F.struct(p["this"]["line"].alias("line"), p["this"]["note"].alias("note")),
-    )
+
+    def last(by_line: Column) -> Column:
+        kept = F.filter(by_line, lambda n, i: ~F.get(by_line, i + 1)["line"].eqNullSafe(n["line"]))
+        return F.transform(kept, lambda n: F.struct(n["line"].alias("line"), n["note"].alias("note")))
+
+    return tx.bound(F.array_sort(notes), last)
 
 
 def rebuild(global_note: Column, notes: Column) -> Column:
     """Blob of a file note and ``array<struct<line, note>>``."""
-    has_notes = F.size(F.coalesce(notes, F.array().cast(NOTES))) > 0
-    blocks = F.transform(
-        F.filter(F.array_sort(notes), lambda n: tx.strip(n["note"]) != ""),
-        lambda n: F.concat(F.lit("# "), n["line"].cast("string"), F.lit("\n"), tx.strip(n["note"]), F.lit("\n")),
-    )
+
+    def lines(of: Column) -> Column:
+        shown = F.transform(F.array_sort(of), lambda n: F.struct(n["line"].alias("line"), tx.strip(n["note"]).alias("note")))
+        blocks = F.transform(
+            F.filter(shown, lambda n: n["note"] != ""),
+            lambda n: F.concat(F.lit("# "), n["line"].cast("string"), F.lit("\n"), n["note"], F.lit("\n")),
+        )
+        return F.when(F.size(of) > 0, F.concat(F.lit(LINES_MARK + "\n"), F.array_join(blocks, ""))).otherwise("")
+
     return tx.strip(
         F.concat(
             tx.strip(F.coalesce(global_note, F.lit(""))),
             F.lit("\n\n"),
-            F.when(has_notes, F.concat(F.lit(LINES_MARK + "\n"), F.array_join(blocks, ""))).otherwise(""),
+            tx.bound(F.coalesce(notes, F.array().cast(NOTES)), lines),
         )
     )
 
@@ -78,28 +88,25 @@ def merge_note(old: Column, new: Column) -> Column:
 
 
 def merge_notes(old: Column, new: Column) -> Column:
-    """``old`` notes with ``new`` (``array<struct<line, notes>>``, each line once) appended line by line."""
+    """``old`` notes with ``new`` (``array<struct<line, notes>>``, each line once) appended line by line.
+
+    Both are put into one list by line, in which what is new stands behind what was there: one pass joins neighbours.
+    """
+    none = F.array().cast("array<string>")
     was = F.transform(old, lambda n: F.struct(
-        n["line"].alias("line"), F.lit(0).alias("rank"), n["note"].alias("note"), F.array().cast("array<string>").alias("more")
+        n["line"].alias("line"), F.lit(0).alias("rank"), n["note"].alias("note"), none.alias("more")
     ))
     more = F.transform(new, lambda n: F.struct(
         n["line"].alias("line"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("note"), n["notes"].alias("more")
     ))
-    by_line = F.array_sort(F.concat(was, more))
-    # At most two items share a line: what was there, then what is new.
-    shifted = F.concat(F.array(F.lit(None)), by_line)
-    triples = F.arrays_zip(
-        by_line.alias("this"), F.slice(shifted, F.lit(1), F.size(by_line)).alias("before"), F.slice(by_line, F.lit(2), F.size(by_line)).alias("next")
-    )
     same = lambda a, b: a["line"].eqNullSafe(b["line"])
-    return F.transform(
-        F.filter(triples, lambda p: ~same(p["next"], p["this"])),
-        lambda p: F.struct(
-            p["this"]["line"].alias("line"),
-            F.aggregate(
-                p["this"]["more"],
-                F.when(same(p["before"], p["this"]), p["before"]["note"]).otherwise(p["this"]["note"]),
-                merge_note,
-            ).alias("note"),
-        ),
-    )
+
+    def joined(by_line: Column) -> Column:
+        kept = F.transform(by_line, lambda n, i: F.struct(
+            n["line"].alias("line"),
+            F.aggregate(n["more"], F.when(same(F.get(by_line, i - 1), n), F.get(by_line, i - 1)["note"]).otherwise(n["note"]), merge_note).alias("note"),
+            (~same(F.get(by_line, i + 1), n)).alias("last"),
+        ))
+        return F.transform(F.filter(kept, lambda n: n["last"]), lambda n: F.struct(n["line"].alias("line"), n["note"].alias("note")))
+
+    return tx.bound(F.array_sort(F.concat(was, more)), joined)

@@ -51,12 +51,31 @@ EUC_PLANE2 = (
     (r"\xed", r"\xa1-\xe3"),
 )
 
+# The double-byte positions that the Windows-31J codec knows.
+WINDOWS_STRICT = (
+    (r"\x81", r"\x40-\x7e\x80-\xac\xb8-\xbf\xc8-\xce\xda-\xe8\xf0-\xf7\xfc"),
+    (r"\x82", r"\x4f-\x58\x60-\x79\x81-\x9a\x9f-\xf1"),
+    (r"\x83", r"\x40-\x7e\x80-\x96\x9f-\xb6\xbf-\xd6"),
+    (r"\x84", r"\x40-\x60\x70-\x7e\x80-\x91\x9f-\xbe"),
+    (r"\x87", r"\x40-\x5d\x5f-\x75\x7e\x80-\x9c"),
+    (r"\x88", r"\x9f-\xfc"),
+    (r"\x89-\x97\x99-\x9f\xe0-\xe9\xed\xf0-\xfb", r"\x40-\x7e\x80-\xfc"),
+    (r"\x98", r"\x40-\x72\x9f-\xfc"),
+    (r"\xea", r"\x40-\x7e\x80-\xa4"),
+    (r"\xee", r"\x40-\x7e\x80-\xec\xef-\xfc"),
+    (r"\xfc", r"\x40-\x4b"),
+)
+
+#: Label of what no encoding takes; such content is left as it is.
+UNKNOWN = "unknown"
+
 # Label of each encoding and the Python codec behind it.
 CODECS = {
     "ASCII": "ascii",
     "UTF-8": "utf-8",
     "Shift-JIS": "shift_jis",
     "EUC-JP": "euc_jp",
+    "Windows-31J": "cp932",
     "ISO-8859-1": "iso-8859-1",
 }
 
@@ -72,10 +91,11 @@ DETECTOR_BYTES = (10_000, 20_000)
 
 #: Orders in which encodings are tried.  "legacy" and "legacy_euc" give the labels of
 #: the older tools, which take accented UTF-8 for half-width kana.
+_LAST = ("Windows-31J", "ISO-8859-1")
 ORDERS = {
-    "utf8_first": ("ASCII", "UTF-8", "Shift-JIS", "EUC-JP", "ISO-8859-1"),
-    "legacy": ("ASCII", "Shift-JIS", "UTF-8", "EUC-JP", "ISO-8859-1"),
-    "legacy_euc": ("ASCII", "Shift-JIS", "EUC-JP", "UTF-8", "ISO-8859-1"),
+    "utf8_first": ("ASCII", "UTF-8", "Shift-JIS", "EUC-JP", *_LAST),
+    "legacy": ("ASCII", "Shift-JIS", "UTF-8", "EUC-JP", *_LAST),
+    "legacy_euc": ("ASCII", "Shift-JIS", "EUC-JP", "UTF-8", *_LAST),
 }
 
 
@@ -85,6 +105,9 @@ def _pairs(table: tuple[tuple[str, str], ...]) -> str:
 
 SJIS_STRICT_TEXT = rf"(?:[\x00-\x7f\xa1-\xdf]++|{_pairs(SJIS_STRICT)})*+"
 EUC_STRICT_TEXT = rf"(?:[\x00-\x7f]++|{_pairs(EUC_STRICT)}|\x8f(?:{_pairs(EUC_PLANE2)}))*+"
+WINDOWS_STRICT_TEXT = rf"(?:[\x00-\x7f\xa1-\xdf]++|{_pairs(WINDOWS_STRICT)})*+"
+#: Western text: letters and signs, but none of the control characters that noise is full of.
+LATIN1_TEXT = r"[\t\n\f\r\x20-\x7e\xa0-\xff]*+"
 SJIS_SHAPED_TEXT = rf"(?:[\x00-\x7f\xa1-\xdf]++|[{SJIS_LEAD}][{SJIS_TRAIL}])*+"
 EUC_SHAPED_TEXT = r"(?:[\x00-\x7f]++|\x8e[\xa1-\xdf]|\x8f[\xa1-\xfe][\xa1-\xfe]|[\xa1-\xfe][\xa1-\xfe])*+"
 SJIS_RUN = rf"(?:[{SJIS_LEAD}][{SJIS_TRAIL}]|[{SJIS_RUN_SINGLE}])++"
@@ -122,6 +145,14 @@ def is_euc_jp(chars: Column) -> Column:
     return _whole(chars, EUC_STRICT_TEXT)
 
 
+def is_windows_31j(chars: Column) -> Column:
+    return _whole(chars, WINDOWS_STRICT_TEXT)
+
+
+def is_latin1_text(chars: Column) -> Column:
+    return _whole(chars, LATIN1_TEXT)
+
+
 def is_shift_jis_shaped(chars: Column) -> Column:
     """Lead and trail bytes pair up, whether or not each pair is assigned."""
     return _whole(chars, SJIS_SHAPED_TEXT)
@@ -140,7 +171,7 @@ def header(content: Column, size: int = HEADER_BYTES) -> Column:
 
 
 def detect(content: Column, order: str = "utf8_first") -> Column:
-    """Label of the first encoding of ``order`` that takes every byte.
+    """Label of the first encoding of ``order`` that takes every byte, ``unknown`` if none does.
 
     The tests stand in one ``CASE``, so a text stops at its first hit and ASCII and
     UTF-8, the common case, never reach the byte-pair patterns.
@@ -151,12 +182,14 @@ def detect(content: Column, order: str = "utf8_first") -> Column:
         "UTF-8": is_utf8(content),
         "Shift-JIS": is_shift_jis(chars),
         "EUC-JP": is_euc_jp(chars),
+        "Windows-31J": is_windows_31j(chars),
+        "ISO-8859-1": is_latin1_text(chars),
     }
-    *tried, last = ORDERS[order]
-    label = F.when(tests[tried[0]], tried[0])
-    for name in tried[1:]:
+    first, *others = ORDERS[order]
+    label = F.when(tests[first], first)
+    for name in others:
         label = label.when(tests[name], name)
-    return label.otherwise(last)
+    return label.when(content.isNotNull(), UNKNOWN)
 
 
 _DECODED = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
@@ -184,7 +217,7 @@ def codec_of(label: Column) -> Column:
 
 
 def needs_codec(label: Column) -> Column:
-    return label.isin("Shift-JIS", "EUC-JP")
+    return label.isin("Shift-JIS", "EUC-JP", "Windows-31J")
 
 
 def plain_text(content: Column, label: Column) -> Column:

@@ -25,13 +25,34 @@ ACCENTED_LATIN = "\u00c0-\u00ff"
 SENTENCE_END = "\u3002\uff0e.!?\uff01\uff1f"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(col: Column) -> Column:
     """Trim Unicode whitespace (the ideographic space too) from both ends."""
     return F.btrim(col, F.lit(WHITESPACE))
 
 
+# What ends a line, in every text that is read.
+LINE_BREAK = "\r\n|\r|\n"
+
+
 def normalise_newlines(col: Column) -> Column:
-    return F.regexp_replace(col, "\r\n?", "\n")
+    """Lines as every operator counts them: ``\\r\\n`` and a lone ``\\r`` become ``\\n``.  Most texts hold no ``\\r`` and stay untouched."""
+    return F.when(F.contains(col, F.lit("\r")), F.regexp_replace(col, "\r\n?", "\n")).otherwise(col)
+
+
+def line_break(col: Column) -> Column:
+    """The first line break of a text, which is the style it is written back in; ``\\n`` if it has none."""
+    first = F.regexp_extract(col, f"({LINE_BREAK})", 1)
+    return F.when(F.contains(col, F.lit("\r")) & (first != ""), first).otherwise(F.lit("\n"))
+
+
+def in_style(col: Column, style: Column) -> Column:
+    """A text of ``\\n`` lines with the line breaks of ``style``."""
+    return F.when(style == "\n", col).otherwise(F.replace(col, F.lit("\n"), style))
 
 
 def text_from_bytes(content: Column) -> Column:
@@ -48,8 +69,15 @@ def newline_count(col: Column) -> Column:
 
 
 def line_of_offset(text: Column, offset: Column) -> Column:
-    """1-based line holding the 0-based character ``offset``."""
-    return newline_count(F.substring(text, F.lit(1), offset)) + 1
+    """1-based line holding the 0-based character ``offset`` of a text as it is stored.
+
+    A break belongs to the line it ends; the two characters of ``\\r\\n`` are one break.
+    """
+    before = F.substring(text, F.lit(1), offset)
+    plain = newline_count(before)
+    breaks = F.regexp_count(before, F.lit(f"(?:{LINE_BREAK})"))
+    inside = before.endswith("\r") & (F.substring(text, offset + 1, F.lit(1)) == "\n")
+    return F.when(F.contains(before, F.lit("\r")), breaks - F.when(inside, 1).otherwise(0)).otherwise(plain) + 1
 
 
 def split_lines(col: Column) -> Column:

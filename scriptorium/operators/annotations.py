@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.functions import blob as bl, text as tx
+from scriptorium.operators import ranges as rg
 
 #: The line number of the log's rows that hold a whole blob.
 FILE_LEVEL = 0
@@ -43,38 +44,25 @@ def latest_manual_note(annotations: DataFrame) -> DataFrame:
     )
 
 
-def annotation_history(annotations: DataFrame, slot: str = "minute") -> DataFrame:
+def annotation_history(annotations: DataFrame) -> DataFrame:
     """Every row with its version number in the file and the content before it.
 
-    Rows are numbered inside time slots and the slots' totals are carried over, so that
-    the log of one busy file is sorted in many tasks.  The tasks of the second step see
-    one row per file and slot.  ``slot`` is a unit of time; rows without time come first.
+    The log is sorted over range partitions by file, time and id, so that one busy file, even one imported at a single
+    time, fills as many tasks as it needs.  Each partition's totals and last contents are carried over to the next.
+    Rows without time come first.
     """
-    log = annotations.withColumn("slot", F.date_trunc(slot, "created_at"))
-    slots = log.groupBy("file_id", "slot").agg(
-        F.count("*").alias("rows"), F.max_by("content", _log_order()).alias("last_content")
-    )
-    by_slot = Window.partitionBy("file_id").orderBy("slot")
-    carried = slots.select(
-        F.col("file_id").alias("of_file"),
-        F.col("slot").alias("of_slot"),
-        F.coalesce(
-            F.sum("rows").over(by_slot.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("earlier"),
-        F.lag("last_content").over(by_slot).alias("carried_content"),
-    )
-    inside = Window.partitionBy("file_id", "slot").orderBy("created_at", "id")
-    return (
-        log.withColumn("place", F.row_number().over(inside))
-        .withColumn("before", F.lag("content").over(inside))
-        .join(carried, F.col("file_id").eqNullSafe(F.col("of_file")) & F.col("slot").eqNullSafe(F.col("of_slot")))
-        .select(
-            "file_id",
-            "id",
-            (F.col("earlier") + F.col("place")).alias("version"),
-            "content",
-            F.when(F.col("place") == 1, F.col("carried_content")).otherwise(F.col("before")).alias("previous"),
-        )
+    placed = rg.ranged(annotations.select("file_id", "id", "content", "created_at"), ["file_id", "created_at", "id"])
+    runs = rg.carried(placed, ["file_id"], F.col("content"))
+    parts = placed.rdd.getNumPartitions()
+    # Rows go back to the partition they were sorted in, where each file's run is one window.
+    run = Window.partitionBy("part", "file_id").orderBy("at")
+    previous = placed.repartitionById(parts, F.col("part")).withColumn("before", F.lag("content").over(run))
+    return previous.join(runs, rg.same_run(["file_id"])).select(
+        "file_id",
+        "id",
+        (F.col("at") + F.col("shift") + 1).alias("version"),
+        "content",
+        F.when(F.col("at") == F.col("first"), F.col("carry")).otherwise(F.col("before")).alias("previous"),
     )
 
 
@@ -129,14 +117,16 @@ def apply_line_edits(blobs: DataFrame, edits: DataFrame) -> DataFrame:
         .groupBy("file_id")
         .agg(F.collect_list(F.struct(F.col("line").cast("bigint").alias("line"), F.col("e.content").alias("note"))).alias("edits"))
     )
+    def edited(blob: Column) -> Column:
+        merged = bl.last_of_lines(F.concat(bl.ranked(bl.line_notes(blob), 0), bl.ranked(F.col("edits"), 1)))
+        return bl.rebuild(bl.file_note(blob), F.filter(merged, lambda n: tx.strip(n["note"]) != ""))
+
     blob = F.when(F.col("r").isNotNull(), F.col("r.blob")).otherwise(F.col("blob"))
-    merged = bl.last_of_lines(F.concat(bl.ranked(bl.line_notes(blob), 0), bl.ranked(F.col("edits"), 1)))
-    written = bl.rebuild(bl.file_note(blob), F.filter(merged, lambda n: tx.strip(n["note"]) != ""))
     return (
         blobs.select("file_id", "blob")
         .join(replaced, "file_id", "full_outer")
         .join(live, "file_id", "full_outer")
-        .select("file_id", F.when(F.col("edits").isNotNull(), written).otherwise(blob).alias("blob"))
+        .select("file_id", tx.bound(blob, lambda b: F.when(F.col("edits").isNotNull(), edited(b)).otherwise(b)).alias("blob"))
     )
 
 
@@ -156,11 +146,22 @@ def merge_tool_notes(blobs: DataFrame, notes: DataFrame) -> DataFrame:
     merged = bl.rebuild(bl.file_note(F.col("blob")), bl.merge_notes(
         F.coalesce(bl.line_notes(F.col("blob")), F.array().cast(bl.NOTES)), F.col("new")
     ))
-    return (
-        new.join(blobs.select("file_id", "blob"), "file_id", "left")
-        .select("file_id", merged.alias("merged"), "blob")
-        .filter(~F.col("merged").eqNullSafe(F.col("blob")))
-        .select("file_id", F.col("merged").alias("blob"))
+    # A list of the changed blob or nothing: a filter on the merged blob would have it computed twice.
+    changed = F.filter(F.array(merged), lambda m: ~m.eqNullSafe(F.col("blob")))
+    return new.join(blobs.select("file_id", "blob"), "file_id", "left").select("file_id", F.explode(changed).alias("blob"))
+
+
+def new_versions(blobs: DataFrame, log: DataFrame, created_at: Column, kind: str = "auto_translate") -> DataFrame:
+    """``blobs`` (``file_id, blob``) as rows of the log, for the files whose newest blob in ``log`` says something else.
+
+    Ids go on behind the largest one of ``log`` in the order of the files.
+    """
+    newest = latest_annotation(log).select("file_id", F.col("content").alias("was"))
+    changed = blobs.join(newest, "file_id", "left").filter(~F.col("blob").eqNullSafe(F.col("was")))
+    last = log.agg(F.max("id")).first()[0] or 0  # one number
+    return rg.numbered(changed.select("file_id", "blob"), ["file_id"]).select(
+        (F.col("place") + last + 1).alias("id"), "file_id", F.lit(FILE_LEVEL).alias("line_number"), F.col("blob").alias("content"),
+        F.lit(None).cast("string").alias("author"), F.lit(kind).alias("type"), created_at.cast("timestamp_ntz").alias("created_at"),
     )
 
 

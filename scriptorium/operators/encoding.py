@@ -61,7 +61,7 @@ def classify(files: DataFrame, order: str = "utf8_first") -> DataFrame:
 
 
 def decode_with(files: DataFrame, label: Column) -> DataFrame:
-    """Adds ``encoding, text, error``; only double-byte content goes through Python."""
+    """Adds ``encoding, text, error``; only double-byte content goes through Python.  Unknown content has no text and an error."""
     labelled = files.withColumn("encoding", label)
     needs = cs.needs_codec(F.col("encoding"))
     decoded = labelled.withColumn(
@@ -69,17 +69,17 @@ def decode_with(files: DataFrame, label: Column) -> DataFrame:
     )
     return decoded.withColumn(
         "text", F.when(needs, F.col("decoded.text")).otherwise(cs.plain_text(F.col("content"), F.col("encoding")))
-    ).withColumn("error", F.col("decoded.error")).drop("decoded")
+    ).withColumn("error", F.when(F.col("encoding") == cs.UNKNOWN, "no known encoding").otherwise(F.col("decoded.error"))).drop("decoded")
 
 
 def to_utf8(files: DataFrame, order: str = "utf8_first") -> DataFrame:
     """``file_id, path, encoding, converted, text, error``.  Valid UTF-8 is never touched.
 
-    A binary header means hands off.  A legacy order only changes the label reported:
+    A NUL anywhere means hands off, and so does content that no encoding takes; the latter has an error.  A legacy order only changes the label reported:
     valid UTF-8 keeps its text even where that order calls it Shift-JIS.
     """
     content = F.col("content")
-    binary = cs.has_nul(cs.header(content))
+    binary = cs.has_nul(content)
     label = F.when(binary, BINARY).otherwise(cs.detect(content, order))
     acted = label if order == "utf8_first" else F.when(~binary & cs.is_utf8(content), "UTF-8").otherwise(label)
     done = decode_with(files.withColumn("label", label), acted)
@@ -87,7 +87,7 @@ def to_utf8(files: DataFrame, order: str = "utf8_first") -> DataFrame:
         "file_id",
         "path",
         F.col("label").alias("encoding"),
-        (~F.col("encoding").isin("ASCII", "UTF-8", BINARY)).alias("converted"),
+        (~F.col("encoding").isin("ASCII", "UTF-8", BINARY, cs.UNKNOWN)).alias("converted"),
         "text",
         "error",
     )
@@ -101,6 +101,7 @@ def strict_errors(files: DataFrame, label: str = "Shift-JIS") -> DataFrame:
         "UTF-8": cs.is_utf8(F.col("content")),
         "Shift-JIS": cs.is_shift_jis(chars),
         "EUC-JP": cs.is_euc_jp(chars),
+        "Windows-31J": cs.is_windows_31j(chars),
     }[label]
     return files.select(
         "file_id", "path", F.when(~valid, F.lit(f"not {label}")).alias("error")

@@ -65,8 +65,8 @@ def modernize_plan(files: DataFrame, order: str = "utf8_first") -> DataFrame:
     """What a run would do, as ``file_id, path, step, action, detail``.
 
     An archive beside its file is only cleaned up.  One without is extracted, deleted
-    and its text converted if need be; one that cannot be read fails.  A binary header
-    means hands off.  Any other file is converted unless it is ASCII or UTF-8.
+    and its text converted if need be; one that cannot be read fails.  A NUL anywhere
+    means hands off.  Any other file is converted unless it is ASCII, UTF-8 or of no known encoding.
     """
     archive, content = px.is_archive(F.col("path")), F.col("content")
     # Contents are read once and reduced to their verdict before anything is joined.
@@ -77,13 +77,13 @@ def modernize_plan(files: DataFrame, order: str = "utf8_first") -> DataFrame:
         "path",
         archive.alias("archive"),
         F.col("head_text").isNotNull().alias("readable"),
-        (~archive & cs.has_nul(cs.header(content))).alias("binary"),
+        (~archive & cs.has_nul(content)).alias("binary"),
         cs.detect(
             F.when(archive, cs.bytes_of_latin1(F.col("head_text"))).otherwise(content), order
         ).alias("encoding"),
     )
     present = with_target(files.select("file_id", "path")).select("file_id", F.lit(True).alias("present"))
-    legacy = ~F.col("encoding").isin("ASCII", "UTF-8")
+    legacy = ~F.col("encoding").isin("ASCII", "UTF-8", cs.UNKNOWN)
     name = px.basename(F.col("path"))
     target = F.when(F.col("archive"), px.archive_target(name)).otherwise(name)
 

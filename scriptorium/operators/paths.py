@@ -52,17 +52,42 @@ def dir_listing(tree: DataFrame) -> DataFrame:
     )
 
 
-def _suffixes(path, anchored: bool):
-    """Endings of a path that hold the whole file name."""
-    if anchored:
-        parts = F.split(path, "/")
-        return F.transform(
-            F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/")
-        )
-    return F.transform(
-        F.sequence(F.lit(1), F.length(path) - F.length(px.basename(path)) + 1),
-        lambda n: F.substring(path, n, F.length(path)),
+#: Tasks that the files of one name are spread over.
+NAME_SALTS = 32
+
+
+def _asked_endings(requests: DataFrame, anchored: bool) -> DataFrame:
+    """``request, ending, name`` of every distinct request."""
+    clean = px.forward_slashes(F.col("request"))
+    return (
+        requests.select("request").distinct()
+        .withColumn("ending", F.regexp_replace(clean, "^/", "") if anchored else clean)
+        .withColumn("name", px.basename(F.col("ending")))
+    )
+
+
+def endings(files: DataFrame, wanted: DataFrame, anchored: bool = True) -> DataFrame:
+    """``file_id, path, rank, key`` of stored paths: the path itself (rank 0) and its endings (rank 1), of asked lengths only.
+
+    ``wanted``: ``request, ending, name``.  For each asked name the lengths of what is asked for it are known; a path with that name is cut
+    at just these, so a path nobody asks for gives nothing and a long one no more than is asked.  The files of one name
+    are spread over ``NAME_SALTS`` tasks.
+    """
+    asked = wanted.groupBy(F.col("name").alias("asked_name")).agg(
+        F.collect_set(F.length("request")).alias("wholes"), F.collect_set(F.length("ending")).alias("lengths")
+    ).withColumn("asked_salt", F.explode(F.sequence(F.lit(0), F.lit(NAME_SALTS - 1))))
+    slashed = files.select("file_id", "path", px.forward_slashes(F.col("path")).alias("slashed"))
+    stored = slashed.withColumn("name", px.basename(F.col("slashed"))).withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(NAME_SALTS)).cast("int"))
+    near = stored.join(asked, (F.col("name") == F.col("asked_name")) & (F.col("salt") == F.col("asked_salt")))
+    size = F.length("slashed")
+    fits = F.filter("lengths", lambda n: (n < size) & (F.substring(F.col("slashed"), size - n, F.lit(1)) == "/") if anchored else n < size)
+    cut = F.transform(F.array_union(fits, F.filter("lengths", lambda n: n == size)), lambda n: F.substring(F.col("slashed"), size - n + 1, n))
+    whole = F.filter(F.array("path"), lambda p: F.array_contains("wholes", F.length(p)))
+    keys = F.concat(
+        F.transform(whole, lambda k: F.struct(F.lit(0).alias("rank"), k.alias("key"))),
+        F.transform(cut, lambda k: F.struct(F.lit(1).alias("rank"), k.alias("key"))),
     )
+    return near.select("file_id", "path", F.explode(keys).alias("k")).select("file_id", "path", "k.rank", "k.key")
 
 
 def resolve_path(requests: DataFrame, files: DataFrame, anchored: bool = True) -> DataFrame:
@@ -71,29 +96,13 @@ def resolve_path(requests: DataFrame, files: DataFrame, anchored: bool = True) -
     With ``anchored`` the match starts at a path component; without it any ending
     that holds the whole file name counts.
 
-    Stored paths are expanded to their endings and reduced to the lowest id per ending
-    before the join.  A name shared by a third of the files is thus folded on the map
-    side, and each request meets one row: no pairs within a name are ever built.
+    Stored paths are cut at the asked lengths and reduced to the lowest id per ending before the join.  A name shared by a
+    third of the files is thus folded on the map side, and each request meets one row: no pairs within a name are ever built.
     """
-    clean = px.forward_slashes(F.col("request"))
-    wanted = requests.select("request").distinct().withColumn(
-        "ending", F.regexp_replace(clean, "^/", "") if anchored else clean
-    )
-    names = wanted.select(px.basename(F.col("ending")).alias("name")).distinct()
-    stored = (
-        files.select("file_id", "path", px.forward_slashes(F.col("path")).alias("slashed"))
-        .withColumn("name", px.basename(F.col("slashed")))
-        .join(names, "name", "left_semi")
-    )
-    keys = F.concat(
-        F.array(F.struct(F.lit(0).alias("rank"), F.col("path").alias("key"))),
-        F.transform(
-            _suffixes(F.col("slashed"), anchored), lambda s: F.struct(F.lit(1).alias("rank"), s.alias("key"))
-        ),
-    )
+    wanted = _asked_endings(requests, anchored)
     targets = (
-        stored.select("file_id", "path", F.explode(keys).alias("k"))
-        .groupBy("k.rank", "k.key")
+        endings(files, wanted, anchored)
+        .groupBy("rank", "key")
         .agg(F.min(F.struct("file_id", "path")).alias("file"))
     )
     asked = wanted.select(

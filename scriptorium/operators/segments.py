@@ -1,29 +1,36 @@
-"""Segments of file texts.  All of it is narrow: one scan, no shuffle."""
+"""Segments of file texts.  All of it is narrow: one scan, no shuffle.
+
+Every operator reads a text by the same lines, ended by ``\\n``, ``\\r\\n`` or a lone ``\\r``; pieces show each break as ``\\n``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scriptorium.functions import lexer as lx, paths as px, text as tx
 
 _ITEMS = "array<struct<line:int,text:string>>"
 
 
+def _read() -> Column:
+    return tx.normalise_newlines(F.col("text"))
+
+
 def numbered_lines(files: DataFrame) -> DataFrame:
     """``file_id, line, text`` of every line, blank ones too."""
-    return files.select(
-        "file_id", F.posexplode(tx.split_lines(tx.normalise_newlines(F.col("text")))).alias("pos", "text")
-    ).select("file_id", (F.col("pos") + 1).alias("line"), "text")
+    return files.select("file_id", F.posexplode(tx.split_lines(_read())).alias("pos", "text")).select("file_id", (F.col("pos") + 1).alias("line"), "text")
 
 
 def line_segments(files: DataFrame, ranges: str | None = tx.JAPANESE) -> DataFrame:
     """Stripped non-blank lines, by default those in the script."""
-    return _exploded(files, lx.stripped_lines(F.col("text")), ranges)
+    return _exploded(files, lx.stripped_lines(_read()), ranges)
 
 
 def sentence_segments(files: DataFrame, ranges: str | None = tx.JAPANESE) -> DataFrame:
     """Lines joined to sentences, with the line each one starts on."""
-    return _exploded(files, lx.sentences(F.col("text")), ranges)
+    return _exploded(files, lx.sentences(_read()), ranges)
 
 
 def _exploded(files: DataFrame, items, ranges: str | None) -> DataFrame:
@@ -35,8 +42,8 @@ def _exploded(files: DataFrame, items, ranges: str | None) -> DataFrame:
 
 
 def code_tokens(files: DataFrame) -> DataFrame:
-    """``file_id, seq, type, raw``: code, literals and comments; joined in order they are the text."""
-    return files.select("file_id", F.posexplode(lx.tokens(F.col("text"))).alias("seq", "raw")).select(
+    """``file_id, seq, type, raw``: code, literals and comments; joined in order they are the text as read."""
+    return files.select("file_id", F.posexplode(lx.tokens(_read())).alias("seq", "raw")).select(
         "file_id", "seq", lx.token_type(F.col("raw")).alias("type"), "raw"
     )
 
@@ -47,13 +54,14 @@ def segments_by_type(tokens: DataFrame) -> DataFrame:
     )
 
 
-def _with_pieces(files: DataFrame, char_literals: bool = True, ranges: str | None = None) -> DataFrame:
-    text = F.col("text")
-    worth = F.lit(True) if ranges is None else tx.contains_script(text, ranges)
+def _with_pieces(files: DataFrame, char_literals: bool = True, ranges: str | None = None, *more: str | Column) -> DataFrame:
+    text = _read()
+    worth = F.lit(True) if ranges is None else tx.contains_script(F.col("text"), ranges)
     return files.select(
         "file_id",
         F.when(worth, lx.tokens(text, char_literals)).alias("pieces"),
         F.when(worth, lx.line_groups(text, char_literals)).alias("groups"),
+        *more,
     )
 
 
@@ -92,31 +100,43 @@ def placed_segments(files: DataFrame, char_literals: bool = True) -> DataFrame:
     )
 
 
-def all_pieces(files: DataFrame, ranges: str | None = None) -> DataFrame:
-    """Code too, as ``file_id, seq, type, raw, indentation``; with ``ranges`` of files in that script only."""
+def spliced(files: DataFrame, found: DataFrame, render: Callable[[Column], Column], ranges: str | None = None) -> DataFrame:
+    """``file_id`` and ``text``, what ``render`` makes of the pieces of each file that ``found`` has something for.
+
+    ``found``: ``file_id, found`` with ``array<struct<seq, translated>>``, one row for each file, joined before anything is cut.  ``render`` gets
+    ``array<struct<type, raw, indentation, translated>>`` of all pieces of the file, in order, and everything happens in its row.
+    Breaks are written as the file's first one.
+    """
+    nothing = F.lit(None).cast("string")
+
+    def item(seq, kind: int, type_, raw, indentation, translated):
+        return F.struct(
+            seq.cast("int").alias("seq"), F.lit(kind).alias("kind"), type_.alias("type"), raw.alias("raw"),
+            indentation.alias("indentation"), translated.alias("translated"),
+        )
+
+    cut = _with_pieces(files.join(found, "file_id").select("file_id", "text", "found"), True, ranges, "found", tx.line_break(F.col("text")).alias("style"))
     code = F.filter(
-        F.transform(
-            F.col("pieces"),
-            lambda piece, i: F.struct(
-                i.alias("seq"),
-                lx.token_type(piece).alias("type"),
-                piece.alias("raw"),
-                F.lit(None).cast("string").alias("indentation"),
-            ),
-        ),
-        lambda c: c["type"] == lx.CODE,
+        F.transform(F.col("pieces"), lambda piece, i: item(i, 0, lx.token_type(piece), piece, nothing, nothing)), lambda c: c["type"] == lx.CODE
     )
     others = F.transform(
-        _placed(F.col("pieces"), F.col("groups")),
-        lambda s: F.struct(
-            s["seq"].alias("seq"), s["type"].alias("type"), s["raw"].alias("raw"), s["indentation"].alias("indentation")
-        ),
-    )
-    return (
-        _with_pieces(files, True, ranges)
-        .select("file_id", F.explode(F.concat(code, others)).alias("p"))
-        .select("file_id", "p.*")
+        _placed(F.col("pieces"), F.col("groups")), lambda s: item(s["seq"], 0, s["type"], s["raw"], s["indentation"], nothing)
     )
+    given = F.transform(F.col("found"), lambda f: item(f["seq"], 1, nothing, nothing, nothing, f["translated"]))
+
+    def paired(items: Column) -> Column:
+        """A translation stands right behind its piece."""
+        with_next = F.transform(items, lambda x, i: F.struct(x.alias("x"), F.get(items, i + 1).alias("y")))
+        return F.transform(
+            F.filter(with_next, lambda p: p["x"]["kind"] == 0),
+            lambda p: F.struct(
+                p["x"]["type"].alias("type"), p["x"]["raw"].alias("raw"), p["x"]["indentation"].alias("indentation"),
+                F.when(p["y"]["kind"] == 1, p["y"]["translated"]).alias("translated"),
+            ),
+        )
+
+    pieces = tx.bound(F.array_sort(F.concat(code, others, given)), paired)
+    return cut.select("file_id", tx.in_style(tx.bound(pieces, render), F.col("style")).alias("text"))
 
 
 def _code_items(groups, strategy: str, char_literals: bool):
@@ -148,7 +168,7 @@ def code_segments(
     ``strategy="line"`` gives every line of a block comment by itself.  Without
     ``char_literals`` a quote between apostrophes opens a literal.
     """
-    grouped = files.select("file_id", lx.line_groups(F.col("text"), char_literals).alias("groups"))
+    grouped = files.select("file_id", lx.line_groups(_read(), char_literals).alias("groups"))
     return _exploded(grouped, _code_items(F.col("groups"), strategy, char_literals), ranges)
 
 
@@ -162,10 +182,10 @@ def detected_items(
     """
     plain = lx.sentences if strategy == "sentence" else lx.stripped_lines
     is_code = px.is_code_file(F.col("path"))
-    text = F.col("text")
+    text = _read()
     # The test stands inside the expressions: as a filter it would sink into whatever
     # computes the text and have it computed twice.
-    worth = tx.contains_script(text, ranges)
+    worth = tx.contains_script(F.col("text"), ranges)
     prepared = files.select(
         "file_id",
         F.when(worth & is_code, lx.line_groups(text, False)).alias("groups"),
@@ -179,9 +199,8 @@ def detected_items(
 
 def translation_candidates(files: DataFrame, ranges: str = tx.JAPANESE) -> DataFrame:
     """Comments and literals in the script that no translation comment follows: ``file_id, seq, type, text``."""
-    text = F.col("text")
     pieces = files.select(
-        "file_id", F.when(tx.contains_script(text, ranges), lx.tokens(text)).alias("pieces")
+        "file_id", F.when(tx.contains_script(F.col("text"), ranges), lx.tokens(_read())).alias("pieces")
     )
     marked = F.transform(
         F.col("pieces"),
@@ -204,7 +223,7 @@ def translation_candidates(files: DataFrame, ranges: str = tx.JAPANESE) -> DataF
 
 def translated_flags(files: DataFrame) -> DataFrame:
     """Whether a translation comment follows, for every literal and comment."""
-    pieces = files.select("file_id", lx.tokens(F.col("text")).alias("pieces"))
+    pieces = files.select("file_id", lx.tokens(_read()).alias("pieces"))
     flags = F.transform(
         F.col("pieces"),
         lambda piece, i: F.struct(

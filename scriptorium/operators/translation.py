@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scriptorium.functions import lexer as lx, text as tx
-from scriptorium.operators import segments as sg
+from scriptorium.operators import ranges as rg, segments as sg
+from scriptorium.sources.cache import COMMENT_FAILURE, NOTE_FAILURE
 
-# Markers of a failed call, note prefix and texts per call.
-NOTE_FAILURE = "[Trans Fail"
-COMMENT_FAILURE = "[Translation Failed]"
+# Note prefix and texts per call.
 NOTE_PREFIX = "Translated: "
 CHUNK = 20
 
@@ -41,20 +40,15 @@ def cache_misses(items: DataFrame, cache: DataFrame) -> DataFrame:
     return distinct_texts(items).join(cache.select(F.col("original").alias("text")), "text", "left_anti")
 
 
-def translation_batches(misses: DataFrame, chunk: int = CHUNK, digits: int = 2) -> DataFrame:
-    """Number distinct texts in batches of ``chunk``: ``bucket, batch, position, text``.
+def translation_batches(misses: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Number distinct texts in batches of ``chunk`` in the order of their text: ``batch, position, text``.
 
-    Texts are spread by the first ``digits`` hex digits of their MD5 and numbered inside
-    such a bucket, so the numbering never runs through one task.  Raise ``digits`` with
-    the amount of text; buckets of distinct texts are even.
+    Texts are sorted over range partitions and the partitions' totals added, so the numbering never runs through one
+    task and all batches but the last are full.
     """
-    bucketed = misses.withColumn("bucket", F.substring(F.md5("text"), 1, digits))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("text")) - 1
-    return bucketed.select("bucket", place.alias("place"), "text").select(
-        "bucket",
-        F.floor(F.col("place") / chunk).cast("int").alias("batch"),
-        (F.col("place") % chunk).alias("position"),
-        "text",
+    placed = rg.numbered(misses.select("text"), ["text"])
+    return placed.select(
+        F.floor(F.col("place") / chunk).alias("batch"), (F.col("place") % chunk).cast("int").alias("position"), "text"
     )
 
 
@@ -134,82 +128,54 @@ def notes_per_line(translated: DataFrame) -> DataFrame:
 def inject_translations(files: DataFrame, cache: DataFrame, ranges: str = tx.JAPANESE) -> DataFrame:
     """Texts with their translations written in as comments: ``file_id, text``, changed files only.
 
-    A comment is followed by its translation.  Those of literals wait for the end of
-    their line, or for the next line comment, or for the end of the file.
+    A comment is followed by its translation.  Those of literals wait for the end of their line, or for the next line comment,
+    or for the end of the file.  Translations are gathered for each file (no more than its comments and literals); then only the
+    files that have any are cut, and each is put together in its own row.  Breaks are written as the file's first one.
     """
     found = (
         _translated(sg.translation_candidates(files, ranges), cache, "inner")
         .filter(keeps_comment(F.col("text"), F.col("translated")))
-        .select("file_id", "seq", "translated")
-    )
-    pieces = sg.all_pieces(files, ranges).withColumn("translated", F.lit(None).cast("string"))
-    rows = pieces.unionByName(
-        found.select(
-            "file_id", "seq", F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("raw"),
-            F.lit(None).cast("string").alias("indentation"), "translated",
-        )
-    )
-    # Read backwards, a translation comes right behind its piece, and the first place at
-    # or after a piece where waiting literals are written is a running minimum (a frame
-    # to the end would be quadratic).  One exchange on the file serves the window and
-    # the grouping.
-    flushes = (F.col("type") == lx.SINGLE) | ((F.col("type") == lx.CODE) & F.col("raw").contains("\n"))
-    backwards = Window.partitionBy("file_id").orderBy(F.desc("seq"), F.col("translated").isNotNull())
-    placed = rows.repartition("file_id").select(
-        "*",
-        F.min(F.when(flushes, F.struct("seq", "type", "indentation")))
-        .over(backwards.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        .alias("target"),
-        F.lag(F.struct("type", "indentation")).over(backwards).alias("own"),
+        .groupBy("file_id")
+        .agg(F.collect_list(F.struct("seq", "translated")).alias("found"))
     )
+    return sg.spliced(files, found, _with_comments, ranges)
 
-    def part(where: Column, step: int, value: Column) -> Column:
-        return F.struct(
-            where.alias("seq"), F.lit(step).alias("step"), F.col("seq").alias("origin"), value.alias("text")
-        )
-
-    seq, raw, target, translated = F.col("seq"), F.col("raw"), F.col("target"), F.col("translated")
-    breaks = (F.col("type") == lx.CODE) & raw.contains("\n")
-    first_break = F.instr(raw, "\n")
-    quoted = F.concat(F.lit('//Translated: "'), translated, F.lit('"'))
-    own = F.col("own")
-    is_string = own["type"] == lx.STRING
-    output = F.array_compact(
-        F.array(
-            F.when(raw.isNotNull(), part(seq, 0, F.when(breaks, F.substring(raw, F.lit(1), first_break)).otherwise(raw))),
-            F.when(
-                translated.isNotNull() & ~is_string,
-                part(seq, 1, F.concat(F.lit("\n"), own["indentation"], F.lit("//Translated: "), translated)),
-            ),
-            F.when(
-                translated.isNotNull() & is_string & target.isNotNull(),
-                part(
-                    target["seq"],
-                    2,
-                    F.when(
-                        target["type"] == lx.SINGLE, F.concat(F.lit("\n"), target["indentation"], quoted)
-                    ).otherwise(F.concat(F.lit("\t"), quoted, F.lit("\n"))),
-                ),
-            ),
-            F.when(breaks, part(seq, 3, F.substring(raw, first_break + 1, F.length(raw)))),
-        )
-    )
-    left_over = F.when(
-        translated.isNotNull() & is_string & target.isNull(), F.struct(seq, F.concat(quoted, F.lit("\n")).alias("text"))
-    )
-    return (
-        placed.groupBy("file_id")
-        .agg(
-            F.array_sort(F.flatten(F.collect_list(output))).alias("body"),
-            F.array_sort(F.collect_list(left_over)).alias("tail"),
-            F.count("translated").alias("translations"),
-        )
-        .filter("translations > 0")
-        .select(
-            "file_id",
-            F.concat(
-                F.array_join(F.col("body.text"), ""),
-                F.when(F.size("tail") > 0, F.concat(F.lit("\n"), F.array_join(F.col("tail.text"), ""))).otherwise(""),
-            ).alias("text"),
-        )
+
+def _with_comments(pieces: Column) -> Column:
+    """The text of ``array<struct<type, raw, indentation, translated>>``.
+
+    Literals wait from one line comment or line end to the next, so the pieces are taken in runs up to each of those places.
+    """
+    ends_run = lambda p: (p["type"] == lx.SINGLE) | ((p["type"] == lx.CODE) & p["raw"].contains("\n"))
+    own = lambda p: F.concat(
+        p["raw"],
+        F.when(p["translated"].isNotNull() & (p["type"] != lx.STRING), F.concat(F.lit("\n"), p["indentation"], F.lit("//Translated: "), p["translated"])).otherwise(""),
     )
+
+    def waiting(run: Column, before: Column, behind: Column) -> Column:
+        literals = F.filter(run, lambda p: (p["type"] == lx.STRING) & p["translated"].isNotNull())
+        return F.array_join(F.transform(literals, lambda p: F.concat(before, F.lit('//Translated: "'), p["translated"], F.lit('"'), behind)), "")
+
+    def of_run(run: Column) -> Column:
+        def closed(last: Column) -> Column:
+            first_break = F.instr(last["raw"], "\n")
+            return F.when(
+                last["type"] == lx.SINGLE, F.concat(own(last), waiting(run, F.concat(F.lit("\n"), last["indentation"]), F.lit("")))
+            ).otherwise(F.concat(
+                F.substring(last["raw"], F.lit(1), first_break), waiting(run, F.lit("\t"), F.lit("\n")),
+                F.substring(last["raw"], first_break + 1, F.length(last["raw"])),
+            ))
+
+        return F.concat(F.array_join(F.transform(F.slice(run, F.lit(1), F.size(run) - 1), own), ""), tx.bound(F.element_at(run, -1), closed))
+
+    def of_tail(run: Column) -> Column:
+        left = waiting(run, F.lit(""), F.lit("\n"))
+        return F.concat(F.array_join(F.transform(run, own), ""), tx.bound(left, lambda text: F.when(text != "", F.concat(F.lit("\n"), text)).otherwise("")))
+
+    def of_runs(ends: Column) -> Column:
+        runs = F.transform(ends, lambda end, k: F.slice(pieces, F.coalesce(F.get(ends, k - 1), F.lit(0)) + 1, end - F.coalesce(F.get(ends, k - 1), F.lit(0))))
+        tail = F.slice(pieces, F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)) + 1, F.size(pieces))
+        return F.concat(F.array_join(F.transform(runs, of_run), ""), tx.bound(tail, of_tail))
+
+    places = F.filter(F.transform(pieces, lambda p, i: F.when(ends_run(p), i + 1)), lambda place: place.isNotNull())
+    return tx.bound(places, of_runs)

@@ -10,6 +10,8 @@ from scriptorium.plans import fixtures as fx, translation
 from scriptorium.plans.dialect import strip
 from scriptorium.plans.fixtures import SQL
 from scriptorium.plans.register import Register
+from scriptorium.session import working_dir
+from scriptorium.sources import tables as tb
 
 query = Register()
 
@@ -169,6 +171,36 @@ def merge_tool_notes(spark: SparkSession, d: str) -> DataFrame:
     return an.merge_tool_notes(fx.blobs(spark, d), translation.line_notes(spark, d))
 
 
+_BATCH_TIME = "2100-01-01 00:00:00"
+
+
+@query(
+    fx.with_views(
+        """SELECT file_id, id, content, created_at FROM merged UNION ALL
+SELECT file_id, id, content, created_at FROM newest WHERE file_id NOT IN (SELECT file_id FROM merged)""",
+        "annotations",
+        newest=_LATEST,
+        notes="""SELECT file_id, string_agg('# ' || line || chr(10) || note || chr(10), '' ORDER BY line) AS lines FROM
+(SELECT file_id, line_number AS line, arg_max(content, (created_at, id)) AS note FROM annotations WHERE line_number <> 0 AND type = 'manual' GROUP BY ALL)
+WHERE note LIKE 'purchase%' GROUP BY file_id""",
+        merged=f"""SELECT file_id, (SELECT max(id) FROM annotations) + row_number() OVER (ORDER BY file_id) AS id,
+       trim(coalesce(content, '') || {_NL} || {_NL} || '@lines' || {_NL} || lines, {_NL}) AS content, TIMESTAMP '{_BATCH_TIME}' AS created_at
+FROM notes LEFT JOIN newest USING (file_id)""",
+    )
+)
+def append_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Notes merged into the newest blobs go back to the log under a batch key, twice as a repeated run would; then the newest rows."""
+    location = working_dir(spark, "log")
+    tb.write_batch(_log(spark, d), location, "import")
+    for _ in range(2):
+        log = tb.read_log(spark, location).filter("batch <> 'tool-1'")
+        notes = an.current_notes(log.filter("line_number <> 0 AND type = 'manual'")).filter("note LIKE 'purchase%'")
+        blobs = an.latest_annotation(log).select("file_id", F.col("content").alias("blob"))
+        merged = an.merge_tool_notes(blobs, notes)
+        tb.write_batch(an.new_versions(merged, log, F.lit(_BATCH_TIME)), location, "tool-1")
+    return an.latest_annotation(tb.read_log(spark, location))
+
+
 # -- snapshots ----------------------------------------------------------------
 
 _SNAPSHOT = """SELECT file_id, line_number AS line, CASE WHEN note LIKE '%7' THEN '' ELSE note END AS note FROM

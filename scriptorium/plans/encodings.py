@@ -11,6 +11,7 @@ from scriptorium.plans.dialect import EXTENSION, FILENAME, re2
 from scriptorium.plans.fixtures import quoted
 from scriptorium.plans.register import Register
 from scriptorium.session import working_dir
+from scriptorium.sources import catalog as ct
 
 query = Register()
 
@@ -33,12 +34,14 @@ _TESTS = {
     "UTF-8": _UTF8,
     "Shift-JIS": _full(cs.SJIS_STRICT_TEXT),
     "EUC-JP": _full(cs.EUC_STRICT_TEXT),
+    "Windows-31J": _full(cs.WINDOWS_STRICT_TEXT),
+    "ISO-8859-1": _full(cs.LATIN1_TEXT),
 }
 
 
 def _label(order: str, raw: str = "raw") -> str:
-    *tried, last = cs.ORDERS[order]
-    return "CASE " + " ".join(f"WHEN {_TESTS[n].format(raw=raw)} THEN '{n}'" for n in tried) + f" ELSE '{last}' END"
+    """By byte tables: for the legacy orders only, whose labels do not follow from the kind of file."""
+    return "CASE " + " ".join(f"WHEN {_TESTS[n].format(raw=raw)} THEN '{n}'" for n in cs.ORDERS[order]) + f" ELSE '{cs.UNKNOWN}' END"
 
 
 _MAGIC = "CASE " + " ".join(
@@ -48,7 +51,7 @@ _MAGIC = "CASE " + " ".join(
 
 _TRIAGE = f"""SELECT file_id, path, path LIKE '%,v' AS is_archive, {_NUL.format(raw="raw")} AS is_binary,
        CASE WHEN {_NUL.format(raw="raw")} THEN {_MAGIC} ELSE 'Text' END AS file_type,
-       CASE WHEN {_NUL.format(raw="raw")} THEN 'Binary' ELSE {_label("utf8_first")} END AS encoding,
+       CASE WHEN {_NUL.format(raw="raw")} THEN 'Binary' ELSE label END AS encoding,
        {EXTENSION} AS extension
 FROM legacy_files"""
 
@@ -67,7 +70,7 @@ def is_binary(spark: SparkSession, d: str) -> DataFrame:
     return en.is_binary(fx.legacy_files(spark, d))
 
 
-@query(fx.with_views(f"SELECT file_id, {_label('utf8_first')} AS encoding FROM legacy_files", "legacy_files"))
+@query(fx.with_views("SELECT file_id, label AS encoding FROM legacy_files", "legacy_files"))
 def encoding_strict(spark: SparkSession, d: str) -> DataFrame:
     return en.encoding_strict(fx.legacy_files(spark, d))
 
@@ -127,13 +130,12 @@ _HALF_WIDTH = "".join(map(chr, range(0xFF61, 0xFFA0)))
 
 @query(
     fx.with_views(
-        f"""SELECT file_id, path, CASE WHEN has_head_nul THEN 'Binary' ELSE label END AS encoding,
-       NOT has_head_nul AND label NOT IN ('ASCII', 'UTF-8') AS converted,
-       CASE WHEN has_head_nul THEN NULL WHEN label = 'ISO-8859-1' THEN raw ELSE CASE kind
-            WHEN 3 THEN text WHEN 2 THEN translate(raw, {quoted(_KANA_BYTES)}, {quoted(_HALF_WIDTH)})
-            WHEN 7 THEN kana || 'TEXT' || chr(0) || chr(0) WHEN 1 THEN kana ELSE raw END END AS text,
-       CAST(NULL AS VARCHAR) AS error
-FROM (SELECT *, {_label("utf8_first")} AS label, {_HEADER_NUL.format(raw="raw")} AS has_head_nul FROM legacy_files)""",
+        f"""SELECT file_id, path, CASE WHEN has_nul THEN 'Binary' ELSE label END AS encoding,
+       NOT has_nul AND label NOT IN ('ASCII', 'UTF-8', 'unknown') AS converted,
+       CASE WHEN has_nul OR label = 'unknown' THEN NULL WHEN label = 'ISO-8859-1' THEN raw WHEN label = 'Windows-31J' THEN ascii_text || '①㈱' ELSE CASE kind
+            WHEN 3 THEN text WHEN 2 THEN translate(raw, {quoted(_KANA_BYTES)}, {quoted(_HALF_WIDTH)}) WHEN 1 THEN kana ELSE raw END END AS text,
+       CASE WHEN NOT has_nul AND label = 'unknown' THEN 'no known encoding' END AS error
+FROM (SELECT *, {_NUL.format(raw="raw")} AS has_nul FROM legacy_files)""",
         "legacy_files",
     )
 )
@@ -157,31 +159,44 @@ def sjis_runs(spark: SparkSession, d: str) -> DataFrame:
     return en.sjis_runs(fx.legacy_files(spark, d))
 
 
-@query()
-def sjis_strings(spark: SparkSession, d: str) -> DataFrame:
-    return en.sjis_strings(fx.legacy_files(spark, d))
+# Decoders for the check queries.  The operators ask the codecs; here a pair of bytes is turned into row and cell of the
+# character set by arithmetic, and the set itself is read through another encoding of it.
 
 
-@query()
-def trial_decode_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return en.trial_decode_matrix(fx.legacy_files(spark, d))
+def _character_set() -> str:
+    cells = (bytes([0xA1 + row, 0xA1 + cell]) for row in range(94) for cell in range(94))
+    return "".join(c.decode("euc_jp", "replace")[0] for c in cells)
+
+
+def _sjis_text(chars: str) -> str:
+    """Text of valid Shift-JIS bytes, given as one character each."""
+    lead, trail = "unicode(u[1])", "unicode(u[2])"
+    row = f"(({lead} - CASE WHEN {lead} >= 224 THEN 193 ELSE 129 END) * 2 + CASE WHEN {trail} >= 159 THEN 1 ELSE 0 END)"
+    cell = f"(CASE WHEN {trail} >= 159 THEN {trail} - 159 WHEN {trail} >= 128 THEN {trail} - 65 ELSE {trail} - 64 END)"
+    units = rf"regexp_extract_all({chars}, '(?s)[\x{{81}}-\x{{9f}}\x{{e0}}-\x{{ea}}].|[^\x{{81}}-\x{{9f}}\x{{e0}}-\x{{ea}}]+')"
+    pair = f"unicode(u[1]) BETWEEN 129 AND 159 OR unicode(u[1]) BETWEEN 224 AND 234"
+    return (
+        f"array_to_string(list_transform({units}, lambda u: CASE WHEN {pair} THEN substring({quoted(_character_set())}, {row} * 94 + {cell} + 1, 1) "
+        f"ELSE translate(u, {quoted(_KANA_BYTES)}, {quoted(_HALF_WIDTH)}) END), '')"
+    )
 
 
-# The double-byte positions that the cp932 codec knows.
-_CP932 = (
-    (r"\x81", r"\x40-\x7e\x80-\xac\xb8-\xbf\xc8-\xce\xda-\xe8\xf0-\xf7\xfc"),
-    (r"\x82", r"\x4f-\x58\x60-\x79\x81-\x9a\x9f-\xf1"),
-    (r"\x83", r"\x40-\x7e\x80-\x96\x9f-\xb6\xbf-\xd6"),
-    (r"\x84", r"\x40-\x60\x70-\x7e\x80-\x91\x9f-\xbe"),
-    (r"\x87", r"\x40-\x5d\x5f-\x75\x7e\x80-\x9c"),
-    (r"\x88", r"\x9f-\xfc"),
-    (r"\x89-\x97\x99-\x9f\xe0-\xe9\xed\xf0-\xfb", r"\x40-\x7e\x80-\xfc"),
-    (r"\x98", r"\x40-\x72\x9f-\xfc"),
-    (r"\xea", r"\x40-\x7e\x80-\xa4"),
-    (r"\xee", r"\x40-\x7e\x80-\xec\xef-\xfc"),
-    (r"\xfc", r"\x40-\x4b"),
+@query(
+    fx.with_views(
+        f"""SELECT file_id, seq, CASE WHEN regexp_matches(run, '[^\\x00-\\x7f]') THEN {_sjis_text("run")} ELSE run END AS text FROM (
+SELECT file_id, (n - 1)::INTEGER AS seq, run FROM (
+SELECT file_id, unnest(runs) AS run, generate_subscripts(runs, 1) AS n
+FROM (SELECT file_id, regexp_extract_all(raw, {quoted(_RUN)}) AS runs FROM legacy_files))
+WHERE length(run) > 3 AND {_TESTS["Shift-JIS"].format(raw="run")})""",
+        "legacy_files",
+    )
 )
-_CP932_TEXT = r"(?:[\x00-\x80\xa0-\xdf\xfd-\xff]|" + "|".join(f"[{lead}][{trail}]" for lead, trail in _CP932) + ")*"
+def sjis_strings(spark: SparkSession, d: str) -> DataFrame:
+    return en.sjis_strings(fx.legacy_files(spark, d))
+
+
+# Beside the pairs, this codec takes some single bytes that no text holds.
+_CP932_TEXT = r"(?:[\x00-\x80\xa0-\xdf\xfd-\xff]|" + "|".join(f"[{lead}][{trail}]" for lead, trail in cs.WINDOWS_STRICT) + ")*"
 _TRIAL_TESTS = {
     "shift_jis": _TESTS["Shift-JIS"],
     "cp932": _full(_CP932_TEXT),
@@ -191,18 +206,54 @@ _TRIAL_TESTS = {
 }
 
 
+_CHUNKS = f"SELECT file_id, substring(raw, strpos(raw, 'TEXT') + 8, {cs.TRIAL_BYTES}) AS chunk FROM legacy_files WHERE contains(raw, 'TEXT')"
+_CODECS = "(VALUES " + ", ".join(f"('{name}')" for name in _TRIAL_TESTS) + ") codecs(codec)"
+# What the bytes from 0x80 say in Mac Roman.
+MAC_ROMAN = (
+    "ÄÅÇÉÑÖÜáàâäãåçéèêëíìîïñóòôöõúùûü†°¢£§•¶ß®©™´¨≠ÆØ∞±≤≥¥µ∂∑∏π∫ªºΩæø"
+    "¿¡¬√ƒ≈∆«»…\xa0ÀÃÕŒœ–—“”‘’÷◊ÿŸ⁄€‹›ﬁﬂ‡·‚„‰ÂÊÁËÈÍÎÏÌÓÔ\uf8ffÒÚÛÙıˆ˜¯˘˙˚¸˝˛ˇ"
+)
+_HIGH_BYTES = "".join(map(chr, range(0x80, 0x100)))
+_SAMPLES = {
+    "shift_jis": _sjis_text("chunk"), "cp932": _sjis_text("chunk"), "mac_roman": f"translate(chunk, {quoted(_HIGH_BYTES)}, {quoted(MAC_ROMAN)})",
+}
+# A chunk that ends inside a pair is cut short; any other that is not valid is wrong.
+_CUT_SHORT = {
+    "shift_jis": re2(rf"(?:[\x00-\x7f\xa1-\xdf]|{cs._pairs(cs.SJIS_STRICT)})*[{cs.SJIS_LEAD}]"),
+    "cp932": re2(rf"(?:[\x00-\x80\xa0-\xdf\xfd-\xff]|{cs._pairs(cs.WINDOWS_STRICT)})*[\x81-\x9f\xe0-\xfc]"),
+    "euc_jp": re2(rf"(?:[\x00-\x7f]|{cs._pairs(cs.EUC_STRICT)})*[\x8e\x8f\xa1-\xfe]"),
+}
+
+
+def _trial_errors() -> str:
+    """The chunks hold ASCII, half-width kana and pairs that begin with 0x82, which UTF-8 never begins with."""
+    cases = " ".join(
+        f"WHEN '{name}' THEN '{name}: ' || CASE WHEN regexp_full_match(chunk, {quoted(pattern)}) THEN 'incomplete' ELSE 'illegal' END || ' multibyte sequence'"
+        for name, pattern in _CUT_SHORT.items()
+    )
+    return f"CASE codec {cases} WHEN 'utf-8' THEN 'utf-8: invalid start byte' END"
+
+
+_OK = "CASE codec " + " ".join(f"WHEN '{name}' THEN {test.format(raw='chunk')}" for name, test in _TRIAL_TESTS.items()) + " END"
+
+
 @query(
     fx.with_views(
-        "SELECT file_id, codec, CASE codec "
-        + " ".join(f"WHEN '{name}' THEN {test.format(raw='chunk')}" for name, test in _TRIAL_TESTS.items())
-        + f""" END AS ok, length(chunk)::INTEGER AS size
-FROM (SELECT file_id, substring(raw, strpos(raw, 'TEXT') + 8, {cs.TRIAL_BYTES}) AS chunk FROM legacy_files WHERE contains(raw, 'TEXT')),
-     (VALUES {", ".join(f"('{name}')" for name in _TRIAL_TESTS)}) codecs(codec)""",
+        f"""SELECT file_id, codec, ok, CASE WHEN ok THEN substring(CASE codec {" ".join(f"WHEN '{n}' THEN {t}" for n, t in _SAMPLES.items())}
+       ELSE chunk END, 1, {cs.TRIAL_SAMPLE}) END AS sample, CASE WHEN NOT ok THEN {_trial_errors()} END AS error
+FROM (SELECT *, {_OK} AS ok FROM ({_CHUNKS}), {_CODECS})""",
         "legacy_files",
     )
 )
+def trial_decode_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return en.trial_decode_matrix(fx.legacy_files(spark, d))
+
+
+@query(
+    fx.with_views(f"SELECT file_id, codec, {_OK} AS ok, length(chunk)::INTEGER AS size FROM ({_CHUNKS}), {_CODECS}", "legacy_files")
+)
 def trial_decode_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Which codec takes each chunk: the part of the matrix that SQL can say too."""
+    """Which codec takes each chunk, and how long it is."""
     files = fx.legacy_files(spark, d)
     chunks = en.text_chunks(files).select("file_id", F.octet_length("chunk").alias("size"))
     return en.trial_decode_matrix(files).join(chunks, "file_id").select("file_id", "codec", "ok", "size")
@@ -273,21 +324,33 @@ def top_k(spark: SparkSession, d: str) -> DataFrame:
     return rp.top_k(groups.agg(F.count("*").alias("files")), "k")
 
 
+_ROWS_SQL = r"""SELECT 0 AS section, i AS rank, '' AS key, line FROM (SELECT unnest(['# Source Code Analysis Report', '', 'Total files analyzed: ' || files, '',
+       '- RCS Files: ' || archives, '- Shift-JIS Files: ' || shift_jis, '- Binary Files: ' || binaries, '', '## File Details',
+       '| File Path | RCS | Encoding | File Type | Error |', '| --- | --- | --- | --- | --- |']) AS line, unnest(range(11)) AS i
+   FROM (SELECT (SELECT count(*) FROM legacy_files) AS files, count(*) FILTER (is_archive) AS archives, count(*) FILTER (encoding = 'Shift-JIS') AS shift_jis,
+                count(*) FILTER (is_binary) AS binaries FROM seen))
+UNION ALL SELECT 1, 0, path, '| ' || path || ' | ' || CASE WHEN is_archive THEN 'True' ELSE 'False' END || ' | ' || encoding || ' | ' || file_type || ' |  |' FROM seen
+UNION ALL SELECT 1, 0, path, '| ' || path || ' | False | N/A | N/A | cannot be read |' FROM legacy_files WHERE file_id % 97 = 5
+UNION ALL SELECT 2, i, '', line FROM (SELECT unnest(['', '# Binary File Analysis Report', '', 'Total Binary Files Found: ' || binaries, '', '## Top Binary Extensions',
+       '| Extension | Count |', '| :--- | :--- |']) AS line, unnest(range(8)) AS i FROM (SELECT count(*) FILTER (is_binary) AS binaries FROM seen))
+UNION ALL SELECT 3, -files, extension, '| ' || extension || ' | ' || files || ' |' FROM (SELECT extension, count(*) AS files FROM seen WHERE is_binary GROUP BY extension ORDER BY files DESC, extension LIMIT 20)
+UNION ALL SELECT 4, i, '', line FROM (SELECT unnest(['', '## Top File Types', '| File Type Description | Count |', '| :--- | :--- |']) AS line, unnest(range(4)) AS i)
+UNION ALL SELECT 5, -files, file_type, '| ' || replace(file_type, '|', '\|') || ' | ' || files || ' |' FROM (SELECT file_type, count(*) AS files FROM seen WHERE is_binary GROUP BY file_type ORDER BY files DESC, file_type LIMIT 20)"""
+
+
 @query(
     fx.with_views(
-        r"""SELECT '| ' || path || ' | ' || CASE WHEN is_archive THEN 'True' ELSE 'False' END || ' | ' || encoding || ' | ' || file_type || ' |  |' AS line
-FROM triage UNION ALL
-SELECT '| ' || k || ' | ' || n || ' |' FROM (SELECT replace(lang || '|' || source, '|', '\|') AS k, count(*) AS n FROM documents GROUP BY ALL)""",
-        "legacy_files", triage=_TRIAGE,
+        "SELECT row_number() OVER (ORDER BY section, rank, encode(key)) - 1 AS place, line FROM lines",
+        "legacy_files", triage=_TRIAGE, seen="SELECT * FROM triage WHERE file_id % 97 <> 5", lines=_ROWS_SQL,
     )
 )
 def report_sink(spark: SparkSession, d: str) -> DataFrame:
-    """Both reports, written and read back."""
-    groups = fx.table(spark, d, "documents").groupBy(F.concat("lang", F.lit("|"), "source").alias("k"))
-    counts = rp.count_rows(groups.agg(F.count("*").alias("files")), "k")
+    """The whole report, written and read back.  Some files cannot be read: they have an error and are not triaged."""
+    files = fx.legacy_files(spark, d)
+    read = files.filter("file_id % 97 <> 5")
     location = working_dir(spark, "report")
-    rp.detail_rows(_triage(spark, d)).select("line").unionByName(counts).write.text(location)
-    return spark.read.schema("line string").text(location)
+    rp.write_report(rp.compose(en.classify(read), ct.unreadable(files, read)), location)
+    return rp.read_report(spark, location)
 
 
 # -- modernisation ------------------------------------------------------------
@@ -313,7 +376,7 @@ def archive_head_text(spark: SparkSession, d: str) -> DataFrame:
 
 # Archives inside the source set are no real ones; those made for it are.
 _PLAN = f"""SELECT file_id, path, 0 AS step, 'Converted' AS action, name || ' (' || label || ' -> UTF-8)' AS detail
-FROM judged WHERE NOT archive AND NOT has_head_nul AND label NOT IN ('ASCII', 'UTF-8')
+FROM judged WHERE NOT archive AND NOT has_nul AND label NOT IN ('ASCII', 'UTF-8', 'unknown')
 UNION ALL
 SELECT file_id, path, 0, CASE WHEN present THEN 'Cleaned' WHEN made THEN 'Extracted' ELSE 'Failed' END,
        CASE WHEN made AND NOT present THEN name || ' -> ' || name[:-3] ELSE name END FROM judged WHERE archive
@@ -321,12 +384,11 @@ UNION ALL
 SELECT file_id, path, 1, 'Deleted', name FROM judged WHERE archive AND made AND NOT present
 UNION ALL
 SELECT file_id, path, 2, 'Converted', name[:-3] || ' (' || label || ' -> UTF-8)'
-FROM judged WHERE archive AND made AND NOT present AND label NOT IN ('ASCII', 'UTF-8')"""
-_JUDGED = f"""SELECT p.*, p.path LIKE '%,v' AS archive, {FILENAME} AS name, {_HEADER_NUL.format(raw="raw")} AS has_head_nul,
-       {_label("utf8_first")} AS label, p.path[:-3] IN (SELECT path FROM project) AS present
+FROM judged WHERE archive AND made AND NOT present AND label NOT IN ('ASCII', 'UTF-8', 'unknown')"""
+_JUDGED = f"""SELECT p.*, p.path LIKE '%,v' AS archive, {FILENAME} AS name, {_NUL.format(raw="raw")} AS has_nul, p.path[:-3] IN (SELECT path FROM project) AS present
 FROM project p"""
-_PROJECT = f"""SELECT file_id, path, raw, false AS made FROM legacy_files UNION ALL
-SELECT file_id + {fx.ARCHIVE_ID_BASE}, CASE WHEN file_id % 2 = 0 THEN '' ELSE 'old/' END || path || ',v', raw, true FROM legacy_files"""
+_PROJECT = f"""SELECT file_id, path, raw, label, false AS made FROM legacy_files UNION ALL
+SELECT file_id + {fx.ARCHIVE_ID_BASE}, CASE WHEN file_id % 2 = 0 THEN '' ELSE 'old/' END || path || ',v', raw, label, true FROM legacy_files"""
 
 
 def _plan(spark: SparkSession, d: str) -> DataFrame:

@@ -47,6 +47,9 @@ MAGIC = (
 )
 CHUNKS = ("\x00\x00\x00\x0eTEXT\x00\x00\x00\xb0", "\x00TEXT\x01\x02\x03\x04", "\x00TEX")
 
+# Ends of some files: a circled one and the sign of a stock company in Windows-31J, bytes no encoding takes, a Western letter.
+WINDOWS_SIGNS, NOISE, WESTERN = "\x87\x40\x87\x8a", "\x81\xad\xfd\x80", " \xe9 !"
+
 ARCHIVE_ID_BASE = 1_000_000_000
 
 
@@ -85,9 +88,19 @@ def _replaced(text: Column, pairs) -> Column:
     return text
 
 
+# Line breaks by file number modulo 7: Windows, old Macintosh, mixed; the others have plain ones.
+def _broken(text: Column) -> Column:
+    shape = F.col("file_id") % 7
+    mixed = F.replace(F.replace(text, F.lit("e\n"), F.lit("e\r\n")), F.lit(".\n"), F.lit(".\r"))
+    return (
+        F.when(shape == 3, F.replace(text, F.lit("\n"), F.lit("\r\n"))).when(shape == 4, F.replace(text, F.lit("\n"), F.lit("\r")))
+        .when(shape == 5, mixed).otherwise(text)
+    )
+
+
 def marked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as commented, partly Japanese source: ``file_id, path, text``."""
-    text = _replaced(F.col("text"), (*CODE_MARKS, *zip(LATIN_LETTERS, SCRIPT_LETTERS)))
+    """The same as commented, partly Japanese source with all kinds of line breaks: ``file_id, path, text``."""
+    text = _broken(_replaced(F.col("text"), (*CODE_MARKS, *zip(LATIN_LETTERS, SCRIPT_LETTERS))))
     return src_files(spark, sf_dir).select("file_id", "path", text.alias("text"))
 
 
@@ -130,9 +143,18 @@ def _nested_replace(column: str) -> str:
 
 SQL["marked_files"] = (
     ("src_files",),
-    f"""SELECT file_id, path,
+    f"""SELECT file_id, path, CASE file_id % 7 WHEN 3 THEN replace(text, chr(10), chr(13) || chr(10)) WHEN 4 THEN replace(text, chr(10), chr(13))
+       WHEN 5 THEN replace(replace(text, 'e' || chr(10), 'e' || chr(13) || chr(10)), '.' || chr(10), '.' || chr(13)) ELSE text END AS text
+FROM (SELECT file_id, path,
        translate({_nested_replace("text")}, {quoted(LATIN_LETTERS)}, {quoted(SCRIPT_LETTERS)}) AS text
-FROM src_files""",
+FROM src_files)""",
+)
+# As every operator reads them, and the break each is written back with.
+SQL["read_files"] = (
+    ("marked_files",),
+    r"""SELECT file_id, path, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text,
+       CASE WHEN regexp_matches(text, '[\r\n]') THEN regexp_extract(text, '\r\n|\r|\n') ELSE chr(10) END AS style
+FROM marked_files""",
 )
 
 # -- raw bytes ----------------------------------------------------------------
@@ -168,7 +190,8 @@ def legacy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight kinds of bytes: ``file_id, path, content, length``.
 
     ASCII, Shift-JIS, EUC-JP, UTF-8, binary with a signature, NUL at the very end,
-    a lone lead byte at the end, and a chunked word processor file.
+    a lone lead byte at the end, and a chunked word processor file.  Some of the first kind end
+    in Windows-31J signs, in noise, or in a Western letter.
     """
     files = src_files(spark, sf_dir)
     base = _replaced(F.col("text"), zip(UPPER_ACCENTS, UPPER_PLAIN))
@@ -177,7 +200,10 @@ def legacy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     magic = F.element_at(F.array(*[F.lit(m) for m in MAGIC]), (_variant() + 1).cast("int"))
     chunk = F.element_at(F.array(*[F.lit(c) for c in CHUNKS]), (_variant() % 4 + 1).cast("int"))
     raw = (
-        F.when(_kind() == 0, ascii_)
+        F.when((_kind() == 0) & (_variant() == 1), F.concat(ascii_, F.lit(WINDOWS_SIGNS)))
+        .when((_kind() == 0) & (_variant() == 2), F.concat(ascii_, F.lit(NOISE)))
+        .when((_kind() == 0) & (_variant() == 3), F.concat(ascii_, F.lit(WESTERN)))
+        .when(_kind() == 0, ascii_)
         .when(_kind() == 1, sjis)
         .when(_kind() == 2, _double_byte(base, "\xa4", EUC_TRAILS))
         .when(_kind() == 4, F.concat(magic, F.lit("\x00"), sjis))
@@ -209,14 +235,22 @@ SQL["legacy_base"] = (
        regexp_replace(base, '[^\x00-\x7f]', '?', 'g') AS ascii_text,
        {_sql_double_byte("base", chr(0x82), SJIS_TRAILS)} AS sjis,
        {_sql_double_byte("base", chr(0xA4), EUC_TRAILS)} AS euc,
-       translate(base, {quoted(KANA_LETTERS)}, {quoted(HIRAGANA)}) AS kana
+       translate(base, {quoted(KANA_LETTERS)}, {quoted(HIRAGANA)}) AS kana, regexp_matches(base, '[{KANA_LETTERS}]') AS foreign_letters
 FROM (SELECT *, translate(text, {quoted(UPPER_ACCENTS)}, {quoted(UPPER_PLAIN)}) AS base FROM src_files)""",
 )
 # raw: one character per byte; kind 3 spells out the UTF-8 bytes.
+# label: what each kind has to be taken for, UTF-8 first; hiragana in EUC-JP reads as half-width kana in Shift-JIS.
 SQL["legacy_files"] = (
     ("legacy_base",),
     rf"""SELECT file_id, path, kind, variant, text, kana, ascii_text, CASE kind
-       WHEN 0 THEN ascii_text WHEN 1 THEN sjis WHEN 2 THEN euc
+       WHEN 0 THEN CASE variant WHEN 1 THEN 'Windows-31J' WHEN 2 THEN 'unknown' WHEN 3 THEN 'ISO-8859-1' ELSE 'ASCII' END
+       WHEN 3 THEN CASE WHEN regexp_matches(text, '[À-ÿ]') THEN 'UTF-8' ELSE 'ASCII' END
+       WHEN 4 THEN CASE WHEN variant IN (4, 6) THEN 'unknown' WHEN variant = 1 OR foreign_letters THEN 'Shift-JIS' ELSE 'ASCII' END
+       WHEN 5 THEN 'ASCII' WHEN 6 THEN 'unknown'
+       WHEN 7 THEN CASE WHEN foreign_letters OR variant % 4 = 0 THEN 'Shift-JIS' ELSE 'ASCII' END
+       ELSE CASE WHEN foreign_letters THEN 'Shift-JIS' ELSE 'ASCII' END END AS label, CASE kind
+       WHEN 0 THEN ascii_text || CASE variant WHEN 1 THEN {quoted(WINDOWS_SIGNS)} WHEN 2 THEN {quoted(NOISE)} WHEN 3 THEN {quoted(WESTERN)} ELSE '' END
+       WHEN 1 THEN sjis WHEN 2 THEN euc
        WHEN 3 THEN regexp_replace(translate(text, {quoted(LATIN1_UPPER)}, {quoted(UTF8_TRAILS)}),
                                   '([\x{{80}}-\x{{bf}}])', {quoted(chr(0xC3))} || '\1', 'g')
        WHEN 4 THEN {_sql_cases(MAGIC, "variant")} || chr(0) || sjis

@@ -72,14 +72,25 @@ def _new(spark: SparkSession, d: str) -> DataFrame:
     return ct.new_files(scanned.unionByName(scanned), known)
 
 
+# The upper half of an MD5 as a signed number.
+_ID = "CASE WHEN u >= 9223372036854775808 THEN CAST(u - 18446744073709551616 AS BIGINT) ELSE CAST(u AS BIGINT) END"
+
+
+def _ids_sql(source: str) -> str:
+    return f"SELECT *, {_ID} AS file_id FROM (SELECT *, CAST(('0x' || substring(md5(path), 1, 16))::UBIGINT AS HUGEINT) AS u FROM ({source}))"
+
+
 @query(
     fx.with_views(
-        f"SELECT DISTINCT path, {FILENAME} AS filename FROM tree_files WHERE path NOT IN (SELECT path FROM known)",
+        "SELECT path, filename, file_id FROM (" + _ids_sql(f"SELECT DISTINCT path, {FILENAME} AS filename FROM tree_files WHERE path NOT IN (SELECT path FROM known)") + ")",
         "tree_files", known=_KNOWN,
     )
 )
 def incremental_new_files(spark: SparkSession, d: str) -> DataFrame:
-    return _new(spark, d)
+    """Two runs: the source files are indexed with their ids, then what a listing of the whole tree adds."""
+    first = ct.catalog(fx.src_files(spark, d)).select("path", "filename").dropDuplicates(["path"])
+    known = ct.with_ids(first, spark.createDataFrame([], "file_id long, path string"))
+    return ct.with_ids(_new(spark, d), known)
 
 
 @query(

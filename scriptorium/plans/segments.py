@@ -28,10 +28,10 @@ def newlines(expr: str) -> str:
 # -- check views --------------------------------------------------------------
 
 SQL["text_lines"] = (
-    ("marked_files",),
+    ("read_files",),
     f"""SELECT file_id, path, line::INTEGER AS line, {strip("raw")} AS text FROM (
 SELECT file_id, path, unnest(parts) AS raw, generate_subscripts(parts, 1) AS line
-FROM (SELECT file_id, path, string_split(text, {_NL}) AS parts FROM marked_files))""",
+FROM (SELECT file_id, path, string_split(text, {_NL}) AS parts FROM read_files))""",
 )
 SQL["all_lines"] = (
     ("text_lines",),
@@ -67,8 +67,8 @@ WINDOW before AS (PARTITION BY file_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDI
 _WITH_CHARS = rf"""(?s){_STRING}|{_CHAR}|{_COMMENTS}|[^"'/]+|/"""
 _NO_CHARS = rf"""(?s){_STRING}|{_COMMENTS}|[^"/]+|/"""
 
-SQL["cuts"] = (("marked_files",), _cut_sql(_WITH_CHARS, "marked_files"))
-SQL["plain_cuts"] = (("marked_files",), _cut_sql(_NO_CHARS, "marked_files"))
+SQL["cuts"] = (("read_files",), _cut_sql(_WITH_CHARS, "read_files"))
+SQL["plain_cuts"] = (("read_files",), _cut_sql(_NO_CHARS, "read_files"))
 # Neighbouring code joined to islands.
 SQL["pieces"] = (
     ("cuts",),
@@ -132,7 +132,7 @@ SQL["indented"] = (
     ("inner_texts",),
     r"""SELECT i.*, CASE WHEN i.type IN ('comment_single', 'comment_block') THEN
        regexp_replace(regexp_extract(substring(m.text, 1, start::BIGINT), '[^\n]*$'), '[^\t]', ' ', 'g') END AS indentation
-FROM inner_texts i JOIN marked_files m USING (file_id)""",
+FROM inner_texts i JOIN read_files m USING (file_id)""",
 )
 
 # -- queries ------------------------------------------------------------------
@@ -228,8 +228,9 @@ _OFFSETS = "unnest([strpos(text, '\"'), length(text) // 2, length(text)])"
 
 @query(
     fx.with_views(
-        f"""SELECT DISTINCT file_id, "offset"::INTEGER AS "offset", ({newlines('substring(text, 1, "offset")')} + 1)::INTEGER AS line
-FROM (SELECT *, {_OFFSETS} AS "offset" FROM marked_files)""",
+        f"""SELECT DISTINCT file_id, "offset"::INTEGER AS "offset", (length(seen) - length(replace(seen, {_NL}, '')) + 1)::INTEGER AS line
+FROM (SELECT file_id, "offset", replace(replace(substring(marked, 1, "offset"), chr(57344), ''), chr(13), {_NL}) AS seen
+      FROM (SELECT *, {_OFFSETS} AS "offset", replace(text, chr(13) || {_NL}, chr(57344) || {_NL}) AS marked FROM marked_files))""",
         "marked_files",
     )
 )

@@ -63,9 +63,8 @@ def cache_misses(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     fx.with_views(
-        """SELECT bucket, (place // 20)::INTEGER AS batch, (place % 20)::INTEGER AS position, text
-FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY encode(text)) - 1 AS place
-      FROM (SELECT substring(md5(text), 1, 2) AS bucket, text FROM misses))""",
+        """SELECT place // 20 AS batch, (place % 20)::INTEGER AS position, text
+FROM (SELECT text, row_number() OVER (ORDER BY encode(text)) - 1 AS place FROM misses)""",
         "detected", "item_cache", misses=_MISSES,
     )
 )
@@ -136,11 +135,11 @@ _QUOTED = "'//Translated: \"' || translated || '\"'"
 
 @query(
     fx.with_views(
-        f"""SELECT file_id, string_agg(text, '' ORDER BY seq, step, origin) || coalesce(chr(10) || any_value(tail), '') AS text
-FROM output LEFT JOIN (SELECT file_id, string_agg({_QUOTED} || chr(10), '' ORDER BY seq) AS tail
+        f"""SELECT file_id, replace(string_agg(output.text, '' ORDER BY seq, step, origin) || coalesce(chr(10) || any_value(tail), ''), chr(10), any_value(style)) AS text
+FROM output JOIN read_files USING (file_id) LEFT JOIN (SELECT file_id, string_agg({_QUOTED} || chr(10), '' ORDER BY seq) AS tail
                        FROM waiting WHERE target IS NULL GROUP BY file_id) USING (file_id)
 GROUP BY file_id""",
-        "candidates", "indented",
+        "candidates", "indented", "read_files",
         cand_cache=fx.cache_sql("candidates"),
         found=f"""SELECT file_id, seq, type, translated FROM candidates JOIN cand_cache ON original = text
 WHERE {strip("translated")} <> {strip("text")} AND translated <> '' AND NOT contains(translated, '[Translation Failed]')""",

@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The paths a stream has seen stay on disk, not on the executors' heaps.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -50,6 +52,14 @@ def working_dir(spark: SparkSession, label: str) -> str:
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
 
 
+def cut_lineage(rows: DataFrame) -> DataFrame:
+    """Write ``rows`` to the shared checkpoint folder and read them from there; a lost executor costs no more than a read."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(working_dir(rows.sparkSession, "checkpoints"))
+    return rows.checkpoint()
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """Hash ``rows`` over the cores if the scan has fewer splits than there are cores.
 

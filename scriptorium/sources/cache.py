@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptorium.sources.tables import CACHE
 
+# Markers of a failed call.
+NOTE_FAILURE = "[Trans Fail"
+COMMENT_FAILURE = "[Translation Failed]"
+
 _CSV = {"multiLine": "true", "escape": '"', "quote": '"', "header": "false", "encoding": "UTF-8"}
 
 
@@ -44,9 +48,11 @@ def append_cache_csv(pairs: DataFrame, location: str) -> None:
 
 
 def unseen(pairs: DataFrame, cache: DataFrame) -> DataFrame:
-    """New pairs, one per key: what an append has to write.  A text without translation stays a miss."""
+    """New pairs, one per key: what an append has to write.  A text without translation, or with a failure in its place, stays a miss."""
+    translated = F.col("translated")
+    failed = translated.contains(NOTE_FAILURE) | translated.contains(COMMENT_FAILURE)
     return (
-        pairs.filter(F.col("translated").isNotNull())
+        pairs.filter(translated.isNotNull() & ~failed)
         .groupBy("original")
         .agg(F.min("translated").alias("translated"))
         .join(cache.select("original"), "original", "left_anti")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scriptorium.functions import paths as px
+from scriptorium.session import cut_lineage
 
 
 def scan_files(
@@ -64,3 +67,42 @@ def with_suffixes(files: DataFrame, suffixes: tuple[str, ...], names: tuple[str,
 def new_files(scanned: DataFrame, known: DataFrame) -> DataFrame:
     """Scanned paths that are not known yet, once each."""
     return scanned.dropDuplicates(["path"]).join(known.select("path"), "path", "left_anti")
+
+
+def path_id(path: Column, attempt: int = 0) -> Column:
+    """The 64-bit id a path asks for: the first half of its MD5; a later attempt hashes the path with the attempt behind it."""
+    text = path if attempt == 0 else F.concat(path, F.lit(f"\0{attempt}"))
+    return F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("long")
+
+
+def with_ids(fresh: DataFrame, known: DataFrame, wish: Callable[[Column, int], Column] = path_id) -> DataFrame:
+    """``fresh`` (new paths, once each) with ``file_id``; ids in ``known`` (``file_id, path``) are taken.
+
+    An id follows from the path alone, so it is the same in every run and needs no counter and no global order.  Where two paths
+    ask for one id, the smaller one gets it unless it is taken, and the others ask again: a round for each collision in a row.
+    """
+    taken = known.select("file_id")
+    rest, attempt, given = fresh.select("path"), 0, None
+    while True:
+        asked = cut_lineage(rest.withColumn("file_id", wish(F.col("path"), attempt)))
+        won = (
+            asked.groupBy("file_id").agg(F.min("path").alias("path"))
+            .join(taken.withColumnRenamed("file_id", "taken_id"), F.col("file_id") == F.col("taken_id"), "left_anti")
+        )
+        won = cut_lineage(won.select("path", "file_id"))
+        given = won if given is None else given.unionByName(won)
+        rest = asked.select("path").join(won.select("path"), "path", "left_anti")
+        if rest.isEmpty():
+            return fresh.join(given, "path")
+        taken, attempt = taken.unionByName(won.select("file_id")), attempt + 1
+
+
+def collisions(files: DataFrame, wish: Callable[[Column, int], Column] = path_id) -> DataFrame:
+    """``path, file_id`` of the files whose id is not the one their path asks for first: any other id follows from its path."""
+    return files.filter(F.col("file_id") != wish(F.col("path"), 0)).select("path", "file_id")
+
+
+def ids_of(paths: DataFrame, collided: DataFrame, wish: Callable[[Column, int], Column] = path_id) -> DataFrame:
+    """``paths`` with the ids of indexed files, without reading the index: only the small table of collisions is joined."""
+    moved = collided.select("path", F.col("file_id").alias("moved_id"))
+    return paths.join(moved, "path", "left").withColumn("file_id", F.coalesce("moved_id", wish(F.col("path"), 0))).drop("moved_id")

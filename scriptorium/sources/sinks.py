@@ -18,10 +18,9 @@ def read_versions(spark: SparkSession, location: str) -> DataFrame:
 
 
 def latest_version(versions: DataFrame) -> DataFrame:
-    """Newest text of each path."""
-    return versions.groupBy("path").agg(
-        F.max("version").alias("version"), F.max_by("text", "version").alias("text")
-    )
+    """Newest text of each path.  Versions are compared by path and number alone; of the texts only the chosen rows are joined."""
+    newest = versions.groupBy("path").agg(F.max("version").alias("version"))
+    return versions.join(newest, ["path", "version"]).select("path", "version", "text")
 
 
 def markdown_row(*cells: Column) -> Column:

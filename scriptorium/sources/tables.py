@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 FILES = T.StructType(
     [
@@ -43,3 +43,17 @@ def read_table(spark: SparkSession, location: str, schema: T.StructType) -> Data
 def append(rows: DataFrame, location: str, schema: T.StructType) -> None:
     """Append in the column order and types of ``schema``."""
     rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) for f in schema]).write.mode("append").parquet(location)
+
+
+# -- the annotation log -------------------------------------------------------
+
+
+def write_batch(rows: DataFrame, location: str, batch: str) -> None:
+    """Add ``rows`` to the log under a key; writing a key again replaces its rows, so a repeated run adds nothing."""
+    rows.select(*[F.col(f.name).cast(f.dataType) for f in ANNOTATIONS]).write.mode("overwrite").parquet(f"{location}/batch={batch}")
+
+
+def read_log(spark: SparkSession, location: str) -> DataFrame:
+    """All batches of the log, with their key in ``batch``."""
+    schema = T.StructType([*ANNOTATIONS.fields, T.StructField("batch", T.StringType())])
+    return spark.read.schema(schema).option("basePath", location).parquet(location)

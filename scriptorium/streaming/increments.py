@@ -1,28 +1,105 @@
 """Two streams whose result is that of the batch operator.
 
-Each micro-batch is written to its own ``run=<query id>/batch=<id>`` folder in overwrite mode, so a
-batch that is replayed after a failure replaces itself.  The query id lives in the checkpoint: a new
-checkpoint starts a new run and leaves what earlier ones have written.
+Each micro-batch is written to its own ``run=<query id>/span=<id>-<id>`` folder in overwrite mode, so a batch that is replayed after a
+failure replaces itself.  The query id lives in the checkpoint: a new checkpoint starts a new run and leaves what earlier
+ones have written.  ``SPAN`` folders in a row are merged into one, which replaces them at the moment it is renamed into place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scriptorium.operators.annotations import FILE_LEVEL
-from scriptorium.sources.catalog import catalog, new_files, relative_to
+from scriptorium.sources.catalog import catalog, relative_to
 
 ARRIVALS = T.StructType([T.StructField("path", T.StringType()), T.StructField("filename", T.StringType())])
+#: Neighbouring folders of one length that are merged; n batches leave about SPAN * log(n) / log(SPAN) folders.
+SPAN = 10
+#: Size of the files that merged folders are written as.
+FILE_BYTES = 128 << 20
+
+Merge = Callable[[DataFrame], DataFrame]
+
+
+# -- folders ------------------------------------------------------------------
+
+
+class _Folder:
+    """The run folders below a location, on whatever file system it is."""
+
+    def __init__(self, spark: SparkSession, location: str) -> None:
+        self.spark, self.location = spark, location
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(location).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def at(self, run: str, low: int, high: int) -> str:
+        return f"{self.location}/run={run}/span={low}-{high}"
+
+    def names(self, below: str) -> list[str]:
+        at = self.path(below)
+        return [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
+
+    def runs(self) -> list[str]:
+        return [name.removeprefix("run=") for name in self.names(self.location) if name.startswith("run=")]
+
+    def spans(self, run: str) -> list[tuple[int, int]]:
+        """Written folders, by their first and last batch."""
+        found = [name.removeprefix("span=").split("-") for name in self.names(f"{self.location}/run={run}") if name.startswith("span=")]
+        whole = [(int(low), int(high)) for low, high in found]
+        return [s for s in whole if self.fs.exists(self.path(f"{self.at(run, *s)}/_SUCCESS"))]
+
+    def bytes(self, run: str, span: tuple[int, int]) -> int:
+        return self.fs.getContentSummary(self.path(self.at(run, *span))).getLength()
+
+
+def live(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The folders that count: those inside no longer one."""
+    return sorted(s for s in spans if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans))
 
 
 def _stored(spark: SparkSession, location: str, schema: T.StructType) -> DataFrame:
-    runs = [T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())]
-    return spark.read.schema(T.StructType([*schema.fields, *runs])).option("basePath", location).parquet(location)
+    folder = _Folder(spark, location)
+    paths = [folder.at(run, *span) for run in folder.runs() for span in live(folder.spans(run))]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def _folder(location: str, run: str, batch_id: int) -> str:
-    return f"{location}/run={run}/batch={batch_id}"
+def due(spans: list[tuple[int, int]]) -> list[tuple[int, int]] | None:
+    """``SPAN`` neighbouring live folders of one length, the shortest such; none if there are not as many."""
+    by_length: dict[int, list[tuple[int, int]]] = {}
+    for span in live(spans):
+        by_length.setdefault(span[1] - span[0] + 1, []).append(span)
+    for _, row in sorted(by_length.items()):
+        for start in range(0, len(row) - SPAN + 1):
+            part = row[start : start + SPAN]
+            if all(a[1] + 1 == b[0] for a, b in zip(part, part[1:])):
+                return part
+    return None
+
+
+def compact(spark: SparkSession, location: str, run: str, schema: T.StructType, merge: Merge = lambda rows: rows) -> None:
+    """Merge folders of ``run`` as long as there are ``SPAN`` alike, and remove those that were replaced before this call.
+
+    The merged rows are written aside and renamed, so a reader finds either the old folders or the new one.  What it replaces stays
+    for one more call: a reader that listed the folders earlier can finish.
+    """
+    folder = _Folder(spark, location)
+    spans = folder.spans(run)
+    for stale in set(spans) - set(live(spans)):
+        folder.fs.delete(folder.path(folder.at(run, *stale)), True)
+    spans = live(spans)
+    while part := due(spans):
+        span = (part[0][0], part[-1][1])
+        aside = f"{location}/_merging-{run}-{span[0]}-{span[1]}"
+        rows = merge(spark.read.schema(schema).parquet(*[folder.at(run, *s) for s in part]))
+        files = max(1, sum(folder.bytes(run, s) for s in part) // FILE_BYTES)
+        rows.repartition(files).write.mode("overwrite").parquet(aside)
+        folder.fs.rename(folder.path(aside), folder.path(folder.at(run, *span)))
+        spans = [*spans, span]
 
 
 def _run_of(batch: DataFrame) -> str:
@@ -30,6 +107,20 @@ def _run_of(batch: DataFrame) -> str:
     return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
 
 
+def _write(location: str, schema: T.StructType, shrink: Merge, merge: Merge) -> Callable[[DataFrame, int], None]:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, run = batch.sparkSession, _run_of(batch)
+        # Earlier batches are committed; merging them first keeps a replayed batch out of any merged folder but its own.
+        compact(spark, location, run, schema, merge)
+        target = _Folder(spark, location).at(run, batch_id, batch_id)
+        shrink(batch).write.mode("overwrite").parquet(target)
+
+    return write
+
+
+# -- arrivals -----------------------------------------------------------------
+
+
 def watch_files(spark: SparkSession, root: str, files_per_batch: int = 10_000) -> DataFrame:
     """Files that appear below ``root`` as a stream of ``path, filename``."""
     found = (
@@ -42,20 +133,42 @@ def watch_files(spark: SparkSession, root: str, files_per_batch: int = 10_000) -
     return catalog(found.select(relative_to(F.col("path"), root).alias("path"))).select("path", "filename")
 
 
-def index_arrivals(arrivals: DataFrame, location: str, checkpoint: str) -> StreamingQuery:
-    """Append each new ``path, filename`` of a stream of listings once."""
-    spark = arrivals.sparkSession
-    spark.createDataFrame([], ARRIVALS).write.mode("ignore").parquet(_folder(location, "none", -1))
+def _once(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A path the first time it comes; one that is indexed already only leaves its mark."""
+    names, indexed = [], state.exists
+    for part in rows:
+        indexed = indexed or bool(part["indexed"].any())
+        names += part["filename"].tolist()
+    if not state.exists:
+        state.update((True,))
+    if not indexed:
+        yield pd.DataFrame({"path": [key[0]], "filename": [min((n for n in names if n is not None), default=None)]})
+
+
+def _seed(spark: SparkSession, location: str, checkpoint: str) -> str:
+    """What the index holds before a run's first batch, for the run's state; written once for each checkpoint."""
+    folder = _Folder(spark, checkpoint)
+    seed = f"{checkpoint}/indexed-before"
+    if not folder.names(f"{checkpoint}/offsets"):
+        indexed(spark, location).write.mode("overwrite").parquet(seed)
+    return seed
 
-    def add(batch: DataFrame, batch_id: int) -> None:
-        run = _run_of(batch)
-        replayed = (F.col("run") == run) & (F.col("batch") >= batch_id)
-        known = _stored(spark, location, ARRIVALS).filter(~replayed)
-        new_files(batch, known).write.mode("overwrite").parquet(_folder(location, run, batch_id))
 
+def index_arrivals(arrivals: DataFrame, location: str, checkpoint: str) -> StreamingQuery:
+    """Append each new ``path, filename`` of a stream of listings once.
+
+    The paths seen so far are the query's state, partitioned by the hash of the path, so a batch reads nothing but its own rows.
+    A new checkpoint has no state: its first batch also reads what is indexed by then.
+    """
+    spark = arrivals.sparkSession
+    before = spark.readStream.schema(ARRIVALS).parquet(_seed(spark, location, checkpoint))
+    both = before.withColumn("indexed", F.lit(True)).unionByName(
+        arrivals.select("path", "filename", F.lit(False).alias("indexed"))
+    )
+    new = both.groupBy("path").applyInPandasWithState(_once, ARRIVALS, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    same: Merge = lambda rows: rows
     return (
-        arrivals.select("path", "filename")
-        .writeStream.foreachBatch(add)
+        new.writeStream.foreachBatch(_write(location, ARRIVALS, same, same))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -63,8 +176,10 @@ def index_arrivals(arrivals: DataFrame, location: str, checkpoint: str) -> Strea
 
 
 def indexed(spark: SparkSession, location: str) -> DataFrame:
-    return _stored(spark, location, ARRIVALS).select("path", "filename")
+    return _stored(spark, location, ARRIVALS)
+
 
+# -- annotations --------------------------------------------------------------
 
 LATEST = T.StructType(
     [
@@ -87,15 +202,11 @@ def follow_annotations(log: DataFrame, location: str, checkpoint: str) -> Stream
     """Reduce each batch of a stream of annotations to the newest file-level row per file.
 
     The order is that of the log, not of arrival, so late rows are harmless and no
-    watermark is needed.
+    watermark is needed.  Merged folders hold one row per file too.
     """
-
-    def reduce(batch: DataFrame, batch_id: int) -> None:
-        newest = _newest(batch.filter(F.col("line_number") == FILE_LEVEL))
-        newest.write.mode("overwrite").parquet(_folder(location, _run_of(batch), batch_id))
-
+    reduce: Merge = lambda rows: _newest(rows.filter(F.col("line_number") == FILE_LEVEL))
     return (
-        log.writeStream.foreachBatch(reduce)
+        log.writeStream.foreachBatch(_write(location, LATEST, reduce, _newest))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -103,5 +214,5 @@ def follow_annotations(log: DataFrame, location: str, checkpoint: str) -> Stream
 
 
 def followed(spark: SparkSession, location: str) -> DataFrame:
-    """Newest row per file over all batches, each of which holds one row per file at most."""
+    """Newest row per file over all folders, each of which holds one row per file at most."""
     return _newest(_stored(spark, location, LATEST))

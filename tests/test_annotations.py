@@ -7,7 +7,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import annotations as an
+from scriptorium.operators import annotations as an, ranges as rg
+from scriptorium.session import working_dir
+from scriptorium.sources import tables as tb
 
 
 def parse(blob):
@@ -125,6 +127,53 @@ def test_history_across_slots(spark):
     assert {k: sorted(v, key=lambda r: r[1]) for k, v in found.items()} == expected
 
 
+@pytest.fixture
+def fixed_partitions(spark):
+    """Small partitions are not put together."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_history_of_a_bulk_import_is_even(spark, fixed_partitions):
+    """A third of the log belongs to one file and to one time: no task sorts much more than another."""
+    log = spark.range(24_000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("file_id"), (F.lit(50_000) - F.col("id")).alias("id"),
+        F.concat(F.lit("c"), "id").alias("content"), F.lit("2024-01-01").cast("timestamp_ntz").alias("created_at"),
+    )
+    placed = rg.ranged(log, ["file_id", "created_at", "id"])
+    sizes = sorted(r["count"] for r in placed.groupBy("part").count().collect())
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    history = an.annotation_history(log)
+    tasks = sorted(r["count"] for r in history.groupBy(F.spark_partition_id()).count().collect())
+    assert tasks[-1] <= 2 * tasks[len(tasks) // 2]
+    busy = history.filter("file_id = 7").orderBy("version").collect()
+    assert [r.version for r in busy] == list(range(1, 8002))[: len(busy)] and len(busy) >= 8000
+    assert [r.previous for r in busy[1:]] == [r.content for r in busy[:-1]] and busy[0].previous is None
+
+
+def test_numbering(spark):
+    rows = spark.createDataFrame([(g, n) for g in (None, 1, 2, 2, 2) for n in (5, None, 3)], "g long, n long")
+    got = rg.numbered(rows, ["n"], ["g"])
+    assert sorted((r.g or 0, r.place) for r in got.collect()) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2)] + [(2, p) for p in range(9)]
+    assert rg.numbered(rows.limit(0), ["n"]).count() == 0
+
+
+def test_appending_again_adds_nothing(spark):
+    location = working_dir(spark, "log")
+    when = dt.datetime(2024, 1, 1)
+    start = spark.createDataFrame([(1, 1, 0, "top", "a", "manual", when), (2, 2, 0, "same", "a", "manual", when)], tb.ANNOTATIONS)
+    tb.write_batch(start, location, "import")
+    blobs = spark.createDataFrame([(1, "top and more"), (2, "same"), (3, "new")], "file_id long, blob string")
+    for batch in ("b1", "b1", "b2"):
+        log = tb.read_log(spark, location).filter(F.col("batch") != batch)
+        tb.write_batch(an.new_versions(blobs, log, F.lit("2024-02-01")), location, batch)
+        rows = tb.read_log(spark, location)
+        assert rows.count() == 4 and rows.select("id").distinct().count() == 4
+        newest = {r.file_id: (r.id, r.content) for r in an.latest_annotation(rows).collect()}
+        assert newest == {1: (3, "top and more"), 2: (2, "same"), 3: (4, "new")}
+
+
 def test_latest_breaks_ties_by_id(spark):
     when = dt.datetime(2024, 1, 1)
     log = spark.createDataFrame(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import charset as cs, text as tx
-from scriptorium.operators import encoding as en
+from scriptorium.operators import encoding as en, modernize as md
 
 
 def decodes(value, codec):
@@ -18,6 +18,15 @@ def decodes(value, codec):
         return False
 
 
+def fits(value, label):
+    """Whether content is taken for ``label``: what its codec takes, without signs that no text holds."""
+    if not decodes(value, cs.CODECS[label]):
+        return False
+    if label == "Windows-31J":
+        return not set(value.decode("cp932")) & set("\x80\xa0\uf8f0\uf8f1\uf8f2\uf8f3")
+    return label != "ISO-8859-1" or all(b >= 0xA0 or 0x20 <= b < 0x7F or b in b"\t\n\f\r" for b in value)
+
+
 @pytest.fixture(scope="module")
 def every_pair(spark):
     """All byte strings of two bytes, and all of three that EUC-JP has."""
@@ -32,6 +41,24 @@ def test_strict_double_byte(every_pair, codec, test):
     assert [bytes(r.content) for r in rows if r.ok != decodes(bytes(r.content), codec)] == []
 
 
+def test_windows_pairs(every_pair):
+    rows = every_pair.select("content", cs.is_windows_31j(cs.latin1(F.col("content"))).alias("ok")).collect()
+    assert [bytes(r.content) for r in rows if r.ok != fits(bytes(r.content), "Windows-31J")] == []
+
+
+def test_noise_stays_as_it_is(spark):
+    """Signs of Windows-31J are read; what fits nothing, or has a NUL anywhere, is left alone."""
+    values = ["①㈱".encode("cp932"), b"a\x81\xad\xfd\x80", "é !".encode("latin-1"), b"x" * 1024 + b"\x00", b"\x82", b"", None]
+    files = spark.createDataFrame([(n, f"f{n}", v) for n, v in enumerate(values)], "file_id long, path string, content binary")
+    rows = {r.file_id: (r.encoding, r.converted, r.text, r.error) for r in en.to_utf8(files).collect()}
+    assert rows == {
+        0: ("Windows-31J", True, "①㈱", None), 1: ("unknown", False, None, "no known encoding"), 2: ("ISO-8859-1", True, "é !", None),
+        3: ("Binary", False, None, None), 4: ("unknown", False, None, "no known encoding"), 5: ("ASCII", False, "", None), 6: (None, None, None, None),
+    }
+    plan = md.modernize_plan(files)
+    assert sorted((r.file_id, r.detail) for r in plan.collect()) == [(0, "f0 (Windows-31J -> UTF-8)"), (2, "f2 (ISO-8859-1 -> UTF-8)")]
+
+
 def random_bytes(count, seed=5):
     rng = random.Random(seed)
     kinds = [b"a", b"TEXT", b"\x82\xa0", b"\xa4\xa2", "é".encode(), "漢".encode(), b"\x82", b"\xe3\x81", b"\x00", b"\n", b"\r\n", b"\r", b"\xf0\x9f", b"\xed\xa0\x80"]
@@ -50,7 +77,7 @@ def test_detection(noise, order):
     values, files = noise
     for row in en.encoding_strict(files, order).collect():
         tried = cs.ORDERS[order]
-        assert row.encoding == next(label for label in tried if decodes(values[row.file_id], cs.CODECS[label]))
+        assert row.encoding == next((label for label in tried if fits(values[row.file_id], label)), cs.UNKNOWN)
 
 
 def test_replacing_reader(noise):

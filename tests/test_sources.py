@@ -73,6 +73,30 @@ def test_rescan_adds_nothing(spark, tree):
     assert ct.new_files(listing, listing).count() == 0
 
 
+def _short(path, attempt):
+    """Ids of one hex digit, so that most paths collide."""
+    return F.conv(F.substring(F.md5(F.concat(path, F.lit(str(attempt)))), 1, 1), 16, 10).cast("long")
+
+
+@pytest.mark.parametrize("wish", [ct.path_id, _short])
+def test_ids_stay_over_runs_and_collisions(spark, wish):
+    paths = lambda names: spark.createDataFrame([(n, n) for n in names], "path string, filename string")
+    none = spark.createDataFrame([], "file_id long, path string")
+    first = ct.with_ids(paths([f"a/{n}" for n in range(6)]), none, wish)
+    one = {r.path: r.file_id for r in first.collect()}
+    assert one == {r.path: r.file_id for r in ct.with_ids(paths([f"a/{n}" for n in reversed(range(6))]), none, wish).collect()}
+    listing = paths([f"a/{n}" for n in range(6)] + [f"b/{n}" for n in range(7)])
+    second = ct.with_ids(ct.new_files(listing, first), first, wish)
+    index = first.unionByName(second)
+    ids = {r.path: r.file_id for r in index.collect()}
+    assert len(ids) == len(set(ids.values())) == 13 and one.items() <= ids.items()
+    assert ct.new_files(listing, index).count() == 0
+    # Ids are found again from the paths and the collisions alone.
+    moved = ct.collisions(index, wish)
+    assert (moved.count() > 0) == (wish is _short)
+    assert {r.path: r.file_id for r in ct.ids_of(listing, moved, wish).collect()} == ids
+
+
 def test_suffix_rule(spark):
     names = {"a.c": ".c", "a.C": ".c", ".bashrc": "(no extension)", "d.x/name": "(no extension)", "a.": "(no extension)",
              "a.tar.gz": ".gz", "x/.a.b": ".b", "..a": ".a", "": "(no extension)", "f.c,v": ".c,v"}
@@ -95,6 +119,8 @@ def test_cache_csv(spark, tmp_path):
     ca.append_cache_csv(ca.unseen(fresh, loaded), str(folder))
     assert {r.original: r.translated for r in ca.load_cache_csv(spark, str(folder)).collect()}["n"] == "1"
     assert ca.load_cache_csv(spark, str(folder)).count() == 4
+    failed = spark.createDataFrame([("x", "[Translation Failed]"), ("y", "[Trans Fail: down]"), ("z", "Z")], tb.CACHE)
+    assert [r.original for r in ca.unseen(failed, loaded).collect()] == ["z"]
 
 
 def test_versions_replace_themselves(spark):
@@ -140,6 +166,72 @@ def test_replayed_batches(spark):
     assert first == sorted(map(tuple, inc.indexed(spark, f"{base}/out").collect())) == [("a/b", "b"), ("c", "c")]
 
 
+def test_a_thousand_batches_leave_few_folders(spark):
+    """Merging by the same rule without Spark: what counts always covers every batch once."""
+    spans = []
+    for batch in range(1000):
+        while part := inc.due(spans):
+            spans = inc.live([*spans, (part[0][0], part[-1][1])])
+        spans.append((batch, batch))
+        covered = [b for low, high in inc.live(spans) for b in range(low, high + 1)]
+        assert covered == list(range(batch + 1))
+    assert len(inc.live(spans)) <= 3 * inc.SPAN
+
+
+def test_merged_folders_replace_batches(spark, monkeypatch):
+    monkeypatch.setattr(inc, "SPAN", 3)
+    base = working_dir(spark, "merged")
+    names = [f"d/{n % 12}" for n in range(14)]
+    for name in names:
+        spark.createDataFrame([(name, name), (name, None)], inc.ARRIVALS).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    source = lambda: spark.readStream.schema(inc.ARRIVALS).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    inc.index_arrivals(source(), f"{base}/out", f"{base}/one").awaitTermination()
+    folder = inc._Folder(spark, f"{base}/out")
+    run, = folder.runs()
+    spans = folder.spans(run)
+    assert spans and len(spans) < 14 and max(high - low for low, high in spans) >= 8
+    files = [n for s in inc.live(spans) for n in folder.names(folder.at(run, *s)) if n.endswith(".parquet")]
+    assert len([n for n in files]) <= 14
+    expected = sorted({(n, n) for n in names})
+    assert sorted(map(tuple, inc.indexed(spark, f"{base}/out").collect())) == expected
+    # A folder that was written but not renamed, or not finished, is not read.
+    spark.createDataFrame([("x", "x")], inc.ARRIVALS).write.parquet(f"{base}/out/_merging-{run}-0-99")
+    os.makedirs(f"{base}/out/run={run}/span=0-50".replace("file:", ""), exist_ok=True)
+    assert sorted(map(tuple, inc.indexed(spark, f"{base}/out").collect())) == expected
+    # Another run adds only what is new, although its state starts empty.
+    spark.createDataFrame([("d/1", "d/1"), ("late", "late")], inc.ARRIVALS).write.mode("append").parquet(f"{base}/in")
+    inc.index_arrivals(source(), f"{base}/out", f"{base}/two").awaitTermination()
+    assert sorted(map(tuple, inc.indexed(spark, f"{base}/out").collect())) == sorted([*expected, ("late", "late")])
+    inc.index_arrivals(source(), f"{base}/out", f"{base}/two").awaitTermination()
+    assert inc.indexed(spark, f"{base}/out").count() == 13
+
+
+def test_a_batch_reads_only_its_own_rows(spark):
+    base = working_dir(spark, "plan")
+    for k in range(2):
+        spark.range(k * 50, k * 50 + 50).selectExpr("concat('p', id) AS path", "concat('p', id) AS filename").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(inc.ARRIVALS).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    query = inc.index_arrivals(stream, f"{base}/out", f"{base}/checkpoint")
+    query.awaitTermination()
+    read = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert read == [50, 50] and inc.indexed(spark, f"{base}/out").count() == 100
+
+
+def test_newest_rows_survive_merging(spark, monkeypatch):
+    monkeypatch.setattr(inc, "SPAN", 2)
+    base = working_dir(spark, "newest")
+    log = spark.range(60).selectExpr(
+        "id", "id % 4 AS file_id", "IF(id % 3 = 0, 0, 5) AS line_number", "concat('c', id) AS content", "'a' AS author", "'manual' AS type",
+        "CAST(timestamp_seconds((id * 7) % 20) AS timestamp_ntz) AS created_at",
+    )
+    for k in range(6):
+        log.filter(f"id % 6 = {k}").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    inc.follow_annotations(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    expected = sorted(map(tuple, inc._newest(log.filter("line_number = 0")).collect()))
+    assert sorted(map(tuple, inc.followed(spark, f"{base}/out").collect())) == expected and len(expected) == 4
+
+
 def test_files_arrive(spark, tree):
     """Files on disk are indexed as they appear, once each, over restarts."""
     root, files = tree
@@ -173,6 +265,21 @@ def test_hot_name_builds_no_pairs(spark):
     assert found.filter("path = request").count() == 30_000
 
 
+def test_only_asked_endings_are_made(spark):
+    """Long paths, few requests: as many endings as requests can meet, and the files of one name in many tasks."""
+    files = spark.range(8000).select(F.col("id").alias("file_id"), F.concat(F.repeat(F.lit("dir/"), 40), "id", F.lit("/Makefile")).alias("path"))
+    requests = spark.createDataFrame([("5/Makefile",), ("r/77/Makefile",), ("none",)], "request string")
+    for anchored in (True, False):
+        wanted = po._asked_endings(requests, anchored)
+        made = po.endings(files.hint("merge"), wanted, anchored)
+        assert made.groupBy("file_id").count().agg(F.max("count")).first()[0] <= 2
+        assert made.select(F.length("key")).distinct().count() <= 2
+        tasks = made.select(F.pmod(F.xxhash64("path"), F.lit(po.NAME_SALTS)).alias("salt")).groupBy("salt").count().collect()
+        assert len(tasks) == po.NAME_SALTS and max(r["count"] for r in tasks) <= 2 * min(r["count"] for r in tasks)
+    found = {r.request: r.file_id for r in po.resolve_path(requests, files, anchored=False).collect()}
+    assert found == {"5/Makefile": 5, "r/77/Makefile": 77, "none": None}
+
+
 def test_tree_and_listing(spark):
     tree = po.path_tree(spark.createDataFrame([("b/x",), ("B.c",), ("a/y/z",), ("c",)], "path string"))
     top = [r.name for r in po.dir_listing(tree).collect() if r.parent == ""]

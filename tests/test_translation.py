@@ -84,8 +84,11 @@ def test_loop(spark):
 
 def test_batches_hold_at_most_a_chunk(spark):
     texts = spark.range(3000).select(F.concat(F.lit("t"), "id").alias("text"))
-    batches = tr.translation_batches(texts).groupBy("bucket", "batch").count()
-    assert batches.agg(F.max("count"), F.sum("count")).first()[:] == (20, 3000)
+    batches = tr.translation_batches(texts)
+    assert batches.groupBy("batch").count().agg(F.min("count"), F.max("count"), F.sum("count")).first()[:] == (20, 20, 3000)
+    rows = batches.orderBy("batch", "position").collect()
+    assert [r.text for r in rows] == sorted(f"t{n}" for n in range(3000))
+    assert tr.translation_batches(texts.limit(0)).count() == 0
     sizes = []
     tr.translate(texts.coalesce(1), lambda part: sizes.append(len(part)) or part).count()
 
