@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import ascii_lower, cut_lineage, salted_join
+from scriptorium.llm.common import ascii_lower, cut_lineage, salted_join, written
 
 #: Verdict, host and path of each rule; a host stands for its subdomains too.
 RULES = (
@@ -157,7 +157,7 @@ def judge(
     base = cut_lineage(named).withColumn("row", F.monotonically_increasing_id())
     verdicts = {r.verdict: r["count"] for r in base.where("rule IS NOT NULL").groupBy("verdict").count().collect()}
     if len(verdicts) == 2:
-        found = cut_lineage(tokens(base, word_counts(pages, text)))
+        found = cut_lineage(tokens(base, written(word_counts(pages, text), "words")))
         judged = base.where("rule IS NOT NULL").select("row", "verdict")
         table, unseen = weights(found.join(judged, "row"))
         prior = math.log((verdicts["block"] + 1) / (verdicts["allow"] + 1))
