@@ -20,13 +20,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import components, cut_lineage, numbered, salted_join, written
+from scriptorium.llm.common import components, cut_lineage, salted_join, written
 
 SHINGLE = 3
 #: Sets link if their intersection holds at least this many hundredths of their union.
 PERCENT = 90
 #: Members of a group.
 GROUP = 256
+#: Tokens are counted by the top bits of their hashes; one whose counter holds ``COMMON`` times the mean or more is common.
+COUNTER_BITS = 16
+COMMON = 4
 #: Parts beyond those in which sets that link can differ.
 SPARE = 4
 #: Lookups of one part, and queries of one group, that go to the same task.
@@ -60,6 +63,29 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(33))
 
 
+def _common(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Which counters stand for common tokens; all tokens of all texts are counted.  It only says which parts are worth looking up."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, held, size = np.zeros(1 << COUNTER_BITS, np.int64), [], 0
+        for batch in batches:
+            for text in batch["text"]:
+                held.append((shingles(text, shingle) >> _U64(64 - COUNTER_BITS)).astype(np.int32))
+                if (size := size + len(held[-1])) > 1 << 20:
+                    total += np.bincount(np.concatenate(held), minlength=len(total))
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"counter": at, "n": total[at]})
+
+    counted = texts.select("text").mapInPandas(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    rows = counted.collect()  # one for each counter
+    total = np.zeros(1 << COUNTER_BITS)
+    total[[r["counter"] for r in rows]] = [r["n"] for r in rows]
+    return total >= COMMON * max(total.mean(), 1.0)
+
+
 def _bands(percent: int, most: int) -> list[int]:
     """The largest size in each band: sets that link lie in the same or in neighbouring bands."""
     ends = [1]
@@ -82,40 +108,45 @@ def _dealt(differing: int | Column) -> int | Column:
     return differing + 1 + min(differing // 2, SPARE)
 
 
-def parts_of(tokens: np.ndarray, percent: int) -> list[dict]:
-    """``size, empty, parts`` for the sets of its own band and the one below, and for those of the band above.
+def parts_of(tokens: np.ndarray, percent: int, common: np.ndarray | None = None) -> list[dict]:
+    """``size, hidden, parts`` for the sets of its own band and the one below, and for those of the band above.
 
     Sets of at most ``size`` tokens are dealt into the same number of parts by the hashes of their tokens; ``parts`` are 32-bit hashes of a set's (sorted
-    hashes), ``empty`` tells how many are empty.  These are not shown, unless there are so many that all that sets have in common may be among them.
+    hashes).  Parts without tokens, or with none that is not ``common``, are shared by many sets; the ``hidden`` ones of these are
+    not shown, unless there are so many that all that two sets have in common may be among them; then the number is negative.
     """
     ends = _bands(percent, len(tokens))
     above = max(ends[-1] + 1, 100 * (ends[-1] + 1) // percent)
     mixed, found = _mixed(tokens ^ _U64(0x5851F42D4C957F2D)), []
+    own = np.ones(len(tokens), np.int64) if common is None else (~common[(tokens >> _U64(64 - COUNTER_BITS)).astype(np.int64)]).astype(np.int64)
     for size in (ends[-1], above):
         differing = _differing(2 * size, percent)
         parts = _dealt(differing)
         of = tokens % _U64(parts)
         order = np.argsort(of, kind="stable")
         starts = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))
-        sums = np.zeros(parts, _U64)
+        sums, telling = np.zeros(parts, _U64), np.zeros(parts, np.int64)
         filled = of[order][starts].astype(np.int64)
         sums[filled] = np.add.reduceat(mixed[order], starts)
-        empty = parts - len(filled)
-        shown = filled if empty < parts - differing else np.arange(parts)
+        telling[filled] = np.add.reduceat(own[order], starts)
+        shown = np.flatnonzero(telling)
+        hidden = parts - len(shown)
+        if hidden >= parts - differing:
+            shown, hidden = np.arange(parts), -hidden
         hashes = _mixed(sums[shown] + shown.astype(_U64) * _U64(0x9E3779B97F4A7C15) + _U64(size)) >> _U64(32)
-        found.append({"size": size, "empty": empty, "parts": hashes.astype(np.uint32).view(np.int32)})
+        found.append({"size": size, "hidden": hidden, "parts": hashes.astype(np.uint32).view(np.int32)})
     return found
 
 
-def _sets(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _sets(texts: DataFrame, shingle: int, percent: int, common: np.ndarray) -> DataFrame:
     """``doc_id, text_key, n, digest, dealt``: the size of each row's set, what tells sets apart, and its parts."""
 
-    @F.pandas_udf("struct<n:int,digest:binary,dealt:array<struct<size:int,empty:int,parts:array<int>>>>")
+    @F.pandas_udf("struct<n:int,digest:binary,dealt:array<struct<size:int,hidden:int,parts:array<int>>>>")
     def of(column: pd.Series) -> pd.DataFrame:
         found = []
         for text in column:
             tokens = shingles(text, shingle)
-            found.append((len(tokens), xxhash.xxh3_128_digest(tokens.tobytes()), parts_of(tokens, percent) if len(tokens) else []))
+            found.append((len(tokens), xxhash.xxh3_128_digest(tokens.tobytes()), parts_of(tokens, percent, common) if len(tokens) else []))
         return pd.DataFrame(found, columns=["n", "digest", "dealt"])
 
     made = texts.select("doc_id", F.xxhash64("text").alias("text_key"), of("text").alias("s"))
@@ -135,104 +166,115 @@ def _whole_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 # -- groups ---------------------------------------------------------------------------------------
 
+class _Group:
+    """The token-group matrix of one group: its token union and, for each token, the members that have it."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]]) -> None:
+        self.ids, self.comps = [r[0] for r in rows], np.array([r[1] for r in rows])
+        self.sizes = np.array([len(r[2]) for r in rows])
+        tokens = np.concatenate([r[2] for r in rows])
+        order = np.argsort(tokens, kind="stable")
+        self.members = np.repeat(np.arange(len(rows)), self.sizes)[order]
+        self.union, self.starts = np.unique(tokens[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(tokens))
+
+    def links(self, one: int, comp: int, tokens: np.ndarray, percent: int) -> list[tuple[int, int]]:
+        """The set's links, one for each other component.  Only if it shares enough with the union the group is opened."""
+        at = np.searchsorted(self.union, tokens)
+        at[at == len(self.union)] = 0
+        at = at[self.union[at] == tokens]
+        if 100 * len(at) < percent * len(tokens):
+            return []  # no member can link
+        starts, sizes = self.starts[at], self.ends[at] - self.starts[at]
+        ends = np.cumsum(sizes)
+        having = self.members[np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)]
+        both = np.bincount(having, minlength=len(self.ids))
+        near = np.flatnonzero((100 * both >= percent * (len(tokens) + self.sizes - both)) & (self.comps != comp))
+        _, first = np.unique(self.comps[near], return_index=True)
+        return [(one, self.ids[i]) for i in near[first]]
+
+
 def _open(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Links of the queries of each group, at most one for each query: whatever a group holds is of one component."""
-    number, ids, members, union = None, [], [], None
+    """Links of the queries of each group, whose members come first."""
+    number, held, group = None, [], None
     for batch in batches:
-        found = []
-        for group, part, is_query, one, tokens in zip(batch["of_group"], batch["part"], batch["is_query"], batch["id"], batch["tokens"]):
-            if (group, part) != number:
-                number, ids, members, union = (group, part), [], [], None
+        found: list[tuple[int, int]] = []
+        for name, part, is_query, one, comp, tokens in zip(*(batch[c] for c in ("of_group", "part", "is_query", "id", "comp", "tokens"))):
+            if (name, part) != number:
+                number, held, group = (name, part), [], None
             tokens = np.asarray(tokens, np.int64).view(_U64)
             if not is_query:
-                ids.append(one)
-                members.append(tokens)
+                held.append((one, comp, tokens))
                 continue
-            if union is None:
-                union = np.unique(np.concatenate(members)) if len(members) > 1 else members[0]
-            shared = tokens[_among(tokens, union)]
-            if 100 * len(shared) < percent * len(tokens):
-                continue  # no member can link
-            for member, other in zip(ids, members):
-                if percent * len(tokens) > 100 * len(other) or percent * len(other) > 100 * len(tokens):
-                    continue
-                both = int(_among(shared, other).sum())
-                if 100 * both >= percent * (len(tokens) + len(other) - both):
-                    found.append((one, member))
-                    break
+            group = group or _Group(held)
+            found += group.links(one, comp, tokens, percent)
         yield pd.DataFrame(found, columns=["a", "b"])
 
 
-def _among(tokens: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Which of ``tokens`` occur in the sorted ``others``."""
-    at = np.searchsorted(others, tokens)
-    at[at == len(others)] = 0
-    return others[at] == tokens
-
-
 def _links(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` of the queries in ``pairs`` (``id, of_group``, distinct) with a member of their group (``members``: ``of_group, id``)."""
+    """Links ``a, b`` of the queries in ``pairs`` (``id, of_group, comp``, distinct) with members of their group (``members``: ``of_group, id, comp``)."""
     parts = pairs.groupBy("of_group").agg((F.floor((F.count("*") - 1) / SHARE) + 1).cast("long").alias("parts"))
-    asked = pairs.join(parts, "of_group").select("of_group", F.pmod("id", "parts").alias("part"), F.lit(True).alias("is_query"), "id")
+    asked = pairs.join(parts, "of_group").select("of_group", F.pmod("id", "parts").alias("part"), F.lit(True).alias("is_query"), "id", "comp")
     held = members.join(parts, "of_group").select(
-        "of_group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_query"), "id"
+        "of_group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_query"), "id", "comp"
     )
     rows = held.unionByName(asked).join(sets, "id")
     rows = rows.repartition("of_group", "part").sortWithinPartitions("of_group", "part", "is_query")
     return rows.mapInPandas(lambda batches: _open(batches, percent), "a long, b long")
 
 
-def _may_link(shared: Column, n: Column, empty: Column, least: Column, most: Column, g_empty: Column, size: Column, percent: int) -> Column:
-    """Whether a set and one of a group (sizes ``least`` to ``most``) may link that have ``shared`` parts in common of those for ``size``.
+def _may_link(shared: Column, n: Column, hidden: Column, least: Column, most: Column, g_hidden: Column, g_all: Column, size: Column, percent: int) -> Column:
+    """Whether a set and one of a group (sizes ``least`` to ``most``, ``g_hidden`` parts hidden at most or, with ``g_all``, all shown) may link that have
+    ``shared`` parts in common of those for ``size``.
 
-    Each other part is empty in both, or they differ in a token of it.
+    Each other part is hidden in both, or they differ in a token of it.
     """
     fits = (most * 100 >= n * percent) & (n * 100 >= least * percent)
     parts = _dealt(_differing(2 * size, percent))
-    return fits & (shared + F.least(empty, g_empty) >= parts - _differing(n + F.least(most, n * (100 / percent)), percent))
+    unseen = F.when((hidden < 0) & g_all, 0).otherwise(F.least(F.abs(hidden), g_hidden))
+    return fits & (shared + unseen >= parts - _differing(n + F.least(most, n * (100 / percent)), percent))
 
 
 def _candidates(live: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """``id, of_group, n_shared``: groups of other components that have a part in common and a fitting size.
+    """``id, of_group, comp``: the groups with sets of other components that have parts in common and a fitting size.
 
-    Only parts that occur in different components are looked up, of two components by the one with fewer sets.
+    Only parts that occur in different components are looked up.
     """
-    rows = live.select("part", "id", "size", "empty").join(placed, "id")
+    rows = live.select("part", "id", "size", "hidden").join(placed, "id")
     apart = rows.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("asks")).where("lo != hi")
     rows = written(rows.join(apart.select("part", (F.floor((F.col("asks") - 1) / SHARE) + 1).cast("int").alias("tasks")), "part"), "matrix")
     groups = rows.groupBy("part", "of_group").agg(
-        F.first("comp").alias("g_comp"), F.first("weight").alias("g_weight"), F.first("tasks").alias("g_tasks"), F.min("n").alias("least"), F.max("n").alias("most"),
-        F.max("empty").alias("g_empty"),
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("tasks").alias("g_tasks"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.max(F.abs("hidden")).alias("g_hidden"), F.max("hidden").alias("g_most"),
     )
     held = groups.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("g_tasks") - 1))).drop("g_tasks")
-    asks = rows.select("part", F.pmod("id", "tasks").cast("int").alias("task"), "id", "size", "empty", "n", "comp", "weight")
-    smaller = F.struct("weight", "comp") < F.struct(F.col("g_weight").alias("weight"), F.col("g_comp").alias("comp"))
-    met = asks.join(held, ["part", "task"]).where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent) & smaller)
+    asks = rows.select("part", F.pmod("id", "tasks").cast("int").alias("task"), "id", "size", "hidden", "n", "comp")
+    others = (F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))
+    met = asks.join(held, ["part", "task"]).where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent) & others)
     # What a group has at a part is that of its sets there, so its sizes are taken over all parts that were met.
     shared = met.groupBy("id", "of_group", "size").agg(
-        F.count("*").alias("n_shared"), F.first("n").alias("n"), F.first("empty").alias("empty"), F.min("least").alias("least"), F.max("most").alias("most"),
-        F.max("g_empty").alias("g_empty"),
-    )
-    may = _may_link(*[F.col(c) for c in ("n_shared", "n", "empty", "least", "most", "g_empty", "size")], percent)
-    return shared.where(may).groupBy("id", "of_group").agg(F.max("n_shared").alias("n_shared"))
-
-
-def _placed(sizes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``id, n, comp, weight, of_group``: each set's component, the component's sets, and its group, a run of sets of similar size."""
-    of = sizes.join(roots.withColumnsRenamed({"node": "id"}), "id", "left").select("id", "n", F.coalesce("root", "id").alias("comp"))
-    weights = of.groupBy("comp").agg(F.count("*").alias("weight"))
-    ranked = numbered(of, ["n", "id"], ["comp"])
-    run = F.floor(F.col("pos") / GROUP)
-    led = ranked.groupBy(F.col("comp").alias("g_comp"), run.alias("run")).agg(F.min("id").alias("of_group"))
-    return cut_lineage(
-        ranked.join(led, (F.col("comp") == F.col("g_comp")) & (run == F.col("run"))).join(weights, "comp").select("id", "n", "comp", "weight", "of_group")
+        F.count("*").alias("n_shared"), F.first("n").alias("n"), F.first("comp").alias("comp"), F.first("hidden").alias("hidden"), F.min("least").alias("least"),
+        F.max("most").alias("most"), F.max("g_hidden").alias("g_hidden"), (F.max("g_most") < 0).alias("g_all"),
     )
+    may = _may_link(*[F.col(c) for c in ("n_shared", "n", "hidden", "least", "most", "g_hidden", "g_all", "size")], percent)
+    return shared.where(may).groupBy("id", "of_group").agg(F.first("comp").alias("comp"))
+
+
+def _placed(sizes: DataFrame, roots: DataFrame, leaders: DataFrame) -> DataFrame:
+    """``id, n, comp, of_group``: each set's component, and its group: about ``GROUP`` of the sets that are most like the same one (``leaders``: ``id,
+    leader``), whether they link with it or not."""
+    of = sizes.join(roots.withColumnsRenamed({"node": "id"}), "id", "left").join(leaders, "id", "left")
+    of = of.select("id", "n", F.coalesce("root", "id").alias("comp"), F.coalesce("leader", "id").alias("leader"))
+    large = of.groupBy("leader").agg(F.count("*").alias("sets")).where("sets > 1")
+    led = of.join(large, "leader", "left")
+    group = F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("sets", F.lit(1).cast("long")) / GROUP))
+    return cut_lineage(led.select("id", "n", "comp", F.concat_ws(":", "leader", group.cast("string")).alias("of_group")))
 
 
 # -- documents ------------------------------------------------------------------------------------
 
 def link_components(sizes: DataFrame, parts: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame:
-    """``node, root`` of the sets (``sizes``: ``id, n``) whose component has a smaller id, from their parts (``parts``: ``id, size, empty, part``).
+    """``node, root`` of the sets (``sizes``: ``id, n``) whose component has a smaller id, from their parts (``parts``: ``id, size, hidden, part``).
 
     ``sets_of(ids)`` gives the whole sets, ``id, tokens``; it is asked for those that are compared at all.
     """
@@ -244,36 +286,25 @@ def link_components(sizes: DataFrame, parts: DataFrame, sets_of, percent: int =
     middle = live.select("id", "part").join(central, "id").groupBy("part").agg(F.max_by("id", F.struct("share", -F.col("id"))).alias("low"))
     of_low = sizes.select(F.col("id").alias("low"), F.col("n").alias("low_n"))
     near = salted_join(live.drop("sets"), middle, "part", "id").where("id != low")
-    met = near.groupBy("id", "low", "size").agg(F.count("*").alias("n_shared"), F.first("empty").alias("empty"))
-    may = _may_link(F.col("n_shared"), F.col("n"), F.col("empty"), F.col("low_n"), F.col("low_n"), F.col("empty"), F.col("size"), percent)
+    met = cut_lineage(near.groupBy("id", "low", "size").agg(F.count("*").alias("n_shared"), F.first("hidden").alias("hidden")))
+    may = _may_link(F.col("n_shared"), F.col("n"), F.col("hidden"), F.col("low_n"), F.col("low_n"), F.abs("hidden"), F.lit(True), F.col("size"), percent)
     fitting = met.join(sizes, "id").join(of_low, "low").where(may)
-    partner = fitting.groupBy("id").agg(F.max_by("low", F.struct("n_shared", -F.col("low"))).alias("of_group"))
-    partner = cut_lineage(partner)
+    most_alike = F.max_by("low", F.struct("n_shared", -F.col("low")))
+    partner = cut_lineage(fitting.groupBy("id").agg(most_alike.alias("of_group")))
     leaders = partner.select(F.col("of_group").alias("id")).distinct()
     sets = cut_lineage(sets_of(partner.select("id").unionByName(leaders).distinct()))
-    found = _links(partner, leaders.select(F.col("id").alias("of_group"), "id"), sets, percent)
+    own = F.col("id").alias("comp")
+    found = _links(partner.select("id", "of_group", own), leaders.select(F.col("id").alias("of_group"), "id", own), sets, percent)
     roots = cut_lineage(components(found))
-    # Then the groups of other components that are left, for each set the one that shares most before the others.
-    ids = live.select("id").distinct()
-    placed = _placed(sizes.join(ids, "id", "left_semi"), roots)
+    # Then all groups that are left.
+    placed = _placed(sizes.join(live.select("id").distinct(), "id", "left_semi"), roots, met.groupBy("id").agg(most_alike.alias("leader")))
     near = cut_lineage(_candidates(live, placed, percent))
     if near.isEmpty():
         return roots
-    members = placed.join(near.select("of_group").distinct(), "of_group", "left_semi").select("of_group", "id")
+    members = placed.join(near.select("of_group").distinct(), "of_group", "left_semi").select("of_group", "id", "comp")
     sets = cut_lineage(sets_of(near.select("id").unionByName(members.select("id")).distinct()))
-    best = near.groupBy("id").agg(F.max_by("of_group", F.struct("n_shared", -F.col("of_group"))).alias("of_group"))
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = cut_lineage(components(cut_lineage(links.unionByName(_links(best, members, sets, percent)))))
-    apart = _apart(near.join(best, ["id", "of_group"], "left_anti"), roots)
-    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return components(cut_lineage(links.unionByName(_links(apart, members, sets, percent))))
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs ``id, of_group`` (a group is named by a member) that are of different components."""
-    of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-    rooted = pairs.join(of("id"), "id", "left").join(of("of_group"), "of_group", "left")
-    return rooted.where(F.coalesce("id_root", "id") != F.coalesce("of_group_root", "of_group")).select("id", "of_group")
+    return components(cut_lineage(links.unionByName(_links(near, members, sets, percent))))
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -285,7 +316,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Shingles are told apart by 64-bit hashes.  ``percent`` is at least 50.
     """
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    of_rows = written(_sets(texts, shingle, percent), "sets")
+    of_rows = written(_sets(texts, shingle, percent, _common(texts, shingle)), "sets")
     filled = of_rows.where("n > 0")
     distinct = cut_lineage(
         filled.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("dealt").alias("dealt"))
@@ -295,7 +326,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         wanted = distinct.join(ids, "id", "left_semi").select("id", F.col("one.doc_id").alias("of_doc"), F.col("one.text_key").alias("of_key"))
         return _whole_sets(texts, wanted, shingle)
 
-    parts = distinct.select("id", F.explode("dealt").alias("d")).select("id", "d.size", "d.empty", F.explode("d.parts").alias("part"))
+    parts = distinct.select("id", F.explode("dealt").alias("d")).select("id", "d.size", "d.hidden", F.explode("d.parts").alias("part"))
     roots = link_components(distinct.select("id", "n"), parts, sets_of, percent)
     rooted = distinct.join(roots.withColumnsRenamed({"node": "id"}), "id", "left").select("digest", "first_id", F.coalesce("root", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
