@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Words whose results a task keeps: the last so many, and those among as many before that are asked for again.
-CACHED_WORDS = 100_000
+CACHED_WORDS = 60_000
 #: Longer words are not kept.
 CACHED_LENGTH = 64
 #: White space of Unicode; unlike str.split() without the separators U+001C to U+001F.
