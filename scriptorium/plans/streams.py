@@ -15,14 +15,18 @@ from scriptorium.streaming import increments as inc
 
 query = Register()
 
+#: Files of one listing.
+LISTING_FILES = 8
+
 
 @query(fx.with_views(f"SELECT DISTINCT path, {FILENAME} AS filename FROM tree_files", "tree_files"))
 def arrivals_stream(spark: SparkSession, d: str) -> DataFrame:
     base = working_dir(spark, "arrivals")
     listing = ct.catalog(fx.tree_files(spark, d)).select("path", "filename")
-    # Overlapping listings: the source files, the archives, then everything once more.
+    # Overlapping listings: the source files, the archives, then everything once more.  Each comes in so many files however large it is,
+    # not in one for each split of the long texts it is read beside, so batches grow with the listing and not in number.
     for part in (listing.filter("path NOT LIKE '%,v'"), listing.filter("path LIKE '%,v'"), listing):
-        part.write.mode("append").parquet(f"{base}/in")
+        part.repartition(LISTING_FILES).write.mode("append").parquet(f"{base}/in")
     arrivals = spark.readStream.schema(inc.ARRIVALS).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
     inc.index_arrivals(arrivals, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return inc.indexed(spark, f"{base}/out")

@@ -7,12 +7,10 @@ ones have written.  ``SPAN`` folders in a row are merged into one, which replace
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scriptorium.operators.annotations import FILE_LEVEL
 from scriptorium.sources.catalog import catalog, relative_to
@@ -133,18 +131,6 @@ def watch_files(spark: SparkSession, root: str, files_per_batch: int = 10_000) -
     return catalog(found.select(relative_to(F.col("path"), root).alias("path"))).select("path", "filename")
 
 
-def _once(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A path the first time it comes; one that is indexed already only leaves its mark."""
-    names, indexed = [], state.exists
-    for part in rows:
-        indexed = indexed or bool(part["indexed"].any())
-        names += part["filename"].tolist()
-    if not state.exists:
-        state.update((True,))
-    if not indexed:
-        yield pd.DataFrame({"path": [key[0]], "filename": [min((n for n in names if n is not None), default=None)]})
-
-
 def _seed(spark: SparkSession, location: str, checkpoint: str) -> str:
     """What the index holds before a run's first batch, for the run's state; written once for each checkpoint."""
     folder = _Folder(spark, checkpoint)
@@ -157,18 +143,22 @@ def _seed(spark: SparkSession, location: str, checkpoint: str) -> str:
 def index_arrivals(arrivals: DataFrame, location: str, checkpoint: str) -> StreamingQuery:
     """Append each new ``path, filename`` of a stream of listings once.
 
-    The paths seen so far are the query's state, partitioned by the hash of the path, so a batch reads nothing but its own rows.
+    The paths seen so far are the query's state, a streaming aggregate partitioned by the hash of the path, so a batch reads nothing but its own
+    rows, and no row leaves the JVM.  A path that comes with several names first is indexed with the least.
     A new checkpoint has no state: its first batch also reads what is indexed by then.
     """
     spark = arrivals.sparkSession
     before = spark.readStream.schema(ARRIVALS).parquet(_seed(spark, location, checkpoint))
-    both = before.withColumn("indexed", F.lit(True)).unionByName(
-        arrivals.select("path", "filename", F.lit(False).alias("indexed"))
-    )
-    new = both.groupBy("path").applyInPandasWithState(_once, ARRIVALS, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    # The time of a micro-batch is fixed in its offsets, so a replayed batch finds the same.  What was indexed before comes at time 0.
+    came = F.current_timestamp()
+    both = before.withColumn("came", F.lit(0).cast("timestamp")).unionByName(arrivals.select("path", "filename", came.alias("came")))
+    first = F.min(F.struct("came", F.col("filename").isNull().alias("unnamed"), "filename")).alias("first")
+    seen = both.groupBy("path").agg(first, F.max("came").alias("last"))
+    # A batch gives the paths it has touched; new are those that it is the first to hold.
+    new = seen.where((F.col("first.came") == F.col("last")) & (F.col("last") > F.lit(0).cast("timestamp"))).select("path", "first.filename")
     same: Merge = lambda rows: rows
     return (
-        new.writeStream.foreachBatch(_write(location, ARRIVALS, same, same))
+        new.writeStream.outputMode("update").foreachBatch(_write(location, ARRIVALS, same, same))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -309,3 +309,17 @@ def test_spread_leaves_large_inputs(spark):
     many, few = spark.range(0, 100, 1, 64), spark.range(0, 100, 1, 2)
     assert spread(many, "id") is many
     assert spread(few, "id").rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_seen_paths_are_an_aggregate_in_the_jvm(spark):
+    """A path is indexed in the first batch that holds it, with the least of its names there; no row goes to Python."""
+    base = working_dir(spark, "aggregate")
+    batches = [[("a", "z"), ("a", None), ("a", "b"), (None, "n")], [("a", "a"), ("c", None), (None, "m")], [("c", "c"), ("d", "d")]]
+    for rows in batches:
+        spark.createDataFrame(rows, inc.ARRIVALS).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(inc.ARRIVALS).parquet(f"{base}/in")
+        query = inc.index_arrivals(stream, f"{base}/out", f"{base}/checkpoint")
+        query.awaitTermination()
+    got = [tuple(r) for r in inc.indexed(spark, f"{base}/out").collect()]
+    assert sorted(got, key=str) == sorted([("a", "b"), (None, "n"), ("c", None), ("d", "d")], key=str)
+    assert [o["operatorName"] for o in query.lastProgress["stateOperators"]] == ["stateStoreSave"]
