@@ -135,3 +135,17 @@ def test_hot_text_keeps_every_place(spark):
 def test_other_scripts(spark):
     files = spark.createDataFrame([(1, "a.txt", "café\nnone")], "file_id long, path string, text string")
     assert [r.text for r in sg.line_segments(files, tx.ACCENTED_LATIN).collect()] == ["café"]
+
+
+def test_indentation_of_pieces(spark):
+    """The line up to a comment, with all but tabs as spaces, as it is found from numbered lines."""
+    import random
+
+    rng = random.Random(7)
+    parts = ["a", "\n", "\t", " ", "/* x */", "/* x\n y */", "// z\n", '"s"', '"s\nt"', "'c'", "\r\n", "/", "あ"]
+    rows = [(k, "".join(rng.choice(parts) for _ in range(rng.randrange(40)))) for k in range(300)]
+    files = spark.createDataFrame(rows, "file_id long, text string")
+    cut = sg.pieces_of(files, "\\x00-\\uffff").where("pieces IS NOT NULL")
+    found = cut.select("file_id", F.posexplode(sg._indented(F.col("pieces"))).alias("seq", "s")).select("file_id", "seq", "s.type", "s.raw", "s.indentation")
+    got = sorted(map(tuple, found.where("type <> 'code'").collect()))
+    assert got == sorted((r.file_id, r.seq, r.type, r.raw, r.indentation) for r in sg.placed_segments(files).collect()) and len(got) > 500
