@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import annotations as an, encoding as en, modernize as md, segments as sg, translation as tr
+from scriptorium.plans import translation
 from scriptorium.session import working_dir
 
 
@@ -66,3 +67,14 @@ def test_blobs_are_parsed_once(spark, operator):
     edits = spark.range(5).selectExpr("id", "id AS file_id", "1 AS line", "'x' AS content", "'x' AS note", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS created_at")
     frame = an.apply_line_edits(blobs, edits) if operator == "edits" else an.merge_tool_notes(blobs, edits)
     assert frame._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2
+
+
+def test_texts_are_cut_once(spark, files):
+    """Injection reads the stored pieces for its candidates and for its result, and the translator's texts are stored before they are read twice."""
+    location = working_dir(spark, "cut")
+    spark.createDataFrame([("あ", "a")], "original string, translated string").write.parquet(f"{location}/cache")
+    injected = tr.inject_translations(files, spark.read.parquet(f"{location}/cache"))
+    assert "regexp_extract_all" not in plan(injected) and injected.count() == 200
+    rows = [(i, "é la maison // " * i, "fr", "s") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{location}/documents.parquet")
+    assert "regexp_extract_all" not in plan(translation.user_translator(spark, location))
