@@ -92,7 +92,10 @@ def segmented(labels: DataFrame, lexicon: DataFrame) -> DataFrame:
     inside = lambda i: F.transform(F.sequence(i, size), lambda j: F.substring(F.col("label"), i, j - i + 1))
     parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), inside)))
     names = labels.where(size <= LABEL)
-    found = salted_join(names.select("label", F.explode(parts).alias("word")), lexicon, "word", "label")
+    inside_names = names.select("label", F.explode(parts).alias("word"))
+    # Only the words that some label contains are copied for the salts; the lexicon itself is moved once at most.
+    asked = cut_lineage(lexicon.join(inside_names.select("word").distinct(), "word", "left_semi"))
+    found = salted_join(inside_names, asked, "word", "label")
     known = found.groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("known"))
 
     @F.pandas_udf("array<string>")
