@@ -140,3 +140,22 @@ def test_deciding_texts_come_from_the_alignment():
     both = wrappers.aligned(page("same", "one"), page("same", "two"), pages=True)
     assert wrappers.fixed_texts(both) == {("h1", wrappers.text_hash("same"))}
     assert wrappers.fixed_texts(page("same", "one")) == set()
+
+
+def test_the_wrapper_decides_inside_articles_too(spark):
+    """A box that says the same on every article of a host is the host's; what the article itself says stays, and so does a box that any page fills."""
+    page = "<body><article><h1>{0}</h1><p>{0} is told.</p><p>The same in all.</p><section><p>{1}</p></section><div><p>Sign up for more like this.</p></div></article></body>"
+    names = ("Red", "Blue", "Green")
+    got = rows(spark, [(f"http://{h}.org/{t}", page.format(t, "Shared part." if t != "Blue" else "Other part.")) for h, n in (("i", 3), ("j", 2)) for t in names[:n]] + [("http://k.org/", page.format("Red", "x"))] * 3)
+    own = [f"{t}\n{t} is told.\nThe same in all.\n" + ("Shared part." if t != "Blue" else "Other part.") for t in names]
+    assert [got[i].text for i in range(3)] == own
+    # Two pages, or copies of one, say too little about an article.
+    assert [got[i].text for i in (3, 4)] == [o + "\nSign up for more like this." for o in own[:2]]
+    assert got[5].text == got[6].text == got[7].text and got[5].text.endswith("Sign up for more like this.")
+
+
+def test_articles_take_part_in_their_host_s_wrapper(spark):
+    """What a page without article shares with the articles of its host is the wrapper's."""
+    around = "<body><div class='x'><p>The box of the host, on each of its pages, long enough to win over any text.</p></div>{}</body>"
+    got = rows(spark, [("http://l.org/1", around.format("<article><p>One.</p></article>")), ("http://l.org/2", around.format("<div class='post'><p>Two of us.</p></div>"))])
+    assert [got[i].text for i in range(2)] == ["One.", "Two of us."]
