@@ -25,6 +25,8 @@ from tokenizers import Tokenizer
 
 #: Words whose results a task keeps: the last so many, and those among as many before that are asked for again.
 CACHED_WORDS = 60_000
+#: Rows that a task hands back at once.
+ROWS = 256
 #: Longer words are not kept.
 CACHED_LENGTH = 64
 #: White space of Unicode; unlike str.split() without the separators U+001C to U+001F.
@@ -246,13 +248,16 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     @F.pandas_udf(kind)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = _loaded(path)
+        names = ["n", "ids_sha256", "decoded_sha256", "ids"][: 4 if keep_ids else 3]
         for batch in texts:
-            rows = []
-            for t in batch:
-                ids, decoded = model.packed(t or "")
-                row = (len(ids) // 4, sha256(ids).hexdigest(), sha256(decoded).hexdigest())
-                rows.append((*row, np.frombuffer(ids, "<i4")) if keep_ids else row)
-            yield pd.DataFrame(rows, columns=["n", "ids_sha256", "decoded_sha256", "ids"][: len(rows[0]) if rows else 4 - (not keep_ids)])
+            # In short frames: the ids of a whole batch, and their copies on the way out, would fill more memory than the model.
+            for start in range(0, max(len(batch), 1), ROWS):
+                rows = []
+                for t in batch.iloc[start : start + ROWS]:
+                    ids, decoded = model.packed(t or "")
+                    row = (len(ids) // 4, sha256(ids).hexdigest(), sha256(decoded).hexdigest())
+                    rows.append((*row, np.frombuffer(ids, "<i4")) if keep_ids else row)
+                yield pd.DataFrame(rows, columns=names)
 
     done = docs.select(F.col(doc_id).alias("doc_id"), run(F.col(text)).alias("r"))
     more = [F.col("r.ids").alias("ids")] if keep_ids else []

@@ -73,3 +73,16 @@ def test_latin_letters_and_lasting_words_equal_the_library(monkeypatch):
         want = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want and n == len(want)
         assert decoded == library.decode(want, skip_special_tokens=False)
+
+
+def test_results_leave_a_task_in_short_frames(spark, documents, monkeypatch):
+    """A batch of more texts than a frame, with an empty one, gives every row its own result."""
+    seen = []
+    kept = bpe.F.pandas_udf
+    monkeypatch.setattr(bpe.F, "pandas_udf", lambda kind: lambda run: seen.append(run) or kept(kind)(run))
+    texts = [f"text {i}" * (i % 5) for i in range(bpe.ROWS * 2 + 3)]
+    got = {r.doc_id: r for r in bpe.encode(documents(texts).coalesce(1), PATH).collect()}
+    model = bpe.Bpe(PATH)
+    assert all(bytes(model.packed(t)[0]) == b"".join(i.to_bytes(4, "little") for i in got[k].ids) for k, t in enumerate(texts, 1))
+    frames = list(seen[0](iter([bpe.pd.Series(texts), bpe.pd.Series([], dtype=object)])))
+    assert [len(f) for f in frames] == [bpe.ROWS, bpe.ROWS, 3, 0]
