@@ -235,40 +235,75 @@ def _may_link(shared: Column, n: Column, hidden: Column, least: Column, most: Co
     return fits & (shared + unseen >= parts - _differing(n + F.least(most, n * (100 / percent)), percent))
 
 
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` (sets at their parts) with the families at the same part that have sets of other components and of a fitting size.
+
+    A family is one row at a part, however many groups it has, and is asked by its own sets and by those of smaller families (equal sizes: of lower
+    leaders), so a part that a whole family has costs next to nothing but a row for each of its sets.
+    """
+    families = rows.groupBy("part", "sets", "leader").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("tasks").alias("f_tasks"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.max(F.abs("hidden")).alias("g_hidden"), F.max("hidden").alias("g_most"),
+    )
+    held = families.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("f_tasks") - 1))).drop("f_tasks")
+    own = (F.col("sets").alias("own_sets"), F.col("leader").alias("own"))
+    asks = rows.select("part", F.pmod("id", "tasks").cast("int").alias("task"), "id", "size", "hidden", "n", "comp", *own)
+    turn = (F.col("sets") > F.col("own_sets")) | ((F.col("sets") == F.col("own_sets")) & (F.col("leader") >= F.col("own")))
+    return asks.join(held, ["part", "task"]).where(_fits(percent) & _others() & turn)
+
+
+def _fits(percent: int) -> Column:
+    return (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
+
+
+def _others() -> Column:
+    return (F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))
+
+
 def _candidates(live: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """``id, of_group, comp``: the groups with sets of other components that have parts in common and a fitting size.
+    """``id, of_group, comp``: the groups with sets of other components that have parts in common and a fitting size; of two sets that may link, one asks
+    for the group of the other.
 
     Only parts that occur in different components are looked up.
     """
-    rows = live.select("part", "id", "size", "hidden").join(placed, "id")
+    rows = live.select("part", "id", "size", "hidden").join(placed.drop("number"), "id")
     apart = rows.groupBy("part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("asks")).where("lo != hi")
     rows = written(rows.join(apart.select("part", (F.floor((F.col("asks") - 1) / SHARE) + 1).cast("int").alias("tasks")), "part"), "matrix")
-    groups = rows.groupBy("part", "of_group").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("tasks").alias("g_tasks"), F.min("n").alias("least"), F.max("n").alias("most"),
-        F.max(F.abs("hidden")).alias("g_hidden"), F.max("hidden").alias("g_most"),
-    )
-    held = groups.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("g_tasks") - 1))).drop("g_tasks")
-    asks = rows.select("part", F.pmod("id", "tasks").cast("int").alias("task"), "id", "size", "hidden", "n", "comp")
-    others = (F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))
-    met = asks.join(held, ["part", "task"]).where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent) & others)
-    # What a group has at a part is that of its sets there, so its sizes are taken over all parts that were met.
-    shared = met.groupBy("id", "of_group", "size").agg(
+    # What a family has at a part is that of its sets there, so its sizes are taken over all parts that were met.
+    shared = _met(rows, percent).groupBy("id", "leader", "size").agg(
         F.count("*").alias("n_shared"), F.first("n").alias("n"), F.first("comp").alias("comp"), F.first("hidden").alias("hidden"), F.min("least").alias("least"),
-        F.max("most").alias("most"), F.max("g_hidden").alias("g_hidden"), (F.max("g_most") < 0).alias("g_all"),
+        F.max("most").alias("most"), F.max("g_hidden").alias("g_hidden"), (F.max("g_most") < 0).alias("g_all"), F.first("sets").alias("sets"),
     )
     may = _may_link(*[F.col(c) for c in ("n_shared", "n", "hidden", "least", "most", "g_hidden", "g_all", "size")], percent)
-    return shared.where(may).groupBy("id", "of_group").agg(F.first("comp").alias("comp"))
+    near = shared.where(may).groupBy("id", "leader").agg(F.first("sets").alias("sets"))
+    asked = near.select("id", "leader", F.explode(F.sequence(F.lit(0).cast("long"), _groups("sets") - 1)).alias("number"))
+    asked = asked.join(placed.select("id", "n", "comp", F.col("leader").alias("own"), F.col("number").alias("own_number")), "id")
+    groups = placed.groupBy("leader", "number").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    # Two groups of one family: the numbers say which of them asks, each about as often as it is asked.
+    odd = (F.col("own_number") + F.col("number")) % 2 == 1
+    turn = (F.col("own") != F.col("leader")) | (F.col("own_number") == F.col("number")) | (odd == (F.col("own_number") < F.col("number")))
+    return asked.where(turn).join(groups, ["leader", "number"]).where(_fits(percent) & _others()).select("id", _of_group(), "comp")
+
+
+def _groups(sets: str) -> Column:
+    """How many groups a family is dealt into."""
+    return F.ceil(F.col(sets) / GROUP).cast("long")
+
+
+def _of_group() -> Column:
+    return F.concat_ws(":", F.col("leader").cast("string"), F.col("number").cast("string")).alias("of_group")
 
 
 def _placed(sizes: DataFrame, roots: DataFrame, leaders: DataFrame) -> DataFrame:
-    """``id, n, comp, of_group``: each set's component, and its group: about ``GROUP`` of the sets that are most like the same one (``leaders``: ``id,
-    leader``), whether they link with it or not."""
+    """``id, n, comp, leader, sets, number``: each set's component, its family and the size of that, and the number of its group.
+
+    A family is the sets that are most like the same one (``leaders``: ``id, leader``), whether they link with it or not; its groups hold about ``GROUP``.
+    """
     of = sizes.join(roots.withColumnsRenamed({"node": "id"}), "id", "left").join(leaders, "id", "left")
     of = of.select("id", "n", F.coalesce("root", "id").alias("comp"), F.coalesce("leader", "id").alias("leader"))
     large = of.groupBy("leader").agg(F.count("*").alias("sets")).where("sets > 1")
-    led = of.join(large, "leader", "left")
-    group = F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("sets", F.lit(1).cast("long")) / GROUP))
-    return cut_lineage(led.select("id", "n", "comp", F.concat_ws(":", "leader", group.cast("string")).alias("of_group")))
+    led = of.join(large, "leader", "left").withColumn("sets", F.coalesce("sets", F.lit(1).cast("long")))
+    return cut_lineage(led.select("id", "n", "comp", "leader", "sets", F.pmod(F.xxhash64("id"), _groups("sets")).alias("number")))
 
 
 # -- documents ------------------------------------------------------------------------------------
@@ -301,7 +336,7 @@ def link_components(sizes: DataFrame, parts: DataFrame, sets_of, percent: int =
     near = cut_lineage(_candidates(live, placed, percent))
     if near.isEmpty():
         return roots
-    members = placed.join(near.select("of_group").distinct(), "of_group", "left_semi").select("of_group", "id", "comp")
+    members = placed.select(_of_group(), "id", "comp").join(near.select("of_group").distinct(), "of_group", "left_semi")
     sets = cut_lineage(sets_of(near.select("id").unionByName(members.select("id")).distinct()))
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(cut_lineage(links.unionByName(_links(near, members, sets, percent))))

@@ -85,6 +85,23 @@ def test_large_families_in_the_shipped_sizes(spark, documents):
     assert got(documents(texts, ids)) == plain(texts, ids)
 
 
+def test_a_part_of_a_family_costs_a_row_for_each_set(spark, documents, small, monkeypatch):
+    """Near copies that mostly do not link: what is looked up grows with the family, not with its groups times its sets."""
+    rng, whole, made = random.Random(9), token_groups._met, []
+
+    def counted(rows, percent):
+        made.append((rows.count(), whole(rows, percent).count()))
+        return whole(rows, percent)
+
+    monkeypatch.setattr(token_groups, "_met", counted)
+    for n in (60, 240):
+        texts = list(family(rng, [f"w{i}" for i in range(70)], n, 9)) + list(family(rng, [f"v{i}" for i in range(30)], n // 3, 3))
+        ids = list(range(3, 3 + len(texts)))
+        assert got(documents(texts, ids)) == plain(texts, ids)
+    assert len(made) == 2 and made[1][0] > 3 * made[0][0]
+    assert all(met <= 1.5 * rows for rows, met in made)
+
+
 def test_odd_rows(spark, documents):
     texts = [*ODD, "A  b", "one", "ONE", "one two", "x y z", "x Y z", None]
     ids = [*range(3, 3 + len(texts) - 3), None, 4, 4]
